@@ -16,6 +16,20 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of 4096 tokens."""
+    from lexlake.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
+
+
+def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode all documents by prefix dynamic programming and decode them."""
+    from lexlake.llm.bpe import bpe_round_trip
+
+    return bpe_round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op10_bit_plane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, write bit-plane token files in order of doc_id and read them back."""
     from lexlake.llm.token_files import read_token_files, write_token_files
@@ -25,7 +39,7 @@ def op10_bit_plane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_bit_plane_token_files,)}
+    return {f.__name__: f for f in (op3_harmonic_packing, op7_prefix_bpe, op10_bit_plane_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
