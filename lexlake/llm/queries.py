@@ -30,6 +30,13 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on all documents, with verdicts of their hosts."""
+    from lexlake.llm.quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_bit_plane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, write bit-plane token files in order of doc_id and read them back."""
     from lexlake.llm.token_files import read_token_files, write_token_files
@@ -39,9 +46,11 @@ def op10_bit_plane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_harmonic_packing, op7_prefix_bpe, op10_bit_plane_token_files)}
+    return {f.__name__: f for f in (op3_harmonic_packing, op7_prefix_bpe, op8_host_quality_rules, op10_bit_plane_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    from lexlake.llm import sql
+
+    return {"op8_host_quality_rules": sql.QUALITY}
