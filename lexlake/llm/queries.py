@@ -16,6 +16,20 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowing fingerprints of all documents and of their edited texts."""
+    from lexlake.llm.fingerprints import edit_likeness
+
+    return edit_likeness(table(spark, sf_dir, "documents"))
+
+
+def op2_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC records in ZIP packages and read them back by range."""
+    from lexlake.llm.warc import archive_round_trip
+
+    return archive_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 4096 tokens."""
     from lexlake.llm.packing import pack
@@ -46,11 +60,11 @@ def op10_bit_plane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_harmonic_packing, op7_prefix_bpe, op8_host_quality_rules, op10_bit_plane_token_files)}
+    return {f.__name__: f for f in (op1_winnowing_fingerprints, op2_warc_packages, op3_harmonic_packing, op7_prefix_bpe, op8_host_quality_rules, op10_bit_plane_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
     from lexlake.llm import sql
 
-    return {"op8_host_quality_rules": sql.QUALITY}
+    return {"op2_warc_packages": sql.WARC, "op8_host_quality_rules": sql.QUALITY}
