@@ -58,6 +58,13 @@ def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_language_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, by filters that two thirds of them have taught."""
+    from lexlake.llm.language import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_bit_plane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, write bit-plane token files in order of doc_id and read them back."""
     from lexlake.llm.token_files import read_token_files, write_token_files
@@ -67,7 +74,7 @@ def op10_bit_plane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowing_fingerprints, op2_warc_packages, op3_harmonic_packing, op5_jaccard_components, op7_prefix_bpe, op8_host_quality_rules, op10_bit_plane_token_files)}
+    return {f.__name__: f for f in (op1_winnowing_fingerprints, op2_warc_packages, op3_harmonic_packing, op5_jaccard_components, op7_prefix_bpe, op8_host_quality_rules, op9_language_bitmask_filters, op10_bit_plane_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
