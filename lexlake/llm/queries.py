@@ -37,6 +37,14 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' URLs by rules and boosted trees."""
+    from lexlake.llm.url_filter import filter_urls, label_urls
+
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, label_urls(pages, table(spark, sf_dir, "labels")))
+
+
 def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingles are alike to 0.8 or more."""
     from lexlake.llm.jaccard import jaccard_components
@@ -44,6 +52,13 @@ def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by class-conditional language models."""
+    from lexlake.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents by prefix dynamic programming and decode them."""
     from lexlake.llm.bpe import bpe_round_trip
@@ -74,7 +89,7 @@ def op10_bit_plane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowing_fingerprints, op2_warc_packages, op3_harmonic_packing, op5_jaccard_components, op7_prefix_bpe, op8_host_quality_rules, op9_language_bitmask_filters, op10_bit_plane_token_files)}
+    return {f.__name__: f for f in (op1_winnowing_fingerprints, op2_warc_packages, op3_harmonic_packing, op4_url_trees, op5_jaccard_components, op6_kneser_ney_toxicity, op7_prefix_bpe, op8_host_quality_rules, op9_language_bitmask_filters, op10_bit_plane_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
