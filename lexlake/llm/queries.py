@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexlake.storage import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -34,7 +34,7 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 4096 tokens."""
     from lexlake.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
 def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents by prefix dynamic programming and decode them."""
     from lexlake.llm.bpe import bpe_round_trip
 
-    return bpe_round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def op10_bit_plane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, write bit-plane token files in order of doc_id and read them back."""
     from lexlake.llm.token_files import read_token_files, write_token_files
 
-    manifest = write_token_files(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
+    manifest = write_token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
     return read_token_files(spark, manifest).withColumnRenamed("key", "doc_id")
 
 
