@@ -176,39 +176,74 @@ def _postings(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
 
     every = W.partitionBy("sig")
     rows = docs.mapInArrow(signed, _long(*names)).filter("id IS NOT NULL")
-    hubs = rows.withColumn("hub", F.min(F.struct("n", "id")).over(every)).withColumn("c", F.count(F.lit(1)).over(every))
-    return materialize(hubs.filter("c > 1").select("sig", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "postings")
+    hubs = rows.withColumns({"hub": F.min(F.struct("n", "id")).over(every), "c": F.count(F.lit(1)).over(every), "same": F.bit_xor(F.xxhash64("id")).over(every)})
+    # Signatures of the same sets lead to the same pairs: one of them stands for all.
+    alike = hubs.filter("c > 1").select(F.xxhash64("same", "c").alias("sig"), "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    return materialize(alike.distinct(), "postings")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough. Sets travel only for documents in pairs, once for each pair."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("elements", T.BinaryType())])
+def bitmap(elements: np.ndarray) -> np.ndarray:
+    """Parities of how many elements fall on each of at least twice as many bits (a power of two)."""
+    bits = max(256, 2 << int(len(elements) - 1).bit_length()) if len(elements) else 256
+    return np.packbits(np.bincount((elements & U64(bits - 1)).astype(np.int64), minlength=bits) & 1)
+
+
+def _folded(x: np.ndarray, size: int) -> np.ndarray:
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _sets(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """(id, n, column) for the documents among ids; column: bits (bitmaps) or elements (whole sets)."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField(column, T.BinaryType())])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in blocks(batch.column("text")):
                 sets, where, _, _ = shingles(data, at)
-                raw, ends = sets.tobytes(), (8 * where).tolist()
-                yield _arrow([batch.column("id").slice(i, j - i), pa.array([raw[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "elements"])
+                own = (sets[x:y] for x, y in zip(where[:-1].tolist(), where[1:].tolist(), strict=True))
+                raw = [(bitmap(x) if column == "bits" else x).tobytes() for x in own]
+                yield _arrow([batch.column("id").slice(i, j - i), np.diff(where), pa.array(raw, pa.binary())], schema.names)
 
-    sets = materialize(_only(docs, ids, "left_semi").mapInArrow(sets_of, schema).dropDuplicates(["id"]), "sets")
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")).hint("shuffle_merge"), "a")
-    both = one.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")).hint("shuffle_merge"), "b").select("a", "b", "x", "y")
+    return materialize(_only(docs, ids, "left_semi").mapInArrow(sets_of, schema), column)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                merged = np.concatenate((x, y))
-                merged.sort()
-                same = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            kept = pa.array(keep, pa.bool_())
-            yield _arrow([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
-    return materialize(both.mapInArrow(compare, _long("a", "b")), "links")
+def _linked(docs: DataFrame, bits: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are alike enough.
+
+    Bitmaps come first: bits that differ are a lower bound of the elements that only one set has. Whole sets are made
+    for documents in the pairs that this leaves, and travel once for each such pair.
+    """
+
+    def joined(found: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+        one = found.join(sets.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col(column).alias("x")).hint("shuffle_merge"), "a")
+        return one.join(sets.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col(column).alias("y")).hint("shuffle_merge"), "b").select("a", "b", "n1", "n2", "x", "y")
+
+    def kept(test, dtype):
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = zip(batch.column("n1").to_pylist(), batch.column("n2").to_pylist(), strict=True)
+                keep = pa.array([test(p, q, np.frombuffer(x.as_buffer(), dtype), np.frombuffer(y.as_buffer(), dtype)) for (p, q), x, y in zip(n, batch.column("x"), batch.column("y"), strict=True)], pa.bool_())
+                yield _arrow([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+        return compare
+
+    def may(p: int, q: int, x: np.ndarray, y: np.ndarray) -> bool:
+        size = min(len(x), len(y))
+        apart = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+        # With so many apart, at most (p + q - apart) / 2 are shared.
+        return 100 * (p + q - apart) >= percent * (p + q + apart)
+
+    def does(p: int, q: int, x: np.ndarray, y: np.ndarray) -> bool:
+        both = np.concatenate((x, y))
+        both.sort()
+        same = int(np.count_nonzero(both[1:] == both[:-1]))
+        return 100 * same >= percent * (p + q - same)
+
+    likely = materialize(joined(pairs, bits, "bits").mapInArrow(kept(may, np.uint8), _long("a", "b")), "likely")
+    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return materialize(joined(likely, _sets(docs, ids, "elements"), "elements").mapInArrow(kept(does, np.uint64), _long("a", "b")), "links")
 
 
 def _near_size(x: str, y: str, percent: int) -> F.Column:
@@ -236,7 +271,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     nodes = _only(docs, named.filter("rep <> id").select("id").distinct(), "left_anti")
     postings = _postings(nodes, frequent, percent)
     first = materialize(postings.filter((F.col("id") != F.col("hub")) & _near_size("n", "hub_n", percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    links = _linked(docs, first, percent)
+    bits = _sets(nodes, postings.select("id").distinct(), "bits")
+    links = _linked(nodes, bits, first, percent)
     groups = components(links)
 
     # Signatures whose sets lie in several components still: all pairs between these, but those already compared.
@@ -249,7 +285,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     second = materialize(crossing.join(done, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        groups = components(stars.unionByName(_linked(docs, second, percent)))
+        groups = components(stars.unionByName(_linked(nodes, bits, second, percent)))
 
     few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     groups = groups.withColumnRenamed("node", "rep")
