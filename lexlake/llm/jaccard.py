@@ -8,8 +8,9 @@ with p_g frequent shingles in group g counts as sum(max(0, p_g - 1)), since unle
 group holds at most one common shingle. Sets too small to be extended so far are compared with each other on single
 shingles, in a name space of their own. Any choice of frequent shingles gives the same links; it only sets the cost.
 
-Equal sets are one node. Documents with a signature in common are first compared with one of them; components of the
-links found so far spare the comparisons within them, and what is left between components is compared in full.
+Equal sets are one node. Documents with a signature in common are first compared with HUBS of them, which covers small
+groups whole; components of the links found so far then spare comparisons within them, and what is left between
+components in larger groups is compared in full.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ LOCAL_DOCS, LOCAL_SHINGLES = 4, 4_000_000
 GROUPS = 16
 #: Pairs with a set below SMALL use single shingles; (GROUPS + 1) / 0.8 is the least that can be extended.
 SMALL = 32
+#: Documents of a signature that all others are compared with first.
+HUBS = 8
+#: Sets of a signature that a task compares with as many others; larger groups are cut into such blocks.
+BLOCK_SETS = 512
 _SMALL_SPACE = U64(0xA24BAED4963EE407)
 
 
@@ -164,7 +169,7 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def _postings(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(sig, id, n, hub): signatures that several sets have, with the smallest of those sets as hub."""
+    """(sig, id, n, place): signatures that several sets have, each with its sets in an order that is random but alike for all."""
     names = ["sig", "id", "n"]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +181,10 @@ def _postings(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
 
     every = W.partitionBy("sig")
     rows = docs.mapInArrow(signed, _long(*names)).filter("id IS NOT NULL")
-    hubs = rows.withColumns({"hub": F.min(F.struct("n", "id")).over(every), "c": F.count(F.lit(1)).over(every), "same": F.bit_xor(F.xxhash64("id")).over(every)})
+    several = rows.withColumns({"c": F.count(F.lit(1)).over(every), "same": F.bit_xor(F.xxhash64("id")).over(every)}).filter("c > 1")
     # Signatures of the same sets lead to the same pairs: one of them stands for all.
-    alike = hubs.filter("c > 1").select(F.xxhash64("same", "c").alias("sig"), "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
-    return materialize(alike.distinct(), "postings")
+    alike = several.select(F.xxhash64("same", "c").alias("sig"), "id", "n").distinct()
+    return materialize(alike.withColumn("place", F.row_number().over(every.orderBy(F.xxhash64("id"), "id"))), "postings")
 
 
 def bitmap(elements: np.ndarray) -> np.ndarray:
@@ -209,41 +214,122 @@ def _sets(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return materialize(_only(docs, ids, "left_semi").mapInArrow(sets_of, schema), column)
 
 
-def _linked(docs: DataFrame, bits: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough.
+def _may_link(p: int, q: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of q elements and bitmaps y (rows) can be alike enough to one of p with bitmap x.
 
-    Bitmaps come first: bits that differ are a lower bound of the elements that only one set has. Whole sets are made
-    for documents in the pairs that this leaves, and travel once for each such pair.
+    Bits that differ are a lower bound of the elements that only one of them has: with d such, (p + q - d) / 2 are shared at most.
     """
+    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return 100 * (p + q - apart) >= percent * (p + q + apart)
 
-    def joined(found: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-        one = found.join(sets.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col(column).alias("x")).hint("shuffle_merge"), "a")
-        return one.join(sets.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col(column).alias("y")).hint("shuffle_merge"), "b").select("a", "b", "n1", "n2", "x", "y")
 
-    def kept(test, dtype):
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n = zip(batch.column("n1").to_pylist(), batch.column("n2").to_pylist(), strict=True)
-                keep = pa.array([test(p, q, np.frombuffer(x.as_buffer(), dtype), np.frombuffer(y.as_buffer(), dtype)) for (p, q), x, y in zip(n, batch.column("x"), batch.column("y"), strict=True)], pa.bool_())
-                yield _arrow([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+def _verified(docs: DataFrame, likely: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are alike enough. Sets are made for documents in pairs, and travel once for each pair."""
+    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    both = _with_both(likely, _sets(docs, ids, "elements"), "elements")
 
-        return compare
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                merged = np.concatenate((np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)))
+                merged.sort()
+                same = int(np.count_nonzero(merged[1:] == merged[:-1]))
+                keep.append(100 * same >= percent * (len(merged) - same))
+            keep = pa.array(keep, pa.bool_())
+            yield _arrow([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    def may(p: int, q: int, x: np.ndarray, y: np.ndarray) -> bool:
-        size = min(len(x), len(y))
-        apart = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
-        # With so many apart, at most (p + q - apart) / 2 are shared.
-        return 100 * (p + q - apart) >= percent * (p + q + apart)
+    return materialize(both.mapInArrow(compare, _long("a", "b")), "links")
 
-    def does(p: int, q: int, x: np.ndarray, y: np.ndarray) -> bool:
-        both = np.concatenate((x, y))
-        both.sort()
-        same = int(np.count_nonzero(both[1:] == both[:-1]))
-        return 100 * same >= percent * (p + q - same)
 
-    likely = materialize(joined(pairs, bits, "bits").mapInArrow(kept(may, np.uint8), _long("a", "b")), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return materialize(joined(likely, _sets(docs, ids, "elements"), "elements").mapInArrow(kept(does, np.uint64), _long("a", "b")), "links")
+def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with sizes n1, n2 and the column's values x, y of both."""
+    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col(column).alias("x")).hint("shuffle_merge"), "a")
+    return one.join(sets.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col(column).alias("y")).hint("shuffle_merge"), "b").select("a", "b", "n1", "n2", "x", "y")
+
+
+def _likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps don't rule out."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for p, q, x, y in zip(batch.column("n1").to_pylist(), batch.column("n2").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                keep.append(bool(_may_link(p, np.array([q]), _folded(x, size), _folded(y, size)[None], percent)[0]))
+            keep = pa.array(keep, pa.bool_())
+            yield _arrow([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return materialize(_with_both(pairs, bits, "bits").mapInArrow(compare, _long("a", "b")), "likely")
+
+
+def likely_in_block(ids: np.ndarray, n: np.ndarray, g: np.ndarray, side: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
+    """Pairs (rows of ids, larger first) of different components g and different sides (or both of side 2) that may link."""
+    order = np.argsort(n, kind="stable")
+    ids, n, g, side, bits = ids[order], n[order], g[order], side[order], [bits[k] for k in order]
+    width = np.array([len(x) for x in bits])
+    # Sizes in reach differ by less than a factor of two, so a row meets bitmaps of its own width and of the next.
+    rows, folded = {}, {}
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        rows[w] = (at[0], np.stack([bits[k] for k in at]))
+        folded[w] = rows[w][1][:, : w // 2] ^ rows[w][1][:, w // 2 :]
+    end = np.searchsorted(percent * n, 100 * n, "right")
+    out = []
+    for i in range(len(ids)):
+        for w, table in ((width[i], rows), (2 * width[i], folded)):
+            if w not in rows:
+                continue
+            first, last = max(i + 1, rows[w][0]), min(int(end[i]), rows[w][0] + len(rows[w][1]))
+            if first >= last:
+                continue
+            y = (rows[w][1] if table is rows else folded[w])[first - rows[w][0] : last - rows[w][0]]
+            fits = (g[first:last] != g[i]) & ((side[first:last] != side[i]) | (side[i] == 2)) & _may_link(int(n[i]), n[first:last], bits[i], y, percent)
+            hits = first + np.flatnonzero(fits)
+            out.append(np.stack([np.maximum(ids[hits], ids[i]), np.minimum(ids[hits], ids[i])], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _likely_across(rest: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets in one signature but different components that bitmaps don't rule out.
+
+    rest: (sig, id, g, place). A signature's sets are cut into blocks by place; each pair of blocks is a task's unit, so a hot
+    signature is spread, and no pair becomes a row unless it may link.
+    """
+    last = F.floor((F.max("place").over(W.partitionBy("sig")) - 1) / BLOCK_SETS)
+    own = F.floor((F.col("place") - 1) / BLOCK_SETS)
+    rows = rest.withColumns({"k": own, "last": last}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    side = F.when(F.col("k") == F.col("other"), 2).when(F.col("k") < F.col("other"), 0).otherwise(1)
+    rows = rows.select("sig", F.least("k", "other").alias("lo"), F.greatest("k", "other").alias("hi"), "id", "g", side.alias("side"))
+    dealt = rows.join(bits, "id").select("sig", "lo", "hi", "id", "g", "side", "n", "bits").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in t["bits"].combine_chunks()]
+            ids, n, g, side = (t[c].to_numpy() for c in ("id", "n", "g", "side"))
+            found = np.unique(likely_in_block(ids, n, g, side, raw, percent), axis=0)
+            held.clear()
+            if len(found):
+                yield _arrow([np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])], ["a", "b"])
+
+        key = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "lo", "hi")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if j > i:
+                    if held and tuple(keys[i]) != key:
+                        yield from pairs()
+                    key = tuple(keys[i])
+                    held.append(batch.slice(i, j - i))
+        if held:
+            yield from pairs()
+
+    return materialize(dealt.mapInArrow(compare, _long("a", "b")).distinct(), "likely")
 
 
 def _near_size(x: str, y: str, percent: int) -> F.Column:
@@ -270,22 +356,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     nodes = _only(docs, named.filter("rep <> id").select("id").distinct(), "left_anti")
     postings = _postings(nodes, frequent, percent)
-    first = materialize(postings.filter((F.col("id") != F.col("hub")) & _near_size("n", "hub_n", percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    hub = postings.filter(F.col("place") <= HUBS).select("sig", F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("before"))
+    first = postings.join(hub, "sig").filter((F.col("before") < F.col("place")) & _near_size("n", "m", percent)).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"))
+    first = materialize(first.filter("a <> b").distinct(), "pairs")
     bits = _sets(nodes, postings.select("id").distinct(), "bits")
-    links = _linked(nodes, bits, first, percent)
+    links = _verified(nodes, _likely(first, bits, percent), percent)
     groups = components(links)
 
-    # Signatures whose sets lie in several components still: all pairs between these, but those already compared.
-    whole = postings.join(groups.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("g"))
-    apart = whole.groupBy("sig").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("sig")
-    open_ = materialize(whole.join(apart, "sig", "left_semi"), "open")
-    x, y = (open_.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "g"))) for k in (1, 2))
-    crossing = x.join(y, "sig").filter((F.col("id1") < F.col("id2")) & (F.col("g1") != F.col("g2")) & _near_size("n1", "n2", percent)).select(F.col("id2").alias("a"), F.col("id1").alias("b")).distinct()
-    done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    second = materialize(crossing.join(done, ["a", "b"], "left_anti"), "pairs")
+    # Signatures whose other sets lie in several components still: all pairs between these.
+    rest = postings.filter(F.col("place") > HUBS).join(groups.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "place", F.coalesce("component", "id").alias("g"))
+    rest = materialize(rest, "rest")
+    apart = rest.groupBy("sig").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("sig")
+    second = _likely_across(rest.join(apart, "sig", "left_semi"), bits, percent)
     if not second.isEmpty():
         stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        groups = components(stars.unionByName(_linked(nodes, bits, second, percent)))
+        groups = components(stars.unionByName(_verified(nodes, second, percent)))
 
     few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     groups = groups.withColumnRenamed("node", "rep")
