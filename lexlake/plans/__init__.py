@@ -1,0 +1 @@
+"""Queries over the test tables, one or more for each operator family."""
