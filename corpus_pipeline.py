@@ -19,16 +19,21 @@ from lexlake.storage import BROADCAST_ROWS, materialize, table
 LEAST_HIT_RATE = 0.1
 
 
+def _rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """Whole rows as one column beside those that an operator reads, so that no name of theirs clashes."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), *columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in a language that the labelled rows teach; null texts, texts without letters and gibberish go."""
-    found = language.detect(docs, language.train(docs))
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("hit_rate") >= LEAST_HIT_RATE)).select(*docs.columns)
+    found = language.detect(_rows(docs, "text"), language.train(docs))
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("hit_rate") >= LEAST_HIT_RATE)).select("__row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the rules, from hosts that do. Null and empty texts go."""
-    judged = quality.quality_counts(docs.withColumn("__judged", F.col("text")), "__judged").withColumn("__failed", quality.base_failed())
-    return quality.with_host_verdict(judged, "source", "__failed").filter("kept").select(*docs.columns)
+    judged = quality.quality_counts(_rows(docs, "text", "source")).withColumn("base_failed", quality.base_failed())
+    return quality.with_host_verdict(judged, "source").filter("kept").select("__row.*")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
