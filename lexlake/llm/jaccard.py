@@ -264,10 +264,14 @@ def _likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return materialize(_with_both(pairs, bits, "bits").mapInArrow(compare, _long("a", "b")), "likely")
 
 
-def likely_in_block(ids: np.ndarray, n: np.ndarray, g: np.ndarray, side: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
-    """Pairs (rows of ids, larger first) of different components g and different sides (or both of side 2) that may link."""
+def likely_in_block(ids: np.ndarray, n: np.ndarray, g: np.ndarray, side: np.ndarray, bits: list[np.ndarray], percent: int, met: list[int] | None = None) -> np.ndarray:
+    """Pairs (rows of ids, larger first) of different components g and different sides (or both of side 2) that may link.
+
+    met: a bit mask for each set; pairs with a bit in common are compared elsewhere.
+    """
     order = np.argsort(n, kind="stable")
     ids, n, g, side, bits = ids[order], n[order], g[order], side[order], [bits[k] for k in order]
+    met = [met[k] for k in order] if met else [0] * len(ids)
     width = np.array([len(x) for x in bits])
     # Sizes in reach differ by less than a factor of two, so a row meets bitmaps of its own width and of the next.
     rows, folded = {}, {}
@@ -287,6 +291,8 @@ def likely_in_block(ids: np.ndarray, n: np.ndarray, g: np.ndarray, side: np.ndar
             y = (rows[w][1] if table is rows else folded[w])[first - rows[w][0] : last - rows[w][0]]
             fits = (g[first:last] != g[i]) & ((side[first:last] != side[i]) | (side[i] == 2)) & _may_link(int(n[i]), n[first:last], bits[i], y, percent)
             hits = first + np.flatnonzero(fits)
+            if met[i]:
+                hits = hits[[not met[i] & met[j] for j in hits.tolist()]] if len(hits) else hits
             out.append(np.stack([np.maximum(ids[hits], ids[i]), np.minimum(ids[hits], ids[i])], axis=1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
@@ -295,14 +301,16 @@ def _likely_across(rest: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets in one signature but different components that bitmaps don't rule out.
 
     rest: (sig, id, g, place). A signature's sets are cut into blocks by place; each pair of blocks is a task's unit, so a hot
-    signature is spread, and no pair becomes a row unless it may link.
+    signature is spread, and no pair becomes a row unless it may link. Two sets with several signatures in common are compared
+    for the least of these only: every row brings its set's signatures, which are no more than the set has elements to sign with.
     """
+    every = rest.groupBy("id").agg(F.collect_list("sig").alias("sigs"))
     last = F.floor((F.max("place").over(W.partitionBy("sig")) - 1) / BLOCK_SETS)
     own = F.floor((F.col("place") - 1) / BLOCK_SETS)
     rows = rest.withColumns({"k": own, "last": last}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     side = F.when(F.col("k") == F.col("other"), 2).when(F.col("k") < F.col("other"), 0).otherwise(1)
     rows = rows.select("sig", F.least("k", "other").alias("lo"), F.greatest("k", "other").alias("hi"), "id", "g", side.alias("side"))
-    dealt = rows.join(bits, "id").select("sig", "lo", "hi", "id", "g", "side", "n", "bits").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+    dealt = rows.join(bits.join(every, "id"), "id").select("sig", "lo", "hi", "id", "g", "side", "n", "bits", "sigs").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -311,7 +319,10 @@ def _likely_across(rest: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
             t = pa.Table.from_batches(held)
             raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in t["bits"].combine_chunks()]
             ids, n, g, side = (t[c].to_numpy() for c in ("id", "n", "g", "side"))
-            found = np.unique(likely_in_block(ids, n, g, side, raw, percent), axis=0)
+            own, places, met = t["sig"][0].as_py(), {}, []
+            for sigs in t["sigs"].to_pylist():
+                met.append(sum(1 << places.setdefault(x, len(places)) for x in sigs if x < own))
+            found = likely_in_block(ids, n, g, side, raw, percent, met)
             held.clear()
             if len(found):
                 yield _arrow([np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])], ["a", "b"])
