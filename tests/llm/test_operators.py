@@ -294,6 +294,26 @@ def test_op6(spark):
     assert {x.score for x in toxicity.toxicity(docs, marks.limit(0)).collect()} == {0.0}
 
 
+def test_op6_counts_all_folds(spark):
+    """An expression that only documents of one fold teach is known, whichever of the three it is."""
+    r, texts, labels = random.Random(8), [], []
+    mark = {0: "grukk", 1: "vilpo", 3: "snarf"}
+    for i in range(1600):
+        fold, toxic = zlib.crc32(str(i).encode()) % 4, i % 5 == 0
+        own = mark[r.choice(sorted(mark)) if fold == 2 else fold]
+        words = prose(i, r.randint(20, 60)).split()
+        for _ in range(3 * toxic):
+            words.insert(r.randrange(len(words)), own)
+        texts.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    docs, marks = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.toxicity(docs, marks).filter("held_out").collect()}
+    for word in mark.values():
+        found = [got[i] for i, t in texts if i in got and word in t.split()]
+        assert len(found) > 10 and np.mean(found) > 0.9
+    assert np.mean([got[i] for i, _, toxic in labels if i in got and not toxic]) < 0.05
+
+
 def test_op8_counts(spark, odd):
     texts = [*HARD, "a b c a b c\na b c a b c\n\n \na b c a b c", "a b c x a b c", "x\ny\nx\n x", "#*$%&|<>é", prose(6, 300)]
     got = quality.quality_counts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).orderBy("i").collect()
