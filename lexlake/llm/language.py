@@ -23,8 +23,9 @@ from lexlake.llm.scan import U64, blocks, mix
 
 #: Lengths of n-grams, in code points; every run of other characters than letters counts as one space.
 ORDERS = (2, 3, 4)
-#: Labelled rows that are looked at: about so many, chosen by a hash of the key.
-TRAIN_ROWS = 20_000
+#: Labelled rows that are looked at: about so many, chosen by a hash of the key and language by language; of each language
+#: about LEAST_ROWS at least, or all of its rows.
+TRAIN_ROWS, LEAST_ROWS = 20_000, 100
 #: N-grams of each length in a language's filter: at most so many, each in this share of them at least.
 TOP, LEAST_SHARE = 3_000, 1e-5
 #: Cells of the filters (a power of two) and cells that an n-gram sets.
@@ -102,17 +103,31 @@ def build_filters(top: dict[str, np.ndarray], fallback: str, cells: int = CELLS)
     return LanguageFilters(names, masks, fallback)
 
 
+def rows_each(counts: list[int], rows: int) -> int:
+    """Most rows of a language, so that all languages, rarer ones whole, have rows together; LEAST_ROWS at least."""
+    left, each = rows, 0
+    for k, n in enumerate(sorted(counts)):
+        each = left // (len(counts) - k)
+        if n > each:
+            break
+        left, each = left - n, n
+    return max(each, LEAST_ROWS)
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> LanguageFilters | None:
-    """Filters from rows with a language: about rows of them, by a hash of the key. None without such rows.
+    """Filters from rows with a language: about rows of them, by a hash of the key, of each language. None without such rows.
 
     N-grams are counted in all of these rows; what comes to the driver is TOP n-grams a language and order at most.
     """
-    known = docs.filter(F.col(lang).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"))
-    n = known.count()
-    if not n:
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(1 << 30))
+    known = docs.filter(F.col(lang).isNotNull()).select(draw.alias("draw"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"))
+    languages = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("first")).collect()
+    if not languages:
         return None
-    part = known.filter(F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30)))
-    part = part if not part.isEmpty() else known.orderBy("id").limit(rows)
+    each = rows_each([r.n for r in languages], rows)
+    # One row of a language is drawn at least.
+    last = [(r.lang, max(r.first, int(min(1.0, each / r.n) * (1 << 30)) - 1)) for r in languages]
+    part = known.join(F.broadcast(docs.sparkSession.createDataFrame(last, "lang string, last long")), "lang").filter("draw <= last")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +146,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     shared = counts.groupBy("lang", "k").agg(F.sum("n").alias("all"))
     ranked = counts.join(F.broadcast(shared), ["lang", "k"]).filter(F.col("n") >= F.lit(LEAST_SHARE) * F.col("all")).withColumn("r", F.row_number().over(each.orderBy(F.col("n").desc(), "h")))
     best = ranked.filter(F.col("r") <= TOP).select("lang", "h").collect()
-    common = part.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").first()["lang"]
+    common = min(languages, key=lambda r: (-r.n, r.lang)).lang
     top: dict[str, list[int]] = {}
     for r in best:
         top.setdefault(r.lang, []).append(r.h)

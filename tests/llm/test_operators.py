@@ -345,6 +345,19 @@ def test_op9(spark):
     assert language.predict_languages(df.limit(0)).count() == 0
 
 
+def test_op9_rare_languages(spark):
+    """A language with few of many rows is taught as well."""
+    seeds = {"aa": "the of and tion er on", "bb": "der und ung keit sch ä ö", "cc": "là que é ment eux ai", "dd": "ção nh lh os ões um"}
+    r = random.Random(4)
+    text = lambda lang: " ".join("".join(r.choice(seeds[lang].split()) for _ in range(r.randint(1, 3))) for _ in range(12))
+    rows = [(i, text(lang), lang) for i in range(15_000) for lang in [["bb", "cc", "dd"][i // 1000] if i % 1000 < 5 and i < 3000 else "aa"]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language.train(df, rows=500)
+    assert filters.languages == sorted(seeds) and filters.fallback == "aa"
+    assert [x.lang_pred == x.lang for x in language.detect(df.filter("lang <> 'aa'"), filters).collect()] == [True] * 15
+    assert language.rows_each([5, 2000, 3000], 1000) == 497 and language.rows_each([5, 200, 300], 1000) == 300
+
+
 def test_filters_hold_what_they_were_given():
     r = np.random.default_rng(1)
     top = {f"l{k:02d}": r.integers(0, 1 << 63, 500).astype(np.uint64) for k in range(70)}  # more than one word of languages
