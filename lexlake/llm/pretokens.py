@@ -2,7 +2,8 @@
 
 Byte-pair merges never cross a pre-token, so a text's ids are those of its pre-tokens in turn.
 Pre-tokens are found with numpy from a table of character classes. A table of fixed size remembers
-the ids of words seen before; only the others go to the encoder. What the table rules can't express
+the words seen before with their ids; only the others go to the encoder. Words are found in it by a hash and
+then compared character by character, so a false hit can't give false ids. What the table rules can't express
 (special tokens in the text, characters that normalisation would change) takes the encoder's own path.
 """
 
@@ -103,41 +104,68 @@ def word_pretokens(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts[kept], ends[kept]
 
 
+class _Pool:
+    """Runs of 32-bit values that grow at the end: run k is values[at[k] : at[k] + length[k]]."""
+
+    def __init__(self) -> None:
+        self.at, self.length, self.values = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.n = self.used = 0
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers of new runs with these lengths."""
+        n, used = self.n, self.used
+        self.n, self.used = n + len(lengths), used + len(flat)
+        while len(self.at) < self.n:
+            self.at, self.length = np.resize(self.at, 2 * len(self.at)), np.resize(self.length, 2 * len(self.at))
+        while len(self.values) < self.used:
+            self.values = np.resize(self.values, 2 * len(self.values))
+        self.at[n : self.n], self.length[n : self.n] = used + np.cumsum(lengths) - lengths, lengths
+        self.values[used : self.used] = flat
+        return np.arange(n, self.n)
+
+    def runs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of these runs one after the other, and their lengths."""
+        lengths = self.length[which]
+        return self.values[ragged(self.at[which], lengths)], lengths
+
+
 class PretokenEncoder:
     """Ids of texts, from encode_words: words -> ids of each.
 
     scheme: "byte" or "word". specials: special tokens that stand for themselves in a text, with their ids.
     fallback: ids of one text that the tables don't cover (the word scheme only).
-    slots, pool: sizes of the table and of the ids that it refers to; it starts anew when they are used up.
+    slots, pool: sizes of the table and of the words and ids that it refers to; it starts anew when they are used up.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[Sequence[int]]], scheme: str, specials: dict[str, int], fallback: Callable[[str], Sequence[int]] | None = None, slots: int = 1 << 21, pool: int = 1 << 23):
+    def __init__(self, encode_words: Callable[[list[str]], list[Sequence[int]]], scheme: str, specials: dict[str, int], fallback: Callable[[str], Sequence[int]] | None = None, slots: int = 1 << 21, pool: int = 1 << 24):
         self.encode_words, self.scheme, self.specials, self.fallback = encode_words, scheme, specials, fallback
         self.slots, self.limit, self.shift = slots, pool, U64(64 - slots.bit_length() + 1)
         self._reset()
 
     def _reset(self) -> None:
         self.keys, self.entry = np.zeros(self.slots, U64), np.zeros(self.slots, np.int32)
-        self.at, self.length, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
-        self.entries = self.used = 0
+        self.ids, self.words = _Pool(), _Pool()
 
-    def _add(self, found: list[Sequence[int]]) -> np.ndarray:
+    def _add(self, text: str, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Entries for the words at starts and ends."""
+        found = self.encode_words([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-        n, used = self.entries, self.used
-        while len(self.at) < n + len(found):
-            self.at, self.length = np.resize(self.at, 2 * len(self.at)), np.resize(self.length, 2 * len(self.at))
-        while len(self.pool) < used + len(flat):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.at[n : n + len(found)] = used + np.cumsum(lengths) - lengths
-        self.length[n : n + len(found)] = lengths
-        self.pool[used : used + len(flat)] = flat
-        self.entries, self.used = n + len(found), used + len(flat)
-        return np.arange(n, self.entries)
+        self.words.add(cps[ragged(starts, ends - starts)], ends - starts)
+        return self.ids.add(np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths)
+
+    def _same(self, entry: np.ndarray, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each word is its entry's, character by character."""
+        n = ends - starts
+        same = self.words.length[entry] == n
+        which = np.flatnonzero(same)
+        here, there = ragged(starts[which], n[which]), ragged(self.words.at[entry[which]], n[which])
+        differ = np.flatnonzero(cps[here] != self.words.values[there])
+        same[which[np.searchsorted(np.cumsum(n[which]), differ, "right")]] = False
+        return same
 
     def _block(self, text: str, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts between the offsets (in code points) of text; where each one's begin (n + 1)."""
-        if self.used > self.limit:
+        if self.ids.used + self.words.used > self.limit:
             self._reset()
         cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         if self.scheme == "word":
@@ -153,12 +181,14 @@ class PretokenEncoder:
         if len(new):
             keys, one, back = np.unique(h[new], return_index=True, return_inverse=True)
             one = new[one]
-            made = self._add(self.encode_words([text[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]))
+            made = self._add(text, cps, starts[one], ends[one])
             entry[new] = made[back]
             place = (keys >> self.shift).astype(np.int64)
             self.keys[place], self.entry[place] = keys, made
-        lengths = self.length[entry]
-        ids = self.pool[ragged(self.at[entry], lengths)]
+        false = np.flatnonzero(~self._same(entry, cps, starts, ends))
+        if len(false):
+            entry[false] = self._add(text, cps, starts[false], ends[false])
+        ids, lengths = self.ids.runs(entry)
         before = np.append(0, np.cumsum(lengths))
         return ids, before[np.searchsorted(starts, offsets)]
 

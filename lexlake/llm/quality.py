@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexlake.llm.scan import U64, WHITE, blocks, mix, span_hashes, spans, words
+from lexlake.llm.scan import WHITE, blocks, counted, mix, span_hashes, spans, words
 from lexlake.storage import BROADCAST_ROWS
 
 #: A host fails when its shrunk rate of failing documents is above this.
@@ -41,17 +41,13 @@ def text_counts(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """COUNTS of each text between the offsets."""
     n = len(at) - 1
 
-    def per_text(flags: np.ndarray) -> np.ndarray:
-        return np.diff(np.append(0, np.cumsum(flags))[at])
-
     h, starts, _, first = words(data, at)
     n_words = np.diff(first)
     owner = np.repeat(np.arange(n), n_words)
-    chars = per_text(~WHITE[data] & ((data & 0xC0) != 0x80))
+    chars = counted(~WHITE[data] & ((data & 0xC0) != 0x80), at)
 
     line_starts, line_ends = spans(data != 0x0A, at)
-    seen = np.append(0, np.cumsum(np.bincount(starts, minlength=len(data) or 1)))
-    full = seen[line_ends] > seen[line_starts]
+    full = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[full], line_ends[full]
     line_owner = np.searchsorted(at, line_starts, "right") - 1
     again = _repeated(span_hashes(data, line_starts, line_ends), line_owner)[1]
@@ -68,7 +64,7 @@ def text_counts(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         repeat = np.bincount(owner[marked], minlength=n)
     else:
         repeat = np.zeros(n, np.int64)
-    return [n_words, chars, per_text(_SYMBOLS[data]), dup_lines, repeat]
+    return [n_words, chars, counted(_SYMBOLS[data], at), dup_lines, repeat]
 
 
 def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
