@@ -35,7 +35,7 @@ PERCENT = 80
 #: Frequent shingles: at most so many, the commonest, of at least so many documents.
 MOST_FREQUENT, LEAST_DOCS = 1 << 16, 64
 #: A task reports shingles that it sees in so many of about so many shingles' worth of documents.
-LOCAL_DOCS, LOCAL_SHINGLES = 4, 4_000_000
+LOCAL_DOCS, LOCAL_SHINGLES = 4, 2_000_000
 GROUPS = 16
 #: Pairs with a set below SMALL use single shingles; (GROUPS + 1) / 0.8 is the least that can be extended.
 SMALL = 32
@@ -132,8 +132,12 @@ def _scan(docs: DataFrame) -> DataFrame:
         held, n_held, known = [], 0, set()
 
         def common() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            h, c = h[c >= LOCAL_DOCS], c[c >= LOCAL_DOCS]
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+            c = np.diff(np.append(first, len(every)))
+            h, c = every[first[c >= LOCAL_DOCS]], c[c >= LOCAL_DOCS]
             return _arrow([np.ones(len(h), np.int64), pa.nulls(len(h), pa.int64()), c.astype(np.int64), h.view(np.int64), np.zeros(len(h), np.int64)], names)
 
         for batch in batches:
@@ -149,7 +153,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 n_held += len(held[-1])
                 if n_held > LOCAL_SHINGLES:
                     yield common()
-                    held, n_held, known = [], 0, set()
+                    n_held, known = 0, set()
         if held:
             yield common()
 

@@ -8,35 +8,36 @@ the hits that its filter's fill would give by chance, and the language with most
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexlake.llm.pretokens import LETTER, classes, lowering
-from lexlake.llm.scan import U64, blocks, mix
+from lexlake.llm.scan import SECTION, U64, blocks, counted, mix
 
 #: Lengths of n-grams, in code points; every run of other characters than letters counts as one space.
 ORDERS = (2, 3, 4)
 #: Labelled rows that are looked at: about so many, chosen by a hash of the key and language by language; of each language
 #: about LEAST_ROWS at least, or all of its rows.
 TRAIN_ROWS, LEAST_ROWS = 20_000, 100
-#: N-grams of each length in a language's filter: at most so many, each in this share of them at least.
-TOP, LEAST_SHARE = 3_000, 1e-5
+#: N-grams in a language's filter: all that make up this share of its n-grams of that length at least. So there are
+#: 1 / LEAST_SHARE of them at most, whatever the corpus.
+LEAST_SHARE = 1e-4
 #: Cells of the filters (a power of two) and cells that an n-gram sets.
 CELLS, HASHES = 1 << 18, 3
 UNKNOWN = "und"
 
 
-def grams(cps: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: hashes of n-grams with a letter, and the text that each belongs to. cps: code points, at: offsets.
+def grams(cps: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Orders with hashes of n-grams that have a letter, and the text that each belongs to. cps: code points, at: offsets.
 
-    Texts are padded with a space at both ends.
+    Texts are padded with a space at both ends. A long text's n-grams come in sections.
     """
     n = len(at) - 1
     letter = classes()[cps] == LETTER
@@ -46,22 +47,21 @@ def grams(cps: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
     keep = letter.copy()
     keep[1:] |= letter[:-1] & (owner[1:] == owner[:-1])
     kept = np.flatnonzero(keep)
-    value, whose = np.where(letter[kept], low[kept], 0x20).astype(U64), owner[kept]
+    value, whose = np.where(letter[kept], low[kept], 0x20).astype(np.uint32), owner[kept]
     lead = np.searchsorted(whose, np.arange(n))
-    value, whose = np.insert(value, lead, U64(0x20)), np.insert(whose, lead, np.arange(n))
+    value, whose = np.insert(value, lead, np.uint32(0x20)), np.insert(whose, lead, np.arange(n))
     tail = np.searchsorted(whose, np.arange(n), "right")
     ends_bare = value[tail - 1] != 0x20
-    value, whose = np.insert(value, tail[ends_bare], U64(0x20)), np.insert(whose, tail[ends_bare], np.arange(n)[ends_bare])
+    value, whose = np.insert(value, tail[ends_bare], np.uint32(0x20)), np.insert(whose, tail[ends_bare], np.arange(n)[ends_bare])
     for order in ORDERS:
-        m = len(value) - order + 1
-        if m <= 0:
-            yield np.zeros(0, U64), np.zeros(0, np.int64)
-            continue
-        h = value[:m].copy()
-        for k in range(1, order):
-            h = h << U64(16) ^ h >> U64(47) ^ value[k : k + m]
-        inside = whose[:m] == whose[order - 1 :]
-        yield mix(h[inside] + U64(order)), whose[:m][inside]
+        for a in range(0, len(value) - order + 1, SECTION):
+            own, owns = value[a : a + SECTION + order - 1].astype(U64), whose[a : a + SECTION + order - 1]
+            m = len(own) - order + 1
+            h = own[:m].copy()
+            for k in range(1, order):
+                h = h << U64(16) ^ h >> U64(47) ^ own[k : k + m]
+            inside = owns[:m] == owns[order - 1 :]
+            yield order, mix(h[inside] + U64(order)), owns[:m][inside]
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -79,6 +79,7 @@ class LanguageFilters:
     masks: np.ndarray
     fallback: str
 
+    @cached_property
     def chance(self) -> np.ndarray:
         """Probability for each language that its filter has an n-gram by chance."""
         bits = np.array([np.count_nonzero(self.masks[k // 64] >> U64(k % 64) & U64(1)) for k in range(len(self.languages))])
@@ -117,7 +118,7 @@ def rows_each(counts: list[int], rows: int) -> int:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> LanguageFilters | None:
     """Filters from rows with a language: about rows of them, by a hash of the key, of each language. None without such rows.
 
-    N-grams are counted in all of these rows; what comes to the driver is TOP n-grams a language and order at most.
+    N-grams are counted in all of these rows; what comes to the driver is 1 / LEAST_SHARE n-grams a language and order at most.
     """
     draw = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(1 << 30))
     known = docs.filter(F.col(lang).isNotNull()).select(draw.alias("draw"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"))
@@ -136,16 +137,14 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             for i, j, cps, at in _texts(batch.column("text")):
                 own = langs.slice(i, j - i).dictionary_encode()
                 code = own.indices.to_numpy()
-                for order, (h, whose) in zip(ORDERS, grams(cps, at), strict=True):
+                for order, h, whose in grams(cps, at):
                     for c, name in enumerate(own.dictionary.to_pylist()):
                         found, times = np.unique(h[code[whose] == c], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(np.full(len(found), order, np.int32)), pa.array(found.view(np.int64)), pa.array(times)], names=schema.names)
 
     counts = part.select("lang", "text").mapInArrow(count, schema).groupBy("lang", "k", "h").agg(F.sum("n").alias("n"))
-    each = W.partitionBy("lang", "k")
     shared = counts.groupBy("lang", "k").agg(F.sum("n").alias("all"))
-    ranked = counts.join(F.broadcast(shared), ["lang", "k"]).filter(F.col("n") >= F.lit(LEAST_SHARE) * F.col("all")).withColumn("r", F.row_number().over(each.orderBy(F.col("n").desc(), "h")))
-    best = ranked.filter(F.col("r") <= TOP).select("lang", "h").collect()
+    best = counts.join(F.broadcast(shared), ["lang", "k"]).filter(F.col("n") >= F.lit(LEAST_SHARE) * F.col("all")).select("lang", "h").collect()
     common = min(languages, key=lambda r: (-r.n, r.lang)).lang
     top: dict[str, list[int]] = {}
     for r in best:
@@ -153,51 +152,62 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return build_filters({k: np.array(v, np.int64).view(U64) for k, v in top.items()} or {common: np.zeros(0, U64)}, common)
 
 
-def detect(docs: DataFrame, filters: LanguageFilters | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (the language's share of all languages' hits) and hit_rate (of n-grams, in that language).
+FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("hit_rate", T.DoubleType())])
+
+
+def judge(own: LanguageFilters | None, column: pa.Array) -> pa.StructArray:
+    """FOUND of each text, by the filters."""
+    names, score, rate = [], [np.zeros(0)], [np.zeros(0)]
+    for i, j, cps, at in _texts(column):
+        n = j - i
+        letters = counted(classes()[cps] == LETTER, at) > 0
+        if own is None:
+            names += [UNKNOWN] * n
+            score.append(np.zeros(n))
+            rate.append(np.zeros(n))
+            continue
+        total, hits = np.zeros(n), np.zeros((len(own.languages), n))
+        for _, h, whose in grams(cps, at):
+            masks = own.containing(h)
+            edge = np.searchsorted(whose, np.arange(n + 1))
+            total += np.diff(edge)
+            for k in range(len(own.languages)):
+                hits[k] += counted((masks[k // 64] >> U64(k % 64) & U64(1)).view(np.int64), edge)
+        chance = own.chance[:, None]
+        real = np.maximum(hits - total * chance, 0) / np.maximum(1 - chance, 1e-9)
+        best, every, most = real.argmax(0), real.sum(0), real.max(0)
+        score.append(np.where(letters & (every > 0), most / np.maximum(every, 1e-300), 0.0))
+        rate.append(np.where(letters & (total > 0), np.minimum(most / np.maximum(total, 1), 1.0), 0.0))
+        named = (own.languages[b] if e > 0 else own.fallback for b, e in zip(best.tolist(), every.tolist(), strict=True))
+        names += [x if c else UNKNOWN for x, c in zip(named, letters.tolist(), strict=True)]
+    return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(score)), pa.array(np.concatenate(rate))], names=FOUND.fieldNames())
+
+
+def language_of(spark: SparkSession, filters: LanguageFilters | None) -> Callable[[Column], Column]:
+    """A function of a text column: struct of lang_pred, score (the language's share of all languages' hits) and hit_rate
+    (of n-grams, in that language).
 
     UNKNOWN with score 0 for a text that is null or has no letter, and without filters; the filters' fallback with
-    score 0 where no language has a hit. Ties go to the first name. The text's own column is kept; no shuffle.
+    score 0 where no language has a hit. Ties go to the first name. Only the text goes to Python; no shuffle.
     """
-    rest = docs.columns
-    rows = docs.select(*rest, F.col(text).cast("string").alias("__text"))
-    schema = T.StructType([*rows.schema[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("hit_rate", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    shared = spark.sparkContext.broadcast(filters)
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            for i, j, cps, at in _texts(batch.column(len(rest))):
-                n = j - i
-                letters = np.diff(np.append(0, np.cumsum(classes()[cps] == LETTER))[at])
-                if own is None:
-                    names, score, rate = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
-                else:
-                    total, hits = np.zeros(n), np.zeros((len(own.languages), n))
-                    for h, whose in grams(cps, at):
-                        masks = own.containing(h)
-                        edge = np.searchsorted(whose, np.arange(n + 1))
-                        total += np.diff(edge)
-                        for k in range(len(own.languages)):
-                            hits[k] += np.diff(np.append(0, np.cumsum(masks[k // 64] >> U64(k % 64) & U64(1)))[edge])
-                    chance = own.chance()[:, None]
-                    real = np.maximum(hits - total * chance, 0) / np.maximum(1 - chance, 1e-9)
-                    best, every = real.argmax(0), real.sum(0)
-                    most = real.max(0)
-                    score = np.where(every > 0, most / np.maximum(every, 1e-300), 0.0)
-                    rate = np.where(total > 0, most / np.maximum(total, 1), 0.0)
-                    names = [own.languages[b] if e > 0 else own.fallback for b, e in zip(best.tolist(), every.tolist(), strict=True)]
-                    names = [x if c else UNKNOWN for x, c in zip(names, letters.tolist(), strict=True)]
-                    score, rate = np.where(letters > 0, score, 0.0), np.where(letters > 0, np.minimum(rate, 1.0), 0.0)
-                columns = [batch.column(k).slice(i, n) for k in range(len(rest))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score), pa.array(rate)], names=schema.names)
-
-    return rows.mapInArrow(found, schema)
+    def found(texts: pa.Array) -> pa.Array:
+        return judge(shared.value, texts)
+
+    # Marked so that a filter on the result is not moved before it and computed once more.
+    judged = F.arrow_udf(found, FOUND).asNondeterministic()
+    return lambda text: judged(text.cast("string"))
 
 
 def predict_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, held: int = 1) -> DataFrame:
-    """Per row: key, held_out (crc32 of the key as text, modulo folds, is held), lang_pred, score, hit_rate. Held-out rows teach nothing."""
+    """Per row: key, held_out (crc32 of the key as text, modulo folds, is held), lang_pred, score, hit_rate.
+
+    Held-out rows teach nothing. Rows stay as they are, repeated or not, and a repeated one teaches as often as it
+    occurs; a null key is never held out. See language_of for null and empty texts; an empty table gives no rows.
+    Other columns, whatever their names, are not read.
+    """
     out = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(folds)) == held, F.lit(False))
     filters = train(docs.filter(~out), key, text, lang)
-    found = detect(docs.select(F.col(key).alias("__key"), F.col(text).alias("text"), out.alias("held_out")), filters)
-    return found.select(F.col("__key").alias(key), "held_out", "lang_pred", "score", "hit_rate")
+    found = docs.select(F.col(key), out.alias("held_out"), language_of(docs.sparkSession, filters)(F.col(text)).alias("found"))
+    return found.select(F.col(key), "held_out", "found.*")

@@ -137,7 +137,7 @@ class PretokenEncoder:
     slots, pool: sizes of the table and of the words and ids that it refers to; it starts anew when they are used up.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[Sequence[int]]], scheme: str, specials: dict[str, int], fallback: Callable[[str], Sequence[int]] | None = None, slots: int = 1 << 21, pool: int = 1 << 24):
+    def __init__(self, encode_words: Callable[[list[str]], list[Sequence[int]]], scheme: str, specials: dict[str, int], fallback: Callable[[str], Sequence[int]] | None = None, slots: int = 1 << 19, pool: int = 1 << 21):
         self.encode_words, self.scheme, self.specials, self.fallback = encode_words, scheme, specials, fallback
         self.slots, self.limit, self.shift = slots, pool, U64(64 - slots.bit_length() + 1)
         self._reset()

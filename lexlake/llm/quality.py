@@ -7,16 +7,14 @@ so a host with few documents is not judged on chance; documents of failing hosts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexlake.llm.scan import WHITE, blocks, counted, mix, span_hashes, spans, words
-from lexlake.storage import BROADCAST_ROWS
+from lexlake.storage import BROADCAST_ROWS, materialize
 
 #: A host fails when its shrunk rate of failing documents is above this.
 HOST_RATE = 0.5
@@ -67,19 +65,25 @@ def text_counts(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [n_words, chars, counted(_SYMBOLS[data], at), dup_lines, repeat]
 
 
-def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with COUNTS added and the text taken away. Null texts count as empty: zeros. No shuffle."""
-    rest = [c for c in docs.columns if c != text]
-    rows = docs.select(*rest, F.col(text).cast("string").alias("__text"))
-    schema = T.StructType([*rows.schema[:-1], *(T.StructField(c, T.LongType()) for c in COUNTS)])
+COUNTED = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
+
+
+def counts_of(text: Column) -> Column:
+    """Struct of COUNTS of a text column. Null counts as empty: zeros. Only the text goes to Python; no shuffle."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, at in blocks(batch.column(len(rest))):
-                counts = [pa.array(x, pa.int64()) for x in text_counts(data, at)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(rest))), *counts], names=schema.names)
+    def count(texts: pa.Array) -> pa.Array:
+        found = [np.stack(text_counts(data, at)) for _, _, data, at in blocks(texts)]
+        each = np.concatenate(found, axis=1) if found else np.zeros((len(COUNTS), 0), np.int64)
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in each], names=list(COUNTS))
 
-    return rows.mapInArrow(count, schema)
+    # Marked so that a filter on the result is not moved before it and computed once more.
+    return F.arrow_udf(count, COUNTED).asNondeterministic()(text.cast("string"))
+
+
+def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with COUNTS added and the text taken away."""
+    rest = [c for c in docs.columns if c != text]
+    return docs.select(*rest, counts_of(F.col(text)).alias("__counts")).select(*rest, "__counts.*")
 
 
 def base_failed() -> F.Column:
@@ -116,7 +120,8 @@ def with_host_verdict(judged: DataFrame, host: str = "source", failed: str = "ba
     adaptive execution splits where one host is hot.
     """
     bad = host_verdicts(judged, host, failed, limit).filter("host_failed").select(F.col("host").alias("__host"), F.lit(True).alias("__bad"))
-    if bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    bad = materialize(bad, "failing-hosts")
+    if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
     joined = judged.join(bad, F.col(host).eqNullSafe(F.col("__host")), "left")
     return joined.withColumn("kept", ~F.col(failed) & F.col("__bad").isNull()).drop("__host", "__bad")
@@ -124,5 +129,7 @@ def with_host_verdict(judged: DataFrame, host: str = "source", failed: str = "ba
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
     """Per row: key, COUNTS, base_failed, kept. Null or empty texts have no words and fail."""
-    judged = quality_counts(docs.select(F.col(key).alias("__key"), F.col(host).alias("__host_of"), F.col(text).alias("text"))).withColumn("base_failed", base_failed())
+    counted = quality_counts(docs.select(F.col(key).alias("__key"), F.col(host).alias("__host_of"), F.col(text).alias("text")))
+    # Stored, so that texts are read once though the hosts' rates are needed before the verdicts.
+    judged = materialize(counted.withColumn("base_failed", base_failed()), "quality-counts")
     return with_host_verdict(judged, "__host_of").select(F.col("__key").alias(key), *COUNTS, "base_failed", "kept")

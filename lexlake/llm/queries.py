@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lexlake.storage import table
+from lexlake.llm.scan import small_batches
+from lexlake.storage import table as stored
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return stored(spark, sf_dir, name)
 
 
 def tokenizer(name: str) -> str:

@@ -14,7 +14,9 @@ def test_pipeline(spark, tmp_path):
     long = [prose(k, 90) for k in range(40)]
     texts = [*long, *long[:6], *(x + " tail" for x in long[6:10]), "too short", None, "", "123 456", "a b c " * 40, "жжж " * 70]
     rows = [(i, t, "en" if t and not t.startswith("ж") else None, f"s{i % 4}", len(t or ""), i) for i, t in enumerate(texts)]
-    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, source string, n_chars long, kept long")
+    # A repeated row, and an id with two texts: the lesser one counts.
+    again = [rows[0], (20, "zz " + texts[20], "en", "s0", 5, 20)]
+    df = spark.createDataFrame([*rows, *again], "doc_id long, text string, lang string, source string, n_chars long, kept long")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     kept = {i: t for i, t, *_ in rows if t and re.search(r"[a-z]", t)}
     kept = {i: t for i, t in kept.items() if brute_counts(t)[0] >= 50 and 100 * brute_counts(t)[4] <= 50 * brute_counts(t)[0]}
