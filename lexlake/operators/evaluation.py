@@ -168,21 +168,24 @@ def epsilon(points: Column, n: Column) -> Column:
     return F.greatest(points / 100, 1 / n)
 
 
-def release_gate(m: DataFrame, points: float = 2.0, least_cases: int = 50, most_stale: float = 0.15, first_hit: float = 0.8, first_recall: float = 0.7) -> DataFrame:
-    """Decision for rows of gate_metrics with has_dataset, run_ok, comparable, stale_rate, has_baseline.
+def release_gate(m: DataFrame, points: float = 2.0, least_cases: int = 50, most_stale: float = 0.15) -> DataFrame:
+    """Verdict and reason for rows of gate_metrics with has_dataset, run_ok, comparable, stale_rate, has_baseline, min_hit_rate, min_recall.
 
-    LOG_ONLY with a reason where the numbers can't be trusted; else PASS or BLOCK against the baseline, or against fixed
-    thresholds for a first release.
+    LOG_ONLY where the numbers can't be trusted; else PASSED or BLOCKED against the baseline within epsilon. A first release is held
+    to the thresholds that are set (null: not); without any its run is recorded as the baseline and it passes.
     """
     eps = epsilon(F.lit(points), F.col("cases"))
     worse = (F.col("hit_rate") - F.col("base_hit_rate") < -eps - SLACK) | (F.col("recall") - F.col("base_recall") < -eps - SLACK)
-    first = (F.col("hit_rate") < first_hit) | (F.col("recall") < first_recall)
+    unset = F.col("min_hit_rate").isNull() & F.col("min_recall").isNull()
+    below = F.coalesce(F.col("hit_rate") < F.col("min_hit_rate"), F.lit(False)) | F.coalesce(F.col("recall") < F.col("min_recall"), F.lit(False))
     reason = (
-        F.when(~F.col("has_dataset"), "NO_DATASET").when(~F.col("run_ok"), "RUN_FAILED").when(~F.col("comparable"), "NOT_COMPARABLE").when(F.col("cases") < least_cases, "TOO_FEW_CASES")
-        .when(F.col("stale_rate") > most_stale, "STALE_CASES").when(F.col("degraded") > 0, "DEGRADED")
+        F.when(~F.col("has_dataset"), "NO_DATASET").when(~F.col("run_ok"), "RUN_FAILED").when(~F.col("comparable"), "NOT_COMPARABLE").when(F.col("cases") < least_cases, "INSUFFICIENT_CASES")
+        .when(F.col("stale_rate") > most_stale, "STALE_RATIO_EXCEEDED").when(F.col("degraded") > 0, "DEGRADED_CASES")
+        .when(~F.col("has_baseline") & unset, "BASELINE_RECORDED").when(~F.col("has_baseline") & below, "ABSOLUTE_THRESHOLD_NOT_MET").when(~F.col("has_baseline"), "ABSOLUTE_THRESHOLD_MET")
+        .when(worse, "METRICS_REGRESSED").otherwise("WITHIN_TOLERANCE")
     )
-    verdict = F.when(F.when(F.col("has_baseline"), worse).otherwise(first), "BLOCK").otherwise("PASS")
-    return m.withColumn("reason", reason).withColumn("decision", F.when(reason.isNotNull(), "LOG_ONLY").otherwise(verdict))
+    decision = F.when(F.col("reason").isin("ABSOLUTE_THRESHOLD_NOT_MET", "METRICS_REGRESSED"), "BLOCKED").when(F.col("reason").isin("BASELINE_RECORDED", "ABSOLUTE_THRESHOLD_MET", "WITHIN_TOLERANCE"), "PASSED").otherwise("LOG_ONLY")
+    return m.withColumn("reason", reason).withColumn("decision", decision)
 
 
 def answer_gate(candidate: DataFrame, baseline: DataFrame, score_loss: float = 0.2, points: float = 5.0) -> DataFrame:
@@ -208,6 +211,9 @@ def call_estimate(cases: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def corpus_fingerprint(versions: DataFrame, model: str, etags: list[str]) -> DataFrame:
-    """SHA-256 over the sorted version ids, the embedding model and dictionary tags. One long string: of a knowledge base's versions, not its texts."""
-    ids = F.array_join(F.array_sort(F.collect_set("version_id")), ",")
-    return versions.agg(F.sha2(F.concat_ws("|", ids, F.lit(model), *map(F.lit, sorted(etags))), 256).alias("fingerprint"))
+    """SHA-256 over the sorted version ids, the embedding model and dictionary tags.
+
+    The ids of a knowledge base's versions, not its texts, form the hashed line; they are made distinct before.
+    """
+    ids = F.array_join(F.array_sort(F.collect_list("version_id")), ",")
+    return versions.select("version_id").distinct().agg(F.sha2(F.concat_ws("|", ids, F.lit(model), *map(F.lit, sorted(etags))), 256).alias("fingerprint"))

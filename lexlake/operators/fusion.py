@@ -79,24 +79,30 @@ def cross_kb_rrf(ranked: DataFrame, k: int = 60) -> DataFrame:
     return out.withColumn("position", F.row_number().over(_over("query_id").orderBy(F.col("fused_score").desc(), "chunk_id")))
 
 
-def kb_quota(bases: DataFrame, total: int) -> DataFrame:
+def kb_quota(bases: DataFrame, total: int, *by: str) -> DataFrame:
     """(kb_id, weight, decl_order) with quota: shares of total by weight, rounded down; the rest to the heaviest, first declared.
 
-    Weights that are null or not positive count as 1.
+    Weights that are null or not positive count as 1. by: columns of requests that are dealt with each for itself.
     """
     weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1)
-    every = W.orderBy(F.col("w").desc(), "decl_order")  # a request names few knowledge bases
-    out = bases.withColumn("w", weight).withColumn("quota", F.floor(total * F.col("w") / F.sum("w").over(W.partitionBy())).cast("long"))
-    first = F.row_number().over(every) == 1
-    return out.withColumn("quota", F.col("quota") + F.when(first, total - F.sum("quota").over(W.partitionBy())).otherwise(0)).drop("w")
+    every = W.partitionBy(*by)  # a request names few knowledge bases
+    out = bases.withColumn("w", weight).withColumn("quota", F.floor(total * F.col("w") / F.sum("w").over(every)).cast("long"))
+    first = F.row_number().over(every.orderBy(F.col("w").desc(), "decl_order")) == 1
+    return out.withColumn("quota", F.col("quota") + F.when(first, total - F.sum("quota").over(every)).otherwise(0)).drop("w")
 
 
 def merge_across_kbs(ranked: DataFrame, bases: DataFrame, total: int = 50, k: int = 60) -> DataFrame:
-    """Each contributing base's best, up to its quota, merged by cross_kb_rrf."""
-    quota = kb_quota(bases.join(ranked.select("kb_id").distinct(), "kb_id", "left_semi"), total)
+    """Each query's contributing bases' best, up to their quotas among them, merged by cross_kb_rrf.
+
+    A query with one contributing base keeps that base's whole ranking and scores.
+    """
+    given = ranked.select("query_id", "kb_id").distinct()
+    quota = kb_quota(given.join(F.broadcast(bases), "kb_id"), total, "query_id").select("query_id", "kb_id", "quota", F.count(F.lit(1)).over(W.partitionBy("query_id")).alias("n"))
     inner = _over("query_id", "kb_id").orderBy(F.col("fused_score").desc(), "chunk_id")
-    kept = ranked.withColumn("r", F.row_number().over(inner)).join(F.broadcast(quota.select("kb_id", "quota")), "kb_id").filter("r <= quota").drop("r", "quota")
-    return cross_kb_rrf(kept, k)
+    rows = ranked.withColumn("r", F.row_number().over(inner)).join(quota, ["query_id", "kb_id"]).filter((F.col("n") == 1) | (F.col("r") <= F.col("quota")))
+    score = F.when(F.col("n") == 1, F.col("fused_score")).otherwise(1.0 / (k + F.col("r")))
+    merged = rows.withColumn("fused_score", score).withColumn("kb_rank", F.col("r"))
+    return merged.withColumn("position", F.row_number().over(_over("query_id").orderBy(F.col("fused_score").desc(), "chunk_id"))).drop("r", "n", "quota")
 
 
 def select_candidates(ranked: DataFrame, limit: int = 50, top_n: int | None = None, least_units: int = 20) -> DataFrame:

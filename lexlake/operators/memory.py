@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexlake.operators.text import json_object
+
 #: Keys that a request may override, and the values that settings are held within.
 OVERRIDES = ("top_n", "score_threshold", "metadata_filter", "max_content_length")
 MOST_TOP_N, DEFAULT_TOP_N, MOST_RECALL, DEFAULT_RECALL = 20, 5, 100, 50
@@ -53,38 +55,38 @@ def merge_profile(stored: Column, new: Column, allowed: list[str]) -> Column:
     return F.map_concat(kept, fresh)
 
 
-def memory_commands(answer: Column, known: Column) -> Column:
-    """Commands of a model's JSON answer {"commands": [{"op", "id", "content"}]}: the first MOST_COMMANDS with content (cut) or a DELETE.
+def memory_commands(answer: Column, known: Column, allow_update: bool = True) -> Column:
+    """Commands (event, node_id, content) of a model's answer {"memories": [{"event", "node_id", "content"}]}; none for another shape.
 
-    An UPDATE of an id that isn't in known becomes an ADD; a DELETE of such an id goes.
+    Contents are trimmed; blank ones and those over CONTENT_CHARS go; the first MOST_COMMANDS of the others count. An UPDATE of a node in
+    known stays one where updates are allowed; all else is an ADD.
     """
-    parsed = F.from_json(answer, "commands array<struct<op:string,id:string,content:string>>")["commands"]
-    there = lambda c: F.coalesce(F.array_contains(known, c["id"]), F.lit(False))
-    usable = F.filter(F.coalesce(parsed, F.array()), lambda c: F.when(c["op"] == "DELETE", there(c)).otherwise(c["op"].isin("ADD", "UPDATE") & (F.trim(F.coalesce(c["content"], F.lit(""))) != "")))
-    shaped = F.transform(
+    trimmed = lambda c, name: F.nullif(F.trim(c[name]), F.lit(""))
+    parsed = F.from_json(json_object(answer), "memories array<struct<event:string,node_id:string,content:string>>")["memories"]
+    usable = F.filter(F.coalesce(parsed, F.array()), lambda c: F.coalesce(F.char_length(trimmed(c, "content")) <= CONTENT_CHARS, F.lit(False)))
+    update = lambda c: F.lit(allow_update) & F.coalesce((F.upper(F.trim(c["event"])) == "UPDATE") & F.array_contains(known, trimmed(c, "node_id")), F.lit(False))
+    return F.transform(
         F.slice(usable, 1, MOST_COMMANDS),
-        lambda c: F.struct(
-            F.when((c["op"] == "UPDATE") & ~there(c), "ADD").otherwise(c["op"]).alias("op"), F.when(there(c), c["id"]).alias("id"),
-            F.when(c["op"] != "DELETE", F.substring(c["content"], 1, CONTENT_CHARS)).alias("content"),
-        ),
-    )
-    return shaped
+        lambda c: F.struct(F.when(update(c), "UPDATE").otherwise("ADD").alias("event"), F.when(update(c), trimmed(c, "node_id")).alias("node_id"), trimmed(c, "content").alias("content")),
+    )
 
 
 def graph_extraction(answer: Column) -> Column:
-    """struct(entities, relations) of a model's JSON answer; null if a name is blank or too long.
+    """struct(entities, relations) of a model's answer; null without an array of entities or with a name over NAME_CHARS.
 
-    Of repeated entities the first type counts, types are cut, and a relation needs both its ends among the entities.
+    Names are trimmed, blank ones skipped; of repeated entities the first type counts; a type has TYPE_CHARS at most and a
+    default; a relation needs both its ends among the entities.
     """
-    parsed = F.from_json(answer, "entities array<struct<name:string,type:string>>, relations array<struct<source:string,target:string,type:string>>")
-    entities = F.coalesce(parsed["entities"], F.array())
-    valid = F.forall(entities, lambda e: e["name"].isNotNull() & (F.trim(e["name"]) != "") & (F.char_length(e["name"]) <= NAME_CHARS))
-    names = F.transform(entities, lambda e: e["name"])
-    first = F.filter(entities, lambda e, i: F.array_position(names, e["name"]) == i + 1)
-    shaped = F.transform(first, lambda e: F.struct(e["name"].alias("name"), F.substring(F.coalesce(e["type"], F.lit("")), 1, TYPE_CHARS).alias("type")))
-    edges = F.filter(F.coalesce(parsed["relations"], F.array()), lambda r: F.array_contains(names, r["source"]) & F.array_contains(names, r["target"]))
-    cut = F.transform(edges, lambda r: F.struct(r["source"].alias("source"), r["target"].alias("target"), F.substring(F.coalesce(r["type"], F.lit("")), 1, TYPE_CHARS).alias("type")))
-    return F.when(parsed.isNotNull() & valid, F.struct(shaped.alias("entities"), cut.alias("relations")))
+    parsed = F.from_json(json_object(answer), "entities array<struct<name:string,type:string>>, relations array<struct<source:string,target:string,type:string>>")
+    trimmed = lambda c: F.nullif(F.trim(c), F.lit(""))
+    kind = lambda c, default: F.substring(F.coalesce(trimmed(c), F.lit(default)), 1, TYPE_CHARS)
+    entities = F.filter(parsed["entities"], lambda e: trimmed(e["name"]).isNotNull())
+    names = F.transform(entities, lambda e: F.trim(e["name"]))
+    first = F.filter(entities, lambda e, i: F.array_position(names, F.trim(e["name"])) == i + 1)
+    shaped = F.transform(first, lambda e: F.struct(F.trim(e["name"]).alias("name"), kind(e["type"], "unknown").alias("type")))
+    edges = F.filter(F.coalesce(parsed["relations"], F.array()), lambda r: F.coalesce(F.array_contains(names, F.trim(r["source"])) & F.array_contains(names, F.trim(r["target"])), F.lit(False)))
+    cut = F.transform(edges, lambda r: F.struct(F.trim(r["source"]).alias("source"), F.trim(r["target"]).alias("target"), kind(r["type"], "related_to").alias("type")))
+    return F.when(F.forall(names, lambda n: F.char_length(n) <= NAME_CHARS), F.struct(shaped.alias("entities"), cut.alias("relations")))
 
 
 def rejected_overrides(keys: Column) -> Column:

@@ -20,15 +20,16 @@ Span = tuple[int, int]
 def estimate(text: str) -> int:
     """CJK characters, and a quarter of the others rounded up."""
     cjk = len(_CJK.findall(text))
-    return cjk - (cjk - len(text)) // 4
+    units = len(text) if text.isascii() else len(text.encode("utf-16-le")) // 2
+    return cjk - (cjk - units) // 4
 
 
 def fitting_prefix(text: str, budget: int) -> int:
     """Length of the longest prefix whose estimate is within budget."""
-    cjk = 0
+    cjk = units = 0
     for i, c in enumerate(text):
-        cjk += bool(_CJK.match(c))
-        if cjk - (cjk - i - 1) // 4 > budget:
+        cjk, units = cjk + bool(_CJK.match(c)), units + 1 + (c > "\uffff")
+        if cjk - (cjk - units) // 4 > budget:
             return i
     return len(text)
 

@@ -3,24 +3,43 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that count as a token each: CJK symbols, kana, ideographs, hangul, full-width forms. Fixed values.
-CJK = r"⺀-⻿　-〿぀-ヿ㐀-䶿一-鿿가-힯豈-﫿＀-￯"
+#: Characters that count as a token each: CJK punctuation, kana, ideographs with extension A, compatibility ideographs,
+#: full-width forms. Fixed values.
+CJK = r"\u3000-\u303F\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF00-\uFFEF"
+#: Scripts whose runs are terms of their own.
+SCRIPTS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+#: Words and codes of message types, in the order that they are tried in. Fixed values.
+MESSAGE_TYPES = (
+    ("voice", ("voice", "语音", "audio"), (34,)), ("video", ("video", "视频"), (43, 62)),
+    ("image", ("image", "图片", "照片", "picture", "photo"), (3,)), ("text", ("text", "文本", "文字"), (1,)),
+)
+#: Identity card, bank card, mobile number, e-mail address, and what a text needs for any of the first three. Fixed values.
+_ID_CARD = r"(?<!\d)(\d{6})\d{8}(\d{3}[\dXx])(?!\d)"
+_BANK_CARD = r"(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?:[ -]?\d{1,3})?(?![\d-])"
+_PHONE = r"(?<!\d)(1[3-9]\d)\d{4}(\d{4})(?!\d)"
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_DIGITS = r"\d{4}[ -]?\d{4}[ -]?\d{3}"
+#: Login pages: a password field; a login-like address; a login-like title. Fixed values.
+_PASSWORD = r"(?i)<input[^>]{0,300}type\s*=\s*[\"']?password"
+_LOGIN_URL = r"(?i)(^|[/.])(login|signin|sign-in|sso|cas|authorize)([/.?#]|$)"
+_LOGIN_TITLE = r"(?i)<title[^>]*>[^<]*(log\s?in|sign\s?in|登录|登入)"
 #: Longest line that can be a header or footer; lines looked at on each edge; least share of pages.
 EDGE_CHARS, EDGE_LINES, EDGE_SHARE = 120, 2, 0.6
 MASK = "*"
 
 
 def token_estimate(text: Column) -> Column:
-    """CJK characters, and a quarter of the others rounded up."""
+    """CJK characters, and a quarter of the others rounded up; characters beyond the first plane count twice (UTF-16 units)."""
     text = F.coalesce(text, F.lit(""))
     cjk = F.regexp_count(text, F.lit(f"[{CJK}]"))
-    return (cjk + F.ceil((F.char_length(text) - cjk) / 4)).cast("long")
+    far = F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return (cjk + F.ceil((F.char_length(text) + far - cjk) / 4)).cast("long")
 
 
 def normal_line(line: Column) -> Column:
@@ -51,20 +70,35 @@ def remove_furniture(pages: DataFrame, share: float = EDGE_SHARE) -> DataFrame:
     return pages.join(lines, "doc_id", "left").withColumn("text", F.array_join(kept, "\n")).drop("__f")
 
 
-def mask_sensitive(text: Column) -> Column:
-    """Identity numbers (first 6 and last 4 stay), bank cards (last 4 digits), mobile numbers (first 3 and last 4), e-mail names (first letter)."""
-    masked = F.regexp_replace(text, r"(?<![0-9A-Za-z])(\d{6})\d{7,8}(\d{3}[0-9Xx])(?![0-9A-Za-z])", "$1********$2")
-    card = r"(?<![\d*])(?=(?:\d[ -]?){15,18}\d(?!\d))"
-    masked = F.regexp_replace(masked, card + r"\d(?=(?:[ -]?\d){4})", MASK)
-    # Within a card each further digit that has four more after it goes as well; grouping stays.
-    for _ in range(14):
-        masked = F.regexp_replace(masked, r"(?<=\*)([ -]?)\d(?=(?:[ -]?\d){4,17}(?!\d))", f"$1{MASK}")
-    masked = F.regexp_replace(masked, r"(?<!\d)(1[3-9]\d)\d{4}(\d{4})(?!\d)", "$1****$2")
-    return F.regexp_replace(masked, r"([A-Za-z0-9])[A-Za-z0-9._%+-]*@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", "$1***@$2")
+def _each_match(text: Column, pattern: str, changed: Callable[[Column], Column]) -> Column:
+    """text with what the pattern finds replaced by changed(match)."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.zip_with(F.split(text, pattern, -1), found, lambda rest, x: F.concat(rest, F.coalesce(changed(x), F.lit(""))))
+    return F.array_join(parts, "")
+
+
+def _masked_card(card: Column) -> Column:
+    """All digits but the last four masked; grouping stays."""
+    tail = F.regexp_extract(card, r"(\d[ -]?\d[ -]?\d[ -]?\d)$", 1)
+    return F.concat(F.regexp_replace(F.substring(card, F.lit(1), F.char_length(card) - F.char_length(tail)), r"\d", MASK), tail)
 
 
 def mask_email(text: Column) -> Column:
-    return F.regexp_replace(text, r"([A-Za-z0-9])[A-Za-z0-9._%+-]*@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", "$1***@$2")
+    """E-mail names masked but for their first letter (one letter: that too)."""
+    name = lambda x: F.substring_index(x, "@", 1)
+    stars = lambda x: F.concat(F.when(F.char_length(name(x)) > 1, F.substring(x, 1, 1)).otherwise(""), F.repeat(F.lit(MASK), F.greatest(F.char_length(name(x)) - 1, F.lit(1))))
+    masked = _each_match(text, _EMAIL, lambda x: F.concat(stars(x), F.lit("@"), F.substring_index(x, "@", -1)))
+    return F.when(F.contains(text, F.lit("@")), masked).otherwise(text)
+
+
+def mask_sensitive(text: Column) -> Column:
+    """Identity numbers (first 6 and last 4 stay), bank cards (last 4 digits), mobile numbers (first 3 and last 4), e-mail names, in this order.
+
+    All that can hold a number has a run of eleven digits or grouped ones, so other texts are scanned once.
+    """
+    masked = _each_match(F.regexp_replace(text, _ID_CARD, "$1********$2"), _BANK_CARD, _masked_card)
+    masked = F.regexp_replace(masked, _PHONE, "$1****$2")
+    return mask_email(F.when(text.rlike(_DIGITS), masked).otherwise(text))
 
 
 def clean(text: Column, watermarks: list[str] = (), replacements: list[tuple[str, str]] = (), mask: bool = True) -> Column:
@@ -150,17 +184,18 @@ def _value(x: Column) -> Column:
 
 
 def graph_terms(query: Column, most: int = 32) -> Column:
-    """Distinct terms: runs of CJK characters, and runs of two or more other letters and digits in lower case, up to 64 characters."""
-    runs = F.regexp_extract_all(query, F.lit(rf"[\p{{L}}\p{{N}}&&[{CJK}]]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"), F.lit(0))
-    kept = F.filter(F.transform(runs, lambda x: F.substring(F.lower(x), 1, 64)), lambda x: x.rlike(f"[{CJK}]") | (F.char_length(x) >= 2))
+    """Distinct terms: runs in SCRIPTS, and runs of two or more other letters and digits in lower case, up to 64 characters."""
+    runs = F.regexp_extract_all(query, F.lit(rf"[\p{{L}}\p{{N}}&&[{SCRIPTS}]]+|[\p{{L}}\p{{N}}&&[^{SCRIPTS}]]+"), F.lit(0))
+    own = lambda x: x.rlike(f"^[{SCRIPTS}]")
+    cut = F.transform(runs, lambda x: F.substring(x, 1, 64))
+    kept = F.transform(F.filter(cut, lambda x: own(x) | (F.char_length(x) >= 2)), lambda x: F.when(own(x), x).otherwise(F.lower(x)))
     return F.slice(F.array_distinct(kept), 1, most)
 
 
 def login_wall(url: Column, html: Column) -> Column:
-    """A password field, or both a login-like URL and a login-like title."""
-    field = html.rlike(r"(?is)<input[^>]*type\s*=\s*[\"']?password")
-    title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.coalesce(field, F.lit(False)) | F.coalesce(url.rlike(r"(?i)(login|signin|sign-in|sso|passport|auth)") & title.rlike(r"(?i)(log\s*in|sign\s*in|登录|登陆)"), F.lit(False))
+    """A password field, or both a login-like address and a login-like title."""
+    weak = F.lower(url).rlike(_LOGIN_URL) & html.rlike(_LOGIN_TITLE)
+    return F.coalesce(html.rlike(_PASSWORD), F.lit(False)) | F.coalesce(weak, F.lit(False))
 
 
 def url_allowed(url: Column) -> Column:
@@ -170,10 +205,14 @@ def url_allowed(url: Column) -> Column:
     return F.coalesce(url.rlike(r"^(?i:https?)://") & ~url.rlike(r"^[a-zA-Z]+://[^/?#]*@") & (host != "") & ~inside, F.lit(False))
 
 
-def slug(name: Column, key: Column, most: int = 200) -> Column:
-    """A file name: other characters than letters and digits to single dashes, cut, with the key hash's first eight."""
-    bare = F.regexp_replace(F.regexp_replace(name, r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", "")
-    return F.concat(F.substring(bare, 1, most - 9), F.lit("-"), F.substring(F.sha2(key, 256), 1, 8))
+def slug(key: Column, ext: Column, most: int = 200) -> Column:
+    """A file name for an object: its key's last part without extension, lower-cased, other runs than a-z, 0-9 and
+    ideographs to single dashes; the key hash's first eight; the extension. Cut in front to most characters."""
+    name = F.substring_index(key, "/", -1)
+    base = F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*$", "")
+    bare = F.regexp_replace(F.regexp_replace(F.lower(base), r"[^a-z0-9\u4e00-\u9fa5]+", "-"), r"^-+|-+$", "")
+    suffix = F.concat(F.lit("-"), F.substring(F.sha2(key, 256), 1, 8), F.lit("."), ext)
+    return F.concat(F.substring(bare, F.lit(1), F.lit(most) - F.char_length(suffix)), suffix)
 
 
 def extension(name: Column) -> Column:
@@ -242,9 +281,16 @@ def parse_time_ms(value: Column) -> Column:
 
 
 def message_type(value: Column) -> Column:
-    """voice, video, image, text or other of a message's type word or code; blank is text."""
+    """voice, video, image, text or other of a message's type word or code; blank is text.
+
+    Latin words count as whole words, others anywhere; words go before codes.
+    """
     v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    return (
-        F.when(v.rlike("voice|audio|语音") | (v == "34"), "voice").when(v.rlike("video|视频") | (v == "43"), "video").when(v.rlike("image|picture|photo|图片") | (v == "3"), "image")
-        .when((v == "") | v.rlike("text|文本") | (v == "1"), "text").otherwise("other")
-    )
+    word = lambda w: rf"(?<![\p{{L}}\p{{N}}_]){w}(?![\p{{L}}\p{{N}}_])" if w.isascii() else w
+    out = F.when(v == "", "text")
+    for kind, words, _ in MESSAGE_TYPES:
+        out = out.when(v.rlike("|".join(map(word, words))), kind)
+    code = F.when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), v.try_cast("double").cast("long"))
+    for kind, _, codes in MESSAGE_TYPES:
+        out = out.when(code.isin(*codes), kind)
+    return out.otherwise("other")

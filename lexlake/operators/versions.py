@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: What stands in place of a disabled passage. Fixed value.
+REDACTED = "（已省略被禁用内容）"
+
 
 def latest(rows: DataFrame, key: str, order: str = "id") -> DataFrame:
     """The row of largest order for each key."""
@@ -21,29 +24,30 @@ def upsert(current: DataFrame, changes: DataFrame, key: str = "chunk_id", order:
 def plan_version(history: DataFrame, uploads: DataFrame) -> DataFrame:
     """What an upload (doc_id, content_hash, parse_fp, chunk_fp, embedding_version) becomes.
 
-    FIRST 1.0 without history; DUPLICATE of the active version with all four fingerprints equal; MINOR next to the largest
-    version if some version has the content, else MAJOR. history: (doc_id, id, major, minor, active, the fingerprints).
+    FIRST 1.0 without history; DUPLICATE of the active version with all four fingerprints equal; else MINOR if the basis
+    (the active version, without one the newest) has the content, MAJOR if not, numbered after the largest version.
+    history: (doc_id, id, major, minor, active, the fingerprints); of several active versions the newest counts.
     """
     prints = ("content_hash", "parse_fp", "chunk_fp", "embedding_version")
-    h = history.select("doc_id", "major", "minor", "active", *(F.col(c).alias(f"h_{c}") for c in prints))
-    same = lambda c: F.col(c).eqNullSafe(F.col(f"h_{c}"))
-    every = same(prints[0]) & same(prints[1]) & same(prints[2]) & same(prints[3])
-    found = uploads.join(h, "doc_id", "left").groupBy("doc_id").agg(
-        F.count("major").alias("n"), F.max(F.struct("major", "minor")).alias("top"), F.coalesce(F.bool_or(F.col("active") & every), F.lit(False)).alias("dup"),
-        F.max(F.when(same("content_hash"), F.struct("major", "minor"))).alias("same"),
-    )
-    action = F.when(F.col("n") == 0, "FIRST").when(F.col("dup"), "DUPLICATE").when(F.col("same").isNotNull(), "MINOR").otherwise("MAJOR")
+    basis = F.max_by(F.struct("active", *prints), F.struct("active", "id")).alias("b")
+    known = history.groupBy("doc_id").agg(F.max(F.struct("major", "minor")).alias("top"), basis)
+    found = uploads.join(known, "doc_id", "left")
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"b.{c}"))
+    first = F.col("top").isNull()
+    duplicate = F.col("b.active") & same(prints[0]) & same(prints[1]) & same(prints[2]) & same(prints[3])
+    action = F.when(first, "FIRST").when(duplicate, "DUPLICATE").when(same("content_hash"), "MINOR").otherwise("MAJOR")
     minor = F.concat_ws(".", F.col("top.major").cast("string"), (F.col("top.minor") + 1).cast("string"))
-    version = F.when(F.col("n") == 0, "1.0").when(F.col("dup"), None).when(F.col("same").isNotNull(), minor).otherwise(F.concat((F.col("top.major") + 1).cast("string"), F.lit(".0")))
+    version = F.when(first, "1.0").when(duplicate, None).when(same("content_hash"), minor).otherwise(F.concat((F.col("top.major") + 1).cast("string"), F.lit(".0")))
     return found.select("doc_id", action.alias("action"), version.alias("version"))
 
 
 def reuse_level(history: DataFrame, uploads: DataFrame) -> DataFrame:
-    """The most an upload can take over: CHUNKS (content, parse and split equal, READY), PARSED (content and parse equal, object there), NONE; with the version it comes from."""
+    """The most an upload can take over: CHUNKS (content, parse and split equal, READY), PARSED (content and parse equal), NONE; with
+    the version it comes from, the first of that level. Either needs a parsed object that isn't blank."""
     h = history.select("doc_id", F.col("id").alias("from_id"), "status", "parsed_object", *(F.col(c).alias(f"h_{c}") for c in ("content_hash", "parse_fp", "chunk_fp")))
     equal = lambda c: F.col(c) == F.col(f"h_{c}")
-    parsed = equal("content_hash") & equal("parse_fp") & F.col("parsed_object").isNotNull()
-    level = F.when(parsed & equal("chunk_fp") & F.col("status").isin("READY", "ACTIVE"), 2).when(parsed, 1).otherwise(0)
+    parsed = equal("content_hash") & equal("parse_fp") & (F.trim("parsed_object") != "")
+    level = F.when(parsed & equal("chunk_fp") & (F.col("status") == "READY"), 2).when(parsed, 1).otherwise(0)
     best = uploads.join(h, "doc_id", "left").withColumn("level", F.coalesce(level, F.lit(0))).groupBy("doc_id").agg(F.max(F.struct("level", F.when(F.col("level") > 0, -F.col("from_id")).alias("m"))).alias("b"))
     return best.select("doc_id", F.element_at(F.array(F.lit("NONE"), F.lit("PARSED"), F.lit("CHUNKS")), F.col("b.level") + 1).alias("reuse"), (-F.col("b.m")).alias("from_id"))
 
@@ -70,17 +74,26 @@ def duplicates_of(documents: DataFrame) -> DataFrame:
 
 
 def sync_objects(listing: DataFrame, items: DataFrame, truncated: bool) -> DataFrame:
-    """Fate of each object key of a listing (object_key, etag) against stored items (object_key, etag, trashed).
+    """Outcome of each object key of a listing (object_key, etag, failed) against stored items (object_key, etag, trashed, last_status).
 
-    UNCHANGED for an equal etag, SKIPPED for a document in the trash, UPDATED or CREATED; stored ones that are gone are VANISHED, unless the
-    listing was cut short.
+    status, in this order: UNCHANGED for an equal etag; SKIPPED for a document in the trash; FAILED where the fetch failed; else
+    SUCCESS. Stored objects that a whole listing no longer has become SKIPPED too, unless they are already; a truncated
+    listing says nothing of them. detail: TRASHED, GONE, CREATED or UPDATED. A null etag is never equal.
     """
-    a = listing.select("object_key", F.col("etag").alias("l_etag"), F.lit(True).alias("__l"))
-    b = items.select("object_key", F.col("etag").alias("i_etag"), "trashed", F.lit(True).alias("__i"))
-    both = a.join(b, "object_key", "full_outer")
-    fate = F.when(F.col("__l").isNull(), "VANISHED").when(F.col("__i").isNull(), "CREATED").when(F.col("trashed"), "SKIPPED").when(F.col("l_etag") == F.col("i_etag"), "UNCHANGED").otherwise("UPDATED")
-    out = both.select("object_key", fate.alias("fate"))
-    return out.filter("fate <> 'VANISHED'") if truncated else out
+    a = listing.select("object_key", F.col("etag").alias("l_etag"), "failed", F.lit(True).alias("__l"))
+    b = items.select("object_key", F.col("etag").alias("i_etag"), "trashed", "last_status", F.lit(True).alias("__i"))
+    both = a.join(b, "object_key", "left" if truncated else "full_outer")
+    gone, equal = F.col("__l").isNull(), F.coalesce(F.col("l_etag") == F.col("i_etag"), F.lit(False))
+    both = both.filter(~gone | ~F.coalesce(F.col("last_status") == "SKIPPED", F.lit(False)))
+    trashed = F.coalesce("trashed", F.lit(False))
+    status = F.when(gone, "SKIPPED").when(equal, "UNCHANGED").when(trashed, "SKIPPED").when(F.col("failed"), "FAILED").otherwise("SUCCESS")
+    detail = F.when(gone, "GONE").when(equal, None).when(trashed, "TRASHED").when(F.col("failed"), None).when(F.col("__i").isNull(), "CREATED").otherwise("UPDATED")
+    return both.select("object_key", status.alias("status"), detail.alias("detail"))
+
+
+def sync_status(outcomes: DataFrame, truncated: bool) -> DataFrame:
+    """One row: a source is PARTIAL if any object failed or its listing was truncated, else SUCCESS."""
+    return outcomes.agg(F.when((F.count_if(F.col("status") == "FAILED") > 0) | F.lit(truncated), "PARTIAL").otherwise("SUCCESS").alias("status"))
 
 
 def sync_pages(fetched: DataFrame, known: DataFrame) -> DataFrame:
@@ -138,13 +151,19 @@ def hide_parents(units: DataFrame, chunks: DataFrame) -> DataFrame:
     return units.join(hidden, "unit_id", "left_anti")
 
 
-def redact(content: Column, spans: Column, mark: str = "[hidden]") -> Column:
-    """content with the spans (array of start, stop) replaced by a mark; overlapping ones once. With an invalid span nothing is replaced."""
+def redact(content: Column, spans: Column, mark: str = REDACTED) -> Column:
+    """content with the spans (array of start, stop) replaced by a mark each. With an invalid span nothing is replaced.
+
+    Where spans overlap, one ends where the next begins; of those that begin together the first in the array counts.
+    """
     n = F.char_length(content)
-    valid = F.forall(spans, lambda x: (x["start"] >= 0) & (x["stop"] > x["start"]) & (x["stop"] <= n))
+    valid = F.forall(spans, lambda x: F.coalesce((x["start"] >= 0) & (x["stop"] > x["start"]) & (x["stop"] <= n), F.lit(False)))
+    placed = F.array_sort(F.transform(spans, lambda x, i: F.struct(x["start"].alias("start"), i.alias("i"), x["stop"].alias("stop"))))
+    firsts = F.filter(placed, lambda x: ~F.exists(placed, lambda y: (y["start"] == x["start"]) & (y["i"] < x["i"])))
+    ends = F.concat(F.transform(F.slice(firsts, F.lit(2), F.greatest(F.size(firsts), F.lit(1))), lambda x: x["start"]), F.array(n))
     step = lambda s, x: F.struct(
-        F.greatest(s["at"], x["stop"]).alias("at"),
-        F.when(x["start"] >= s["at"], F.concat(s["out"], F.substring(content, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(s["out"]).alias("out"),
-    )
-    done = F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(content, s["at"] + 1, n)))
+        F.least(x["x"]["stop"], x["end"]).alias("at"), F.concat(s["out"], F.substring(content, s["at"] + 1, x["x"]["start"] - s["at"]), F.lit(mark)).alias("out")
+    )
+    pairs = F.zip_with(firsts, ends, lambda x, end: F.struct(x.alias("x"), end.alias("end")))
+    done = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(content, s["at"] + 1, n)))
     return F.when(F.size(spans) == 0, content).when(valid, done).otherwise(content)

@@ -38,21 +38,30 @@ def merge_profile(spark, sf_dir):
     return view(spark, sf_dir, "events").select("event_id", memory.merge_profile(stored, new, ["city", "name"]).alias("m")).select("event_id", F.col("m")["city"].alias("city"), F.col("m")["name"].alias("name"))
 
 
-@query("SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'UPDATE:7:a' ELSE 'ADD::a' END AS c FROM events")
+_MEMORIES = """[{"event": "update", "node_id": " 7 ", "content": " a "}, {"event": "ADD", "content": " "}, {"event": "DELETE", "node_id": "9", "content": "d"}, {"content": "LONG"}, {"event": "UPDATE", "content": "n"}]"""
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' ELSE concat(CASE WHEN user_id % 2 = 0 AND event_id % 3 > 0 THEN 'UPDATE:7:a' ELSE 'ADD::a' END, ';ADD::d', CASE WHEN event_id % 5 > 0 THEN concat(';ADD::', repeat('x', 2000)) ELSE '' END, ';ADD::n') END AS c FROM events""")
 def memory_commands(spark, sf_dir):
-    answer = F.lit('{"commands": [{"op": "UPDATE", "id": "7", "content": "a"}, {"op": "ADD", "content": " "}, {"op": "DELETE", "id": "9"}, {"op": "DROP", "id": "7"}]}')
+    long = F.repeat(F.lit("x"), F.when(F.expr("event_id % 5 = 0"), 2001).otherwise(2000))
+    answer = F.concat(F.when(F.expr("event_id % 4 = 0"), '{"commands": ').otherwise('Sure: {"memories": '), F.replace(F.lit(_MEMORIES), F.lit("LONG"), long), F.lit("} done"))
     known = F.when(F.expr("user_id % 2 = 0"), F.array(F.lit("7"))).otherwise(F.array(F.lit("8")))
-    line = F.array_join(F.transform(memory.memory_commands(answer, known), lambda c: F.concat(c["op"], F.lit(":"), F.coalesce(c["id"], F.lit("")), F.lit(":"), F.coalesce(c["content"], F.lit("")))), ";")
-    return view(spark, sf_dir, "events").select("event_id", line.alias("c"))
+    lines = lambda found: F.array_join(F.transform(found, lambda c: F.concat(c["event"], F.lit(":"), F.coalesce(c["node_id"], F.lit("")), F.lit(":"), c["content"])), ";")
+    allowed = F.when(F.expr("event_id % 3 = 0"), lines(memory.memory_commands(answer, known, False))).otherwise(lines(memory.memory_commands(answer, known)))
+    return view(spark, sf_dir, "events").select("event_id", allowed.alias("c"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'a:T,b:' END AS entities, CASE WHEN event_id % 3 <> 0 THEN 1 END AS relations FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 6 NOT IN (0, 4) THEN concat('a:T', CASE WHEN event_id % 6 = 1 THEN '' ELSE concat(',', CASE WHEN event_id % 6 = 2 THEN repeat('n', 128) ELSE 'b' END, ':unknown') END) END AS entities,
+CASE WHEN event_id % 6 NOT IN (0, 4) THEN CASE WHEN event_id % 6 IN (1, 2) THEN '' ELSE 'a-related_to-b' END END AS relations FROM events""")
 def graph_extraction(spark, sf_dir):
-    name = F.when(F.expr("event_id % 3 = 0"), F.repeat(F.lit("n"), 200)).otherwise("b")
-    answer = F.concat(F.lit('{"entities": [{"name": "a", "type": "T"}, {"name": "a", "type": "U"}, {"name": "'), name, F.lit('"}], "relations": [{"source": "a", "target": "b", "type": "r"}, {"source": "a", "target": "z", "type": "r"}]}'))
+    """Cases by event_id % 6: a name too long, a blank one, one of 128, plain, no entities, fenced."""
+    kind = F.expr("event_id % 6")
+    name = F.when(kind == 0, F.repeat(F.lit("n"), 129)).when(kind == 1, " ").when(kind == 2, F.repeat(F.lit("n"), 128)).otherwise(" b ")
+    entities = F.concat(F.when(kind == 4, '"nodes"').otherwise('"entities"'), F.lit(': [{"name": "a", "type": "T"}, {"name": "a ", "type": "U"}, {"type": "V"}, {"name": "'), name, F.lit('"}]'))
+    answer = F.concat(F.when(kind == 5, "```json\n").otherwise(""), F.lit("{"), entities, F.lit(', "relations": [{"source": "a", "target": " b"}, {"source": "a", "target": "z", "type": "r"}, {"source": "a"}]}'))
     g = view(spark, sf_dir, "events").select("event_id", memory.graph_extraction(answer).alias("g"))
     entities = F.array_join(F.transform("g.entities", lambda e: F.concat(e["name"], F.lit(":"), e["type"])), ",")
-    return g.select("event_id", entities.alias("entities"), F.when(F.col("g").isNotNull(), F.size("g.relations")).alias("relations"))
+    return g.select("event_id", entities.alias("entities"), F.array_join(F.transform("g.relations", lambda r: F.concat_ws("-", r["source"], r["type"], r["target"])), ",").alias("relations"))
 
 
 @query("SELECT event_id, least(coalesce(CASE WHEN event_id % 30 > 0 THEN event_id % 30 END, 5), 20) AS top_n, 'mode' AS rejected, CASE WHEN event_id % 2 = 0 THEN 'kb1,kb3' ELSE 'kb1,kb2,kb3' END AS routed, CASE WHEN event_id % 2 = 0 THEN 'a b' ELSE 'q' END AS rewritten FROM events")

@@ -34,15 +34,15 @@ VIEWS = {
     "route": """SELECT o_custkey % 20 AS query_id, CASE o_orderkey % 4 WHEN 0 THEN 'VECTOR' WHEN 1 THEN 'BM25' WHEN 2 THEN 'MULTIMODAL' ELSE 'GRAPH' END AS route,
         concat('c', CAST(o_orderkey % 60 AS STRING)) AS chunk_id, max(round(o_totalprice / 1000, 3)) AS score FROM {orders} GROUP BY 1, 2, 3""",
     "ranked": """SELECT o_custkey % 20 AS query_id, concat('kb', CAST(o_orderkey % 3 AS STRING)) AS kb_id, concat('c', CAST(o_orderkey AS STRING)) AS chunk_id, round(o_totalprice / 1000, 3) AS fused_score FROM {orders}""",
-    "candidate": """SELECT o_custkey % 20 AS query_id, concat('c', CAST(o_orderkey AS STRING)) AS chunk_id, CASE WHEN o_orderkey % 3 <> 0 THEN concat('p', CAST(o_orderkey % 25 AS STRING)) END AS parent_id,
+    "candidate": """SELECT CAST(floor(o_custkey / 8) AS BIGINT) AS query_id, concat('c', CAST(o_orderkey AS STRING)) AS chunk_id, CASE WHEN o_orderkey % 3 <> 0 THEN concat('p', CAST(o_orderkey % 25 AS STRING)) END AS parent_id,
         CAST(floor(o_totalprice / 10) AS DOUBLE) / CAST(10000 AS DOUBLE) AS rerank_score, CASE WHEN o_orderkey % 5 <> 0 THEN round(o_totalprice / 777, 6) END AS bm25_score,
-        CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 100) / 100.0 END AS vector_score, round(o_totalprice / 1000000, 6) AS fused_score, o_orderkey % 300 AS content_length FROM {orders} WHERE o_orderkey < 4000""",
+        CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 100) / 100.0 END AS vector_score, round(o_totalprice / 1000000, 6) AS fused_score, o_orderkey % 300 AS content_length FROM {orders}""",
     "version": """SELECT o_orderkey AS id, o_custkey AS doc_id, concat('v', CAST(o_orderkey AS STRING)) AS version_id, CASE o_orderstatus WHEN 'O' THEN 'READY' WHEN 'F' THEN 'READY' ELSE 'FAILED' END AS status,
         o_orderkey % 9 = 0 AS active, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS created_at, CAST(o_orderkey % 4 + 1 AS INT) AS major, CAST(o_orderkey % 3 AS INT) AS minor,
         concat('h', CAST(o_orderkey % 6 AS STRING)) AS content_hash, concat('p', CAST(o_orderkey % 2 AS STRING)) AS parse_fp, concat('s', CAST(o_orderkey % 2 AS STRING)) AS chunk_fp, 'e1' AS embedding_version,
         CASE WHEN o_orderkey % 5 <> 0 THEN 'obj' END AS parsed_object FROM {orders}""",
-    "edge": """SELECT l_partkey % 400 AS src, l_suppkey % 400 + 17 AS dst, l_returnflag AS type FROM {lineitem} WHERE l_linenumber = 1 AND l_orderkey % 10 = 0""",
-    "mention": """SELECT DISTINCT l_partkey % 400 AS entity, concat('c', CAST(l_orderkey % 500 AS STRING)) AS chunk_id FROM {lineitem} WHERE l_linenumber = 2""",
+    "edge": """SELECT l_orderkey AS src, l_orderkey + l_partkey % 50 + 1 AS dst, l_returnflag AS type FROM {lineitem}""",
+    "mention": """SELECT DISTINCT l_orderkey AS entity, concat('c', CAST(l_partkey AS STRING)) AS chunk_id FROM {lineitem}""",
     "trace": """SELECT l_suppkey % 10 AS query_id, concat('c', CAST(l_orderkey % 300 AS STRING)) AS chunk_id, concat('e', CAST(l_partkey % 30 AS STRING)) AS entity_name,
         round(l_quantity / 50, 4) AS match_score, l_linenumber % 3 AS hops FROM {lineitem}""",
     "case": """SELECT concat('case', CAST(o_orderkey AS STRING)) AS case_id, o_orderkey AS seq, o_orderkey % 4 <> 0 AS hit, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 5 + 1 END AS hit_rank, o_orderkey % 3 AS evidence_hits,

@@ -89,19 +89,27 @@ def cross_kb_rrf(spark, sf_dir):
     return fusion.cross_kb_rrf(view(spark, sf_dir, "ranked")).select("query_id", "kb_id", "chunk_id", "fused_score", "position")
 
 
-@query("""WITH b AS (SELECT n_regionkey AS kb_id, CAST(n_nationkey % 4 AS BIGINT) AS w0, n_nationkey AS o FROM nation WHERE n_nationkey < 5),
-w AS (SELECT kb_id, o, CASE WHEN w0 > 0 THEN w0 ELSE 1 END AS w FROM b), q AS (SELECT *, floor(50 * w / sum(w) OVER ())::BIGINT AS q0, row_number() OVER (ORDER BY w DESC, o) AS r FROM w)
-SELECT o AS decl_order, CAST(q0 + CASE WHEN r = 1 THEN 50 - sum(q0) OVER () ELSE 0 END AS BIGINT) AS quota FROM q""")
+@query("""WITH b AS (SELECT n_regionkey AS r, CAST(n_nationkey % 4 AS BIGINT) AS w0, n_nationkey AS o FROM nation),
+w AS (SELECT r, o, CASE WHEN w0 > 0 THEN w0 ELSE 1 END AS w FROM b), q AS (SELECT *, floor(50 * w / sum(w) OVER (PARTITION BY r))::BIGINT AS q0, row_number() OVER (PARTITION BY r ORDER BY w DESC, o) AS k FROM w)
+SELECT o AS decl_order, CAST(q0 + CASE WHEN k = 1 THEN 50 - sum(q0) OVER (PARTITION BY r) ELSE 0 END AS BIGINT) AS quota FROM q""")
 def kb_quota(spark, sf_dir):
-    bases = view(spark, sf_dir, "nation").filter("n_nationkey < 5").select(F.col("n_nationkey").alias("kb_id"), F.expr("n_nationkey % 4").alias("weight"), F.col("n_nationkey").alias("decl_order"))
-    return fusion.kb_quota(bases, 50).select("decl_order", "quota")
+    bases = view(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("request"), F.col("n_nationkey").alias("kb_id"), F.expr("n_nationkey % 4").alias("weight"), F.col("n_nationkey").alias("decl_order"))
+    return fusion.kb_quota(bases, 50, "request").select("decl_order", "quota")
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY fused_score DESC, chunk_id) AS k FROM {ranked})
-SELECT query_id, kb_id, chunk_id, round(1.0 / (60 + k), 6) AS fused_score, row_number() OVER (PARTITION BY query_id ORDER BY k, chunk_id) AS position FROM r WHERE k <= CASE kb_id WHEN 'kb0' THEN 26 ELSE 12 END""")
+#: Requests to which one, two or three bases contribute.
+_SOME = "SELECT query_id, CASE WHEN query_id % 5 = 3 THEN 'kb1' WHEN query_id % 5 = 4 AND kb_id = 'kb1' THEN 'kb2' ELSE kb_id END AS kb_id, chunk_id, fused_score FROM {ranked}"
+
+
+@query(f"""WITH k AS ({_SOME}), b(kb_id, w, o) AS (VALUES ('kb0', 2, 0), ('kb1', 1, 1), ('kb2', 1, 2), ('kb9', 5, 3)), c AS (SELECT DISTINCT query_id, kb_id FROM k),
+q AS (SELECT *, floor(50 * w / sum(w) OVER (PARTITION BY query_id)) AS q0, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, o) AS i, count(*) OVER (PARTITION BY query_id) AS n FROM c JOIN b USING (kb_id)),
+a AS (SELECT query_id, kb_id, n, q0 + CASE WHEN i = 1 THEN 50 - sum(q0) OVER (PARTITION BY query_id) ELSE 0 END AS quota FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY fused_score DESC, chunk_id) AS r FROM k), s AS (SELECT query_id, kb_id, chunk_id, CASE WHEN n = 1 THEN fused_score ELSE 1.0 / (60 + r) END AS s FROM r JOIN a USING (query_id, kb_id) WHERE n = 1 OR r <= quota)
+SELECT query_id, kb_id, chunk_id, round(s, 6) AS fused_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS position FROM s""")
 def merge_across_kbs(spark, sf_dir):
     bases = spark.createDataFrame([("kb0", 2, 0), ("kb1", 1, 1), ("kb2", 1, 2), ("kb9", 5, 3)], "kb_id string, weight int, decl_order int")
-    return fusion.merge_across_kbs(view(spark, sf_dir, "ranked"), bases, 50).select("query_id", "kb_id", "chunk_id", "fused_score", "position")
+    ranked = spark.sql(_SOME, ranked=view(spark, sf_dir, "ranked"))
+    return fusion.merge_across_kbs(ranked, bases, 50).select("query_id", "kb_id", "chunk_id", "fused_score", "position")
 
 
 _HYBRID = """c AS (SELECT *, coalesce(bm25_score, 0) AS b FROM {candidate}), m AS (SELECT *, min(b) OVER (PARTITION BY query_id) AS lo, max(b) OVER (PARTITION BY query_id) AS hi FROM c),

@@ -14,9 +14,13 @@ def _docs(spark, sf_dir):
     return view(spark, sf_dir, "documents")
 
 
-@query("SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents")
+_MIXED = "SELECT doc_id, concat(text, CASE doc_id % 6 WHEN 0 THEN '한글 값' WHEN 1 THEN '日本語、カナ' WHEN 2 THEN '⺀⻿豈' WHEN 3 THEN 'Ａ１！' WHEN 4 THEN '😀😀😀' ELSE '㐀中' END) AS text FROM {documents}"
+
+
+@query(rf"""WITH m AS ({_MIXED}), c AS (SELECT doc_id, text, length(regexp_replace(text, '[^\x{{3000}}-\x{{30FF}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}\x{{FF00}}-\x{{FFEF}}]', '', 'g')) AS cjk,
+length(regexp_replace(text, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) AS far FROM m) SELECT doc_id, CAST(cjk + ceil((length(text) + far - cjk) / 4) AS BIGINT) AS tokens FROM c""")
 def token_estimate(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", t.token_estimate(F.col("text")).alias("tokens"))
+    return spark.sql(_MIXED, documents=_docs(spark, sf_dir)).select("doc_id", t.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\d', '', 'g'), '\s+', ' ', 'g'))) AS h FROM documents")
@@ -41,7 +45,11 @@ def furniture_removed(spark, sf_dir):
     return t.remove_furniture(spark.sql(_PAGES, documents=_docs(spark, sf_dir))).select("doc_id", "page_no", F.md5("text").alias("h"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(text, '([A-Za-z0-9])[A-Za-z0-9._%+-]*@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', '\1***@\2', 'g')) AS h FROM documents")
+_NAMES = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, text, regexp_split_to_array(text, '{_NAMES}') AS rest, regexp_extract_all(text, '{_NAMES}') AS found FROM documents)
+SELECT doc_id, md5(array_to_string(list_transform(rest, lambda x, i: concat(x, CASE WHEN i <= len(found) THEN concat(CASE WHEN strpos(found[i], '@') > 2 THEN left(found[i], 1) ELSE '' END, repeat('*', greatest(strpos(found[i], '@') - 2, 1)), substr(found[i], strpos(found[i], '@'))) END)), '')) AS h FROM p""")
 def mask_email(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(t.mask_email(F.col("text"))).alias("h"))
 
@@ -96,14 +104,24 @@ def url_guard(spark, sf_dir):
     return view(spark, sf_dir, "pages").select("page_id", t.url_allowed(F.col("url")).alias("allowed"), t.extension(F.regexp_replace("url", "[?#].*$", "")).alias("ext"))
 
 
-@query(r"SELECT page_id, regexp_matches(html, '(?is)<input[^>]*type\s*=\s*[\x22\x27]?password') AS wall FROM pages")
+_LOGINS = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'https://a.example/SSO/x' WHEN 1 THEN 'https://login.example/' WHEN 2 THEN 'https://a.example/author/1' WHEN 3 THEN 'https://a.example/cas?x' WHEN 4 THEN 'https://a.example/authorize' WHEN 5 THEN url ELSE 'https://a.example/x-login' END AS url,
+    concat(CASE page_id % 5 WHEN 0 THEN '<TITLE>Sign in</title>' WHEN 1 THEN '<title lang=x>登录</title>' WHEN 2 THEN '<title>About</title> log in' WHEN 3 THEN '<title>Log  in</title>' ELSE '<title>Please login</title>' END,
+    CASE WHEN page_id % 7 = 0 THEN '<INPUT name=p type = \"password\">' WHEN page_id % 7 = 1 THEN '<input type=text>password' ELSE '' END, html) AS html FROM {pages}"""
+
+
+@query(rf"""WITH p AS ({_LOGINS.replace(chr(92), "")}) SELECT page_id, regexp_matches(html, '(?i)<input[^>]{{0,300}}type\s*=\s*[\x22\x27]?password') OR
+(regexp_matches(lower(url), '(^|[/.])(login|signin|sign-in|sso|cas|authorize)([/.?#]|$)') AND regexp_matches(html, '(?i)<title[^>]*>[^<]*(log\s?in|sign\s?in|登录|登入)')) AS wall FROM p""")
 def login_walls(spark, sf_dir):
-    return view(spark, sf_dir, "pages").select("page_id", t.login_wall(F.col("url"), F.col("html")).alias("wall"))
+    return spark.sql(_LOGINS.replace(chr(92), ""), pages=view(spark, sf_dir, "pages")).select("page_id", t.login_wall(F.col("url"), F.col("html")).alias("wall"))
+
+
+_KEYS = "SELECT page_id, concat(url, CASE page_id % 6 WHEN 0 THEN '/.hidden' WHEN 1 THEN '/Ünder Score_报告.v2.PDF' WHEN 2 THEN '/---' WHEN 3 THEN concat('/', repeat('Long ', 60), '.md') WHEN 4 THEN '' ELSE '/a.b/c' END) AS k FROM {pages}"
 
 
-@query("SELECT page_id, concat(left(trim(regexp_replace(url, '[^\\p{L}\\p{N}]+', '-', 'g'), '-'), 191), '-', left(sha256(url), 8)) AS name FROM pages")
+@query(f"""WITH k AS (SELECT page_id, k, regexp_extract(k, '([^/]*)$', 1) AS name FROM ({_KEYS})), b AS (SELECT page_id, k, CASE WHEN position('.' IN substr(name, 2)) > 0 THEN regexp_replace(name, '\\.[^.]*$', '') ELSE name END AS base FROM k)
+SELECT page_id, concat(left(trim(regexp_replace(lower(base), '[^a-z0-9\u4e00-\u9fa5]+', '-', 'g'), '-'), 187), '-', left(sha256(k), 8), '.pdf') AS name FROM b""")
 def url_slugs(spark, sf_dir):
-    return view(spark, sf_dir, "pages").select("page_id", t.slug(F.col("url"), F.col("url")).alias("name"))
+    return spark.sql(_KEYS, pages=view(spark, sf_dir, "pages")).select("page_id", t.slug(F.col("k"), F.lit("pdf")).alias("name"))
 
 
 @query("SELECT doc_id, sha256(concat_ws('|', lang, source, CAST(n_chars AS STRING), '')) AS fp, concat('kb_', lower(lang), '_m-1_64_s', CAST(doc_id % 5 AS STRING)) AS name, doc_id % 5 AS snapshot FROM documents")
@@ -193,10 +211,13 @@ def parse_times(spark, sf_dir):
     return e.select("event_id", t.parse_time_ms(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("a"), t.parse_time_ms((F.col("event_id") + 1700000000).cast("string")).alias("b"))
 
 
-@query("SELECT event_id, ['voice', 'video', 'image', 'text', 'text', 'other'][CAST(event_id % 6 AS INT) + 1] AS kind FROM events")
+_KINDS = [("Voice", "voice"), ("43", "video"), ("picture", "image"), ("", "text"), ("1", "text"), ("sticker", "other"), ("62.0", "video"), ("context", "other"), ("语音消息", "voice"), ("my photo!", "image"), ("photos", "other"), ("照片", "image"), ("文字", "text"), ("34", "voice"), ("text video", "video"), ("3", "image"), ("99", "other")]
+
+
+@query(f"SELECT event_id, {[kind for _, kind in _KINDS]}[CAST(event_id % {len(_KINDS)} AS INT) + 1] AS kind FROM events")
 def message_types(spark, sf_dir):
-    words = F.array(*map(F.lit, ["Voice", "43", "picture", "", "1", "sticker"]))
-    return view(spark, sf_dir, "events").select("event_id", t.message_type(F.get(words, F.expr("event_id % 6"))).alias("kind"))
+    words = F.array(*(F.lit(word) for word, _ in _KINDS))
+    return view(spark, sf_dir, "events").select("event_id", t.message_type(F.get(words, F.expr(f"event_id % {len(_KINDS)}"))).alias("kind"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

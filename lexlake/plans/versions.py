@@ -25,18 +25,22 @@ def index_upsert(spark, sf_dir):
 _UPLOADS = "SELECT c_custkey AS doc_id, concat('h', CAST(c_custkey % 8 AS STRING)) AS content_hash, 'p0' AS parse_fp, 's0' AS chunk_fp, 'e1' AS embedding_version FROM {customer}"
 
 
-@query(f"""WITH u AS ({_UPLOADS}), j AS (SELECT u.doc_id, h.major, h.minor, h.active AND u.content_hash = h.content_hash AND u.parse_fp = h.parse_fp AND u.chunk_fp = h.chunk_fp AND u.embedding_version = h.embedding_version AS dup,
-u.content_hash = h.content_hash AS same FROM u LEFT JOIN {{version}} h USING (doc_id)), g AS (SELECT doc_id, count(major) AS n, max(major * 100 + minor) AS top, coalesce(bool_or(dup), false) AS dup, coalesce(bool_or(same), false) AS same FROM j GROUP BY 1)
-SELECT doc_id, CASE WHEN n = 0 THEN 'FIRST' WHEN dup THEN 'DUPLICATE' WHEN same THEN 'MINOR' ELSE 'MAJOR' END AS action,
-CASE WHEN n = 0 THEN '1.0' WHEN dup THEN NULL WHEN same THEN concat(top // 100, '.', top % 100 + 1) ELSE concat(top // 100 + 1, '.0') END AS version FROM g""")
+@query(f"""WITH u AS ({_UPLOADS}), h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY active DESC, id DESC) AS k, max(major * 100 + minor) OVER (PARTITION BY doc_id) AS top FROM {{version}}),
+j AS (SELECT u.doc_id, top, h.active AND u.content_hash = h.content_hash AND u.parse_fp = h.parse_fp AND u.chunk_fp = h.chunk_fp AND u.embedding_version = h.embedding_version AS dup, u.content_hash = h.content_hash AS same FROM u LEFT JOIN h ON u.doc_id = h.doc_id AND h.k = 1)
+SELECT doc_id, CASE WHEN top IS NULL THEN 'FIRST' WHEN dup THEN 'DUPLICATE' WHEN same THEN 'MINOR' ELSE 'MAJOR' END AS action,
+CASE WHEN top IS NULL THEN '1.0' WHEN dup THEN NULL WHEN same THEN concat(top // 100, '.', top % 100 + 1) ELSE concat(top // 100 + 1, '.0') END AS version FROM j""")
 def plan_version(spark, sf_dir):
     return v.plan_version(view(spark, sf_dir, "version"), spark.sql(_UPLOADS, customer=view(spark, sf_dir, "customer")))
 
 
-@query(f"""WITH u AS ({_UPLOADS}), j AS (SELECT u.doc_id, h.id, CASE WHEN u.content_hash = h.content_hash AND u.parse_fp = h.parse_fp AND h.parsed_object IS NOT NULL THEN CASE WHEN u.chunk_fp = h.chunk_fp AND h.status = 'READY' THEN 2 ELSE 1 END ELSE 0 END AS l
-FROM u LEFT JOIN {{version}} h USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, id) AS k FROM j) SELECT doc_id, ['NONE', 'PARSED', 'CHUNKS'][l + 1] AS reuse, CASE WHEN l > 0 THEN id END AS from_id FROM r WHERE k = 1""")
+#: Versions of which some are active and some have a blank parsed object.
+_REUSABLE = "SELECT doc_id, id, content_hash, parse_fp, chunk_fp, CASE WHEN id % 7 = 0 THEN 'ACTIVE' ELSE status END AS status, CASE WHEN id % 11 = 0 THEN ' ' ELSE parsed_object END AS parsed_object FROM {version}"
+
+
+@query(f"""WITH u AS ({_UPLOADS}), j AS (SELECT u.doc_id, h.id, CASE WHEN u.content_hash = h.content_hash AND u.parse_fp = h.parse_fp AND trim(h.parsed_object) <> '' THEN CASE WHEN u.chunk_fp = h.chunk_fp AND h.status = 'READY' THEN 2 ELSE 1 END ELSE 0 END AS l
+FROM u LEFT JOIN ({_REUSABLE}) h USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, id) AS k FROM j) SELECT doc_id, ['NONE', 'PARSED', 'CHUNKS'][l + 1] AS reuse, CASE WHEN l > 0 THEN id END AS from_id FROM r WHERE k = 1""")
 def reuse_level(spark, sf_dir):
-    return v.reuse_level(view(spark, sf_dir, "version"), spark.sql(_UPLOADS, customer=view(spark, sf_dir, "customer")))
+    return v.reuse_level(spark.sql(_REUSABLE, version=view(spark, sf_dir, "version")), spark.sql(_UPLOADS, customer=view(spark, sf_dir, "customer")))
 
 
 @query("""SELECT version_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY created_at DESC NULLS LAST, id DESC) AS r FROM {version} WHERE status = 'READY' AND NOT active AND id % 7 <> 0) WHERE r > 3""")
@@ -57,17 +61,24 @@ def duplicate_documents(spark, sf_dir):
     return v.duplicates_of(view(spark, sf_dir, "document"))
 
 
-_LISTING = "SELECT concat('k', CAST(doc_id AS STRING)) AS object_key, CAST(doc_id % 7 AS STRING) AS etag FROM {documents} WHERE doc_id % 5 <> 0"
-_ITEMS = "SELECT concat('k', CAST(doc_id AS STRING)) AS object_key, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE CAST(doc_id % 7 AS STRING) END AS etag, doc_id % 11 = 0 AS trashed FROM {documents} WHERE doc_id % 3 <> 0"
+_LISTING = "SELECT concat('k', CAST(doc_id AS STRING)) AS object_key, CASE WHEN doc_id % 23 <> 0 THEN CAST(doc_id % 7 AS STRING) END AS etag, doc_id % 13 = 0 AS failed FROM {documents} WHERE doc_id % 5 <> 0"
+_ITEMS = "SELECT concat('k', CAST(doc_id AS STRING)) AS object_key, CASE WHEN doc_id % 23 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN 'x' ELSE CAST(doc_id % 7 AS STRING) END AS etag, doc_id % 11 = 0 AS trashed, CASE WHEN doc_id % 2 = 0 THEN 'SKIPPED' END AS last_status FROM {documents} WHERE doc_id % 3 <> 0"
+_OUTCOMES = f"""SELECT coalesce(l.object_key, i.object_key) AS object_key, CASE WHEN l.object_key IS NULL THEN 'SKIPPED' WHEN l.etag = i.etag THEN 'UNCHANGED' WHEN trashed THEN 'SKIPPED' WHEN failed THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+CASE WHEN l.object_key IS NULL THEN 'GONE' WHEN l.etag = i.etag THEN NULL WHEN trashed THEN 'TRASHED' WHEN failed THEN NULL WHEN i.object_key IS NULL THEN 'CREATED' ELSE 'UPDATED' END AS detail
+FROM ({_LISTING}) l FULL JOIN ({_ITEMS}) i ON l.object_key = i.object_key WHERE l.object_key IS NOT NULL OR last_status IS NULL"""
 
 
-@query(f"""SELECT coalesce(l.object_key, i.object_key) AS object_key, CASE WHEN l.object_key IS NULL THEN 'VANISHED' WHEN i.object_key IS NULL THEN 'CREATED' WHEN trashed THEN 'SKIPPED' WHEN l.etag = i.etag THEN 'UNCHANGED' ELSE 'UPDATED' END AS fate
-FROM ({_LISTING}) l FULL JOIN ({_ITEMS}) i ON l.object_key = i.object_key""")
+@query(_OUTCOMES)
 def sync_objects(spark, sf_dir):
     d = view(spark, sf_dir, "documents")
     return v.sync_objects(spark.sql(_LISTING, documents=d), spark.sql(_ITEMS, documents=d), truncated=False)
 
 
+@query(f"SELECT CASE WHEN count(*) FILTER (WHERE status = 'FAILED') > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status FROM ({_OUTCOMES})")
+def sync_status(spark, sf_dir):
+    return v.sync_status(sync_objects(spark, sf_dir), truncated=False)
+
+
 _FETCHED = "SELECT page_id AS id, 't1' AS tenant_id, concat('h', CAST(page_id % 10 AS STRING)) AS host, md5(url) AS url_hash, md5(html) AS body_hash, page_id % 40 = 33 AS auth_failed FROM {pages}"
 
 
@@ -104,8 +115,8 @@ def resequence_chunks(spark, sf_dir):
     return v.resequence(rows)
 
 
-_IMAGES = "SELECT l_orderkey % 500 AS doc_id, l_linenumber AS image_id, l_partkey AS start, l_partkey + 300 AS stop FROM {lineitem} WHERE l_orderkey % 7 = 0"
-_SPANS = "SELECT l_orderkey % 500 AS doc_id, l_suppkey AS chunk_id, l_partkey AS start, l_partkey + 200 AS stop FROM {lineitem} WHERE l_orderkey % 11 = 0"
+_IMAGES = "SELECT l_orderkey AS doc_id, l_linenumber AS image_id, l_partkey AS start, l_partkey + 300 AS stop FROM {lineitem}"
+_SPANS = "SELECT l_orderkey AS doc_id, l_suppkey AS chunk_id, l_partkey AS start, l_partkey + 200 AS stop FROM {lineitem}"
 
 
 @query(f"SELECT DISTINCT a.doc_id, a.image_id, b.chunk_id FROM ({_IMAGES}) a JOIN ({_SPANS}) b ON a.doc_id = b.doc_id AND a.start < b.stop AND b.start < a.stop")
@@ -126,11 +137,12 @@ def hide_parents(spark, sf_dir):
     return v.hide_parents(chunks.select(F.coalesce("parent_id", "chunk_id").alias("unit_id")).distinct(), chunks)
 
 
-@query("SELECT doc_id, md5(concat(left(text, 5), '[hidden]', substr(text, 21))) AS h FROM documents WHERE n_chars > 40")
+@query("""SELECT doc_id, md5(CASE WHEN length(text) < 20 THEN text ELSE concat(left(text, 5), '[hidden]', CASE WHEN doc_id % 2 = 0 THEN '' ELSE '[hidden]' END, substr(text, CASE WHEN doc_id % 2 = 0 THEN 8 ELSE 21 END)) END) AS h FROM documents""")
 def redact_parents(spark, sf_dir):
-    d = view(spark, sf_dir, "documents").filter("n_chars > 40")
-    spans = F.array(F.struct(F.lit(12).alias("start"), F.lit(20).alias("stop")), F.struct(F.lit(5).alias("start"), F.lit(15).alias("stop")))
-    return d.select("doc_id", F.md5(v.redact(F.col("text"), spans)).alias("h"))
+    """Even ids: two spans that begin together. Odd ones: two that overlap. Texts under 20 characters: a span beyond the end."""
+    span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"))
+    spans = F.when(F.expr("doc_id % 2 = 0 AND char_length(text) >= 20"), F.array(span(5, 7), span(5, 15))).otherwise(F.array(span(12, 20), span(5, 15)))
+    return view(spark, sf_dir, "documents").select("doc_id", F.md5(v.redact(F.col("text"), spans, "[hidden]")).alias("h"))
 
 
 _FLAGS = "SELECT *, hit_rank FROM {case}"
@@ -184,7 +196,7 @@ def judge_spans(spark, sf_dir):
 
 @query()
 def overlap_ratio(spark, sf_dir):
-    items = view(spark, sf_dir, "benchmark").filter("item_id < 10")
+    items = view(spark, sf_dir, "benchmark")
     other = items.select(F.expr("item_id + 1").alias("item_id"), F.col("text").alias("other"))
     return items.join(other, "item_id").select("item_id", ev.overlap_ratio(F.col("text"), F.col("other")).alias("ratio"))
 
@@ -194,14 +206,21 @@ def _runs(spark, sf_dir):
     return cases.filter("seq % 5 <> 1"), cases.filter("seq % 5 <> 2").withColumn("hit", F.expr("seq % 3 <> 0")).withColumn("score", F.expr("score % 4 + 1"))
 
 
-@query("""WITH c AS (SELECT * FROM {case} WHERE seq % 5 <> 1), b AS (SELECT *, seq % 3 <> 0 AS bhit FROM {case} WHERE seq % 5 <> 2),
-m AS (SELECT count(*) AS cases, avg(c.hit::INT) AS hit_rate, avg(b.bhit::INT) AS base_hit_rate, avg(c.evidence_hits / c.evidence_total) AS recall, avg(b.evidence_hits / b.evidence_total) AS base_recall, count(*) FILTER (WHERE c.degraded OR b.degraded) AS degraded FROM c JOIN b USING (case_id))
-SELECT cases, round(hit_rate, 6) AS hit_rate, round(base_hit_rate, 6) AS base_hit_rate, round(recall, 6) AS recall, round(base_recall, 6) AS base_recall, degraded, CASE WHEN degraded > 0 THEN 'DEGRADED' END AS reason, CASE WHEN degraded > 0 THEN 'LOG_ONLY' ELSE 'PASS' END AS decision FROM m""")
+_GATES = """SELECT r_regionkey AS gate, r_regionkey <> 0 AS has_dataset, true AS run_ok, true AS comparable, CASE WHEN r_regionkey = 1 THEN 0.2 ELSE 0.1 END AS stale_rate, r_regionkey = 4 AS has_baseline,
+    CASE WHEN r_regionkey = 2 THEN CAST(0.99 AS DOUBLE) END AS min_hit_rate, CASE WHEN r_regionkey = 2 THEN CAST(0.1 AS DOUBLE) END AS min_recall FROM {region}"""
+
+
+@query(f"""WITH g AS ({_GATES}), c AS (SELECT * FROM {{case}} WHERE seq % 5 <> 1), b AS (SELECT *, seq % 3 <> 0 AS bhit FROM {{case}} WHERE seq % 5 <> 2),
+m AS (SELECT count(*) AS cases, avg(c.hit::INT) AS hit_rate, avg(b.bhit::INT) AS base_hit_rate, avg(c.evidence_hits / c.evidence_total) AS recall, avg(b.evidence_hits / b.evidence_total) AS base_recall FROM c JOIN b USING (case_id) WHERE NOT c.degraded),
+j AS (SELECT gate, CASE WHEN gate = 0 THEN 'NO_DATASET' WHEN cases < 50 THEN 'INSUFFICIENT_CASES' WHEN stale_rate > 0.15 THEN 'STALE_RATIO_EXCEEDED' WHEN gate = 2 AND (hit_rate < min_hit_rate OR recall < min_recall) THEN 'ABSOLUTE_THRESHOLD_NOT_MET' WHEN gate = 2 THEN 'ABSOLUTE_THRESHOLD_MET'
+WHEN gate = 3 THEN 'BASELINE_RECORDED' WHEN hit_rate - base_hit_rate < -greatest(0.02, 1.0 / cases) - 1e-9 OR recall - base_recall < -greatest(0.02, 1.0 / cases) - 1e-9 THEN 'METRICS_REGRESSED' ELSE 'WITHIN_TOLERANCE' END AS reason FROM g, m)
+SELECT gate, reason, CASE WHEN reason IN ('METRICS_REGRESSED', 'ABSOLUTE_THRESHOLD_NOT_MET') THEN 'BLOCKED' WHEN reason IN ('WITHIN_TOLERANCE', 'ABSOLUTE_THRESHOLD_MET', 'BASELINE_RECORDED') THEN 'PASSED' ELSE 'LOG_ONLY' END AS decision FROM j""")
 def release_gate(spark, sf_dir):
-    m = ev.gate_metrics(*_runs(spark, sf_dir))
-    known = {"has_dataset": True, "run_ok": True, "comparable": True, "stale_rate": 0.0, "has_baseline": True}
-    out = ev.release_gate(m.withColumns({k: F.lit(x) for k, x in known.items()}))
-    return out.drop(*known)
+    """By region: no dataset, stale cases, thresholds missed, a first release without any, a baseline."""
+    candidate, baseline = _runs(spark, sf_dir)
+    m = ev.gate_metrics(candidate.filter(~F.col("degraded")), baseline.withColumn("degraded", F.lit(False)))
+    gates = spark.sql(_GATES, region=view(spark, sf_dir, "region"))
+    return ev.release_gate(gates.join(F.broadcast(m))).select("gate", "reason", "decision")
 
 
 @query("""WITH j AS (SELECT c.score, c.refusal_correct, b.score % 4 + 1 AS bs, b.refusal_correct AS br FROM {case} c JOIN {case} b USING (case_id) WHERE c.seq % 5 NOT IN (1, 2) AND c.score IS NOT NULL AND b.score IS NOT NULL),
@@ -223,6 +242,6 @@ def call_estimate(spark, sf_dir):
     return ev.call_estimate(view(spark, sf_dir, "case"), configs)
 
 
-@query("SELECT sha256(concat_ws('|', (SELECT string_agg(DISTINCT version_id, ',' ORDER BY version_id) FROM {version} WHERE id < 500), 'm:64', 'a', 'b')) AS fingerprint")
+@query("SELECT sha256(concat_ws('|', (SELECT string_agg(DISTINCT version_id, ',' ORDER BY version_id) FROM {version}), 'm:64', 'a', 'b')) AS fingerprint")
 def corpus_fingerprint(spark, sf_dir):
-    return ev.corpus_fingerprint(view(spark, sf_dir, "version").filter("id < 500"), "m:64", ["b", "a"])
+    return ev.corpus_fingerprint(view(spark, sf_dir, "version"), "m:64", ["b", "a"])
