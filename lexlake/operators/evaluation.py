@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,13 +80,12 @@ def judge_documents(evidence: DataFrame, ranked: DataFrame) -> DataFrame:
 
 def longest_run(text: str, span: str) -> tuple[int, int]:
     """(start in span, length) of the longest string that both hold; of equal ones the first in span. Memory is one row of a table."""
-    best, at, row = 0, 0, [0] * (len(text) + 1)
+    letters, best, at = np.frombuffer(text.encode("utf-32-le"), np.uint32), 0, 0
+    row = np.zeros(len(letters) + 1, np.int32)
     for i, c in enumerate(span):
-        before = 0
-        for j, d in enumerate(text, 1):
-            before, row[j] = row[j], (before + 1 if c == d else 0)
-            if row[j] > best:
-                best, at = row[j], i - row[j] + 1
+        row[1:] = np.where(letters == ord(c), row[:-1] + 1, 0)
+        if (n := int(row.max())) > best:
+            best, at = n, i - n + 1
     return at, best
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexlake.storage import BROADCAST_ROWS
+from lexlake.storage import BROADCAST_ROWS, materialize
 
 TOKEN = r"[\p{L}0-9]+"
 
@@ -30,15 +30,17 @@ def top_k(df: DataFrame, by: str, k: int, score: str = "score", tie: str = "chun
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.2, b: float = 0.75, digits: int = 9) -> DataFrame:
     """BM25 of docs (chunk_id, text) for queries (query_id, text): query_id, chunk_id, score, rank of the top k.
 
-    A query is the OR of its distinct terms. Statistics cover the docs that are given, so filter before. Only tokens
-    that some query has are counted; texts are scanned once and never shuffled.
+    A query is the OR of its distinct terms. Statistics cover the docs that are given, so filter before. Texts are scanned once
+    and never shuffled: what is stored are the counts of the queries' terms, and each text's length under no term.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = small(terms.select("term").distinct())
+    wanted = terms.select("term").distinct().unionByName(queries.sparkSession.range(1).select(F.lit(None).cast("string").alias("term")))
     split = docs.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = split.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    hits = split.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    tf = hits.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    every = split.select("chunk_id", "dl", F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("token"))
+    hits = every.join(small(wanted), F.col("token").eqNullSafe(F.col("term"))).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = materialize(hits, "term-counts")
+    stats = hits.filter("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    tf = hits.filter("term IS NOT NULL")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = small(terms.join(df, "term")).join(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

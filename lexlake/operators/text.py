@@ -5,7 +5,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,10 +137,19 @@ def query_hash(query: Column) -> Column:
     return F.sha2(F.regexp_replace(F.lower(F.trim(query)), r"\s+", " "), 256)
 
 
-def gram_set(text: Column, n: int = 3) -> Column:
-    """Distinct n-grams of a text without white space."""
-    bare = F.regexp_replace(text, r"\s+", "")
-    return F.when(F.char_length(bare) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(bare) - n + 1), lambda i: F.substring(bare, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+def _gram_codes(texts: pa.Array) -> pa.Array:
+    flat, ends = [np.zeros(0, np.int64)], [0]
+    for text in texts.to_pylist():
+        cps = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+        cps = cps[(cps != 0x20) & ((cps < 0x09) | (cps > 0x0D))]
+        flat.append(np.unique(cps[:-2] << 42 | cps[1:-1] << 21 | cps[2:]) if len(cps) > 2 else flat[0])
+        ends.append(ends[-1] + len(flat[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+
+
+def gram_set(text: Column) -> Column:
+    """Distinct 3-grams of a text without white space, each as one number (three code points of 21 bits): no hash, no collisions."""
+    return F.arrow_udf(_gram_codes, "array<bigint>").asNondeterministic()(text)
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -149,14 +160,22 @@ def dice(a: Column, b: Column) -> Column:
 def fuzzy_matches(source: DataFrame, target: DataFrame, least: float = 0.35, k: int = 3, shortest: int = 10) -> DataFrame:
     """For each source (id, text) the k targets (id, text) of most 3-gram Dice likeness, least at least.
 
-    An equi-join on grams counts what two texts share; texts themselves meet nowhere. Sources of fewer than shortest characters
-    match nothing.
+    An equi-join on grams counts what two texts share; texts themselves meet nowhere. A set can only be alike enough to one of at
+    most (2 - least) / least times its size, so targets beyond the reach of all sources are not joined, and pairs out of
+    reach not counted. Sources of fewer than shortest characters match nothing.
     """
     from pyspark.sql import Window as W
 
+    from lexlake.operators.recall import small
+    from lexlake.storage import materialize
+
+    reach = (2 - least) / least
     a = source.filter(F.char_length("text") >= shortest).select(F.col("id").alias("source_id"), gram_set(F.col("text")).alias("g")).withColumn("na", F.size("g"))
+    a = materialize(a, "source-grams")
+    sizes = a.agg((F.min("na") / reach - 1).alias("lo"), (F.max("na") * reach + 1).alias("hi"))
     b = target.select(F.col("id").alias("target_id"), gram_set(F.col("text")).alias("g")).withColumn("nb", F.size("g"))
-    shared = a.select("source_id", "na", F.explode("g").alias("gram")).join(b.select("target_id", "nb", F.explode("g").alias("gram")), "gram")
+    b = b.join(F.broadcast(sizes), F.col("nb").between(F.col("lo"), F.col("hi"))).select("target_id", "nb", F.explode("g").alias("gram"))
+    shared = b.join(small(a.select("source_id", "na", F.explode("g").alias("gram"))), "gram").filter((F.col("nb") <= F.col("na") * reach + 1) & (F.col("na") <= F.col("nb") * reach + 1))
     scored = shared.groupBy("source_id", "target_id", "na", "nb").agg(F.count(F.lit(1)).alias("c")).withColumn("score", F.round(2 * F.col("c") / (F.col("na") + F.col("nb")), 9)).filter(F.col("score") >= least)
     order = W.partitionBy("source_id").orderBy(F.col("score").desc(), "target_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("source_id", "target_id", "score", "rank")

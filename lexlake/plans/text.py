@@ -80,13 +80,13 @@ def query_hash(spark, sf_dir):
 
 
 @query(r"""WITH s AS (SELECT item_id AS id, regexp_replace(text, '\s+', '', 'g') AS b FROM benchmark WHERE length(text) >= 10),
-d AS (SELECT doc_id AS id, regexp_replace(text, '\s+', '', 'g') AS b FROM documents WHERE n_chars < 600),
+d AS (SELECT doc_id AS id, regexp_replace(text, '\s+', '', 'g') AS b FROM documents),
 sg AS (SELECT id, list_distinct(list_transform(range(1, greatest(length(b) - 1, 1)), lambda i: b[i:i+2])) AS g FROM s), dg AS (SELECT id, list_distinct(list_transform(range(1, greatest(length(b) - 1, 1)), lambda i: b[i:i+2])) AS g FROM d),
 p AS (SELECT s.id AS source_id, d.id AS target_id, round(2.0 * len(list_intersect(s.g, d.g)) / (len(s.g) + len(d.g)), 9) AS score FROM sg s, dg d),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rank FROM p WHERE score >= 0.35) SELECT source_id, target_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3""")
 def fuzzy_matches(spark, sf_dir):
     source = view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return t.fuzzy_matches(source, _docs(spark, sf_dir).filter("n_chars < 600").select(F.col("doc_id").alias("id"), "text"))
+    return t.fuzzy_matches(source, _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"))
 
 
 @query(r"SELECT doc_id, nullif(left(regexp_extract(text, '([\w.]+)@', 1), 256), '') AS name, array_to_string(list_filter(['the', 'ung', 'tion', 'zz'], lambda w: contains(text, w)), ',') AS words FROM documents")

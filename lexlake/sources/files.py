@@ -7,6 +7,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, groupby
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -18,7 +19,13 @@ FORMATS = ("pdf", "docx", "txt", "md", "sql", "xlsx", "csv", "html", "htm")
 MOST_BYTES, MOST_ENTRIES, MOST_UNPACKED = 100 << 20, 2000, 500 << 20
 #: First bytes of formats that have some. Fixed values.
 MAGIC = {"pdf": b"%PDF", "docx": b"PK\x03\x04", "xlsx": b"PK\x03\x04"}
-_HIDDEN, _BLOCKS = {"script", "style", "noscript", "template"}, {"p", "div", "section", "article", "li", "ul", "ol", "table", "tr", "td", "th", "br", "header", "footer", "nav", "main", "aside", "blockquote", "pre", "hr", "form", "dd", "dt", "dl"}
+#: Elements of pages: unseen ones, those that end a line, headings with their markdown marks. Fixed values.
+UNSEEN = ("script", "style", "noscript", "template")
+LINE_ENDS = (
+    "p", "div", "section", "article", "aside", "header", "footer", "main", "nav", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tr", "blockquote", "pre",
+    "figure", "figcaption", "br", "hr",
+)
+HEADINGS = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "#### ", "h5": "##### ", "h6": "###### "}
 
 
 def decode(data: bytes) -> str:
@@ -31,52 +38,48 @@ def decode(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
-class _Markdown(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.blocks: list[str] = []
-        self.title, self.held, self.mark, self.hidden, self.in_title = "", [], "", 0, False
-
-    def flush(self) -> None:
-        body = " ".join("".join(self.held).split())
-        if body:
-            self.blocks.append(self.mark + body)
-        self.held, self.mark = [], ""
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _HIDDEN:
-            self.hidden += 1
-        elif tag == "title":
-            self.in_title = True
-        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            self.flush()
-            self.mark = "#" * int(tag[1]) + " "
-        elif tag in _BLOCKS:
-            self.flush()
-
-    def handle_endtag(self, tag):
-        if tag in _HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == "title":
-            self.in_title = False
-        elif tag in _BLOCKS or len(tag) == 2 and tag[0] == "h":
-            self.flush()
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-        elif not self.hidden:
-            self.held.append(data)
+class _Events(HTMLParser):
+    """A page as a list of events: (open or close, tag) and (text, characters)."""
+
+    def __init__(self, page: str):
+        super().__init__()
+        self.list: list[tuple[str, str]] = []
+        self.handle_starttag = lambda tag, _: self.list.append(("open", tag))
+        self.handle_endtag = lambda tag: self.list.append(("close", tag))
+        self.handle_data = lambda text: self.list.append(("text", text))
+        self.feed(page)
+        self.close()
+
+
+def _seen(events: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Events outside unseen elements; a close without its open counts for nothing."""
+    step = {"open": 1, "close": -1}
+    depth = list(accumulate((step[k] if k != "text" and v in UNSEEN else 0 for k, v in events), lambda d, x: max(0, d + x)))
+    return [e for e, d in zip(events, depth, strict=True) if not d and (e[0] == "text" or e[1] not in UNSEEN)]
+
+
+def _place(now: tuple[int, str, bool], event: tuple[str, str]) -> tuple[int, str, bool]:
+    """(number of the line, its mark, whether in the title) after an event."""
+    line, mark, title = now
+    kind, tag = event
+    if kind == "text":
+        return now
+    if tag in HEADINGS:
+        return line + 1, HEADINGS[tag] if kind == "open" else "", title
+    return line + (tag in LINE_ENDS), mark, kind == "open" if tag == "title" else title
 
 
 def html_to_markdown(html: str | None) -> str:
-    """Title, headings and blocks of a page, one blank line between them; scripts and styles left out."""
-    parser = _Markdown()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    title = " ".join(parser.title.split())
-    return "\n\n".join([f"# {title}"] * bool(title) + parser.blocks)
+    """Title, headings and lines of a page, one blank line between them; what a browser doesn't show is left out."""
+    events = _seen(_Events(html or "").list)
+    places = list(accumulate(events, _place, initial=(0, "", False)))[1:]
+    text = [(place, words) for (kind, words), place in zip(events, places, strict=True) if kind == "text"]
+    title = " ".join(" ".join(words for (_, _, t), words in text if t).split())
+    lines = ["# " + title] if title else []
+    for (_, mark), run in groupby(((p[:2], words) for p, words in text if not p[2]), lambda x: x[0]):
+        if body := " ".join("".join(words for _, words in run).split()):
+            lines.append(mark + body)
+    return "\n\n".join(lines)
 
 
 def _markdown_of(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -121,6 +124,7 @@ def check_package(data: bytes) -> zipfile.ZipFile:
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def parse_docx(data: bytes) -> str:
@@ -141,25 +145,39 @@ def parse_docx(data: bytes) -> str:
     return "\n\n".join(out)
 
 
+def _column(reference: str) -> int:
+    """Number from 0 of a cell's column, of a reference like AB12."""
+    n = 0
+    for c in reference:
+        if c.isalpha():
+            n = 26 * n + ord(c.upper()) - 64
+    return n - 1
+
+
 def parse_xlsx(data: bytes) -> list[tuple[str, str]]:
-    """(sheet, markdown table) of each sheet."""
+    """(sheet, markdown table) of each sheet of the workbook, found by its relationship; cells stand in the columns they name."""
     package = check_package(data)
     names = package.namelist()
     shared = []
     if "xl/sharedStrings.xml" in names:
         shared = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(package.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
-    book = ElementTree.fromstring(package.read("xl/workbook.xml"))
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in names:
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(package.read("xl/_rels/workbook.xml.rels"))}
+
+    def value(cell) -> str:
+        kind, v = cell.get("t"), cell.findtext(f"{_SHEET}v") or ""
+        return shared[int(v)] if kind == "s" and v else "".join(t.text or "" for t in cell.iter(f"{_SHEET}t")) or v
+
     out = []
-    for k, sheet in enumerate(book.iter(f"{_SHEET}sheet"), 1):
+    for k, sheet in enumerate(ElementTree.fromstring(package.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"), 1):
+        target = targets.get(sheet.get(_RELATION), f"worksheets/sheet{k}.xml")
         rows = []
-        for r in ElementTree.fromstring(package.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{_SHEET}row"):
-            cells = []
+        for r in ElementTree.fromstring(package.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")).iter(f"{_SHEET}row"):
+            held = {}
             for c in r.iter(f"{_SHEET}c"):
-                v = c.find(f"{_SHEET}v")
-                value = "" if v is None else v.text or ""
-                inline = "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
-                cells.append(shared[int(value)] if c.get("t") == "s" else inline or value)
-            rows.append(cells)
+                held[_column(c.get("r")) if c.get("r") else max(held, default=-1) + 1] = value(c)
+            rows.append([held.get(n, "") for n in range(max(held, default=-1) + 1)])
         out.append((sheet.get("name", f"Sheet{k}"), markdown_table(rows)))
     return out
 

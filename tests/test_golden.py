@@ -197,3 +197,28 @@ def test_near_windows(spark):
     rows = spark.createDataFrame([(0, 1, "a", 5, 0, 9), (0, 2, "b", 5, 6, 11), (0, 3, "c", 5, 4, 8), (0, 4, "d", None, 0, 9)], "query_id int, position int, chunk_id string, session_id int, first_msg int, last_msg int")
     got = {r.chunk_id: r.absorbed for r in chat.merge_near_windows(rows).collect()}
     assert got == {"a": ["b", "c"], "d": []}
+
+
+def test_longest_run_is_the_plain_one():
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(r.choice("ab😀") for _ in range(r.randint(0, 12))) for _ in range(2))
+        runs = [(j - i, -i) for i in range(len(b)) for j in range(i + 1, len(b) + 1) if b[i:j] in a]
+        n, at = max(runs, default=(0, 0))
+        assert longest_run(a, b) == (-at, n)
+
+
+def test_html_lines():
+    page = "<title>A <b>t</b></title><h2>One<br>two</h2>x<script><h1>no</h1></script><figure>f<figcaption>c</figcaption></figure><table><thead><tr><td>1<td>2</thead></table></p><h9>z</h9>"
+    assert files.html_to_markdown(page) == "# A t\n\n## One\n\n## two\n\nx\n\nf\n\nc\n\n12\n\nz"
+
+
+def test_xlsx_cells(tmp_path):
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main}><sheets><sheet name="S" r:id="rId7"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId7" Target="worksheets/other.xml"/></Relationships>')
+        z.writestr("xl/worksheets/other.xml", f'<worksheet {main}><sheetData><row><c r="A1" t="inlineStr"><is><t>x</t></is></c><c r="C1"><v>3</v></c></row><row><c r="B2"><v>2</v></c></row></sheetData></worksheet>')
+    assert files.parse_xlsx((tmp_path / "a.xlsx").read_bytes()) == [("S", "| x |  | 3 |\n| --- | --- | --- |\n|  | 2 |  |")]
