@@ -34,9 +34,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.2, b: f
     and never shuffled: what is stored are the counts of the queries' terms, and each text's length under no term.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    # An outer explode, since for the other kind the optimizer filters on the array before, and makes it once more.
     wanted = terms.select("term").distinct().unionByName(queries.sparkSession.range(1).select(F.lit(None).cast("string").alias("term")))
     split = docs.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
-    every = split.select("chunk_id", "dl", F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("token"))
+    every = split.select("chunk_id", "dl", F.explode_outer(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("token"))
     hits = every.join(small(wanted), F.col("token").eqNullSafe(F.col("term"))).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     hits = materialize(hits, "term-counts")
     stats = hits.filter("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.storage import table
+from lexlake.storage import spread, table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -59,7 +59,8 @@ SQL: dict[str, str] = {}
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of VIEWS, or an input table."""
     if name not in VIEWS:
-        return table(spark, sf_dir, name)
+        rows = table(spark, sf_dir, name)
+        return spread(rows) if name in ("documents", "pages") else rows
     needed = {n: view(spark, sf_dir, n) for n in re.findall(r"\{([a-z]{3,})\}", VIEWS[name])}
     return spark.sql(VIEWS[name], **needed)
 
