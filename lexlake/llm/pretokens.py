@@ -133,12 +133,12 @@ class PretokenEncoder:
     """Ids of texts, from encode_words: words -> ids of each.
 
     scheme: "byte" or "word". specials: special tokens that stand for themselves in a text, with their ids.
-    fallback: ids of one text that the tables don't cover (the word scheme only).
+    fallback: ids of one text that the tables don't cover (the word scheme only). largest: the largest id of the vocabulary.
     slots, pool: sizes of the table and of the words and ids that it refers to; it starts anew when they are used up.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[Sequence[int]]], scheme: str, specials: dict[str, int], fallback: Callable[[str], Sequence[int]] | None = None, slots: int = 1 << 19, pool: int = 1 << 21):
-        self.encode_words, self.scheme, self.specials, self.fallback = encode_words, scheme, specials, fallback
+    def __init__(self, encode_words: Callable[[list[str]], list[Sequence[int]]], scheme: str, specials: dict[str, int], fallback: Callable[[str], Sequence[int]] | None = None, largest: int = 0xFFFFFFFF, slots: int = 1 << 20, pool: int = 1 << 22):
+        self.encode_words, self.scheme, self.specials, self.fallback, self.largest = encode_words, scheme, specials, fallback, largest
         self.slots, self.limit, self.shift = slots, pool, U64(64 - slots.bit_length() + 1)
         self._reset()
 
@@ -243,4 +243,4 @@ def library_encoder(path: str, scheme: str) -> PretokenEncoder:
         return [e.ids for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
 
     fallback = None if scheme == "byte" else lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    return PretokenEncoder(encode_words, scheme, specials, fallback)
+    return PretokenEncoder(encode_words, scheme, specials, fallback, max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0))

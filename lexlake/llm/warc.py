@@ -33,6 +33,8 @@ PACKAGE_BYTES = 64 << 20
 REVISIT_BYTES = 1000
 #: Bytes of neighbouring records that are fetched at once.
 RANGE_BYTES = 4 << 20
+#: Bytes of archives that a task reads back.
+READ_BYTES = 4 << 20
 _URN = "urn:lexlake:page:"
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -278,8 +280,15 @@ def read_records(places: DataFrame, payload: bool = False) -> DataFrame:
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write all pages to packages and read every record back."""
+    """Write all pages to packages and read every record back, in as many tasks as the archives' bytes ask for.
+
+    Rows stay as they are, repeated ones too (each is a record of its own; of repeated keys with equal payloads all
+    are responses). Null html is an empty payload, a null url no target, a null key no number; an empty table gives no
+    records. Other columns, whatever their names, are not read.
+    """
     manifest = write_packages(pages)
-    places = list_records(manifest.repartition(max(1, min(manifest.count(), 10_000)), "path"))
-    near = F.floor(F.col("at") / (4 * RANGE_BYTES))
-    return read_records(places.repartition("path", near).sortWithinPartitions("path", "at"))
+    places = materialize(list_records(manifest.repartition(max(1, min(manifest.count(), 10_000)), "path")), "warc-places")
+    total = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, -(-total // READ_BYTES))
+    near = F.floor(F.col("at") / RANGE_BYTES)
+    return read_records(places.repartition(tasks, "path", near).sortWithinPartitions("path", "at"))

@@ -80,3 +80,35 @@ def test_operators(spark, hard):
         assert tuple(r)[1:] == brute_counts(TEXTS[r.doc_id])
     for r in jaccard.jaccard_components(hard).collect():
         assert (r.n_shingles, r.component_id) == (len(sets_of(TEXTS[r.doc_id])), r.doc_id)
+
+
+@pytest.mark.parametrize("planes", ["bit", "byte"])
+def test_token_files_hold_large_ids(tmp_path, planes):
+    """Ids beyond 16 bits come back; one beyond the largest is an error."""
+    ids = np.array([0, 65_535, 65_536, 70_000, 4_000_000_000], "<u4")
+    store = pa.fs.LocalFileSystem()
+    writer = token_files.TokenFileWriter(store.open_output_stream(str(tmp_path / "a")), planes)
+    for k in range(3):
+        writer.add(np.array([k]), np.array([5]), ids)
+    writer.close()
+    with store.open_input_file(str(tmp_path / "a")) as source:
+        assert [(k, at, x.tolist()) for k, at, x in token_files.TokenFileReader(source).documents()] == [(k, 5 * k, ids.tolist()) for k in range(3)]
+    writer = token_files.TokenFileWriter(store.open_output_stream(str(tmp_path / "b")), planes, 65_536)
+    writer.add(np.array([1]), np.array([3]), ids[:3])
+    with pytest.raises(ValueError):
+        writer.add(np.array([1]), np.array([1]), ids[3:4])
+
+
+def test_token_files_roll_over(spark):
+    """A large end id, several files a task, a null key: the same ids in the same order."""
+    texts = [f"{k} {prose(k % 3, 3000)}" for k in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "x"), (7, texts[7])], "doc_id long, text string")
+    manifest = token_files.write_token_files(docs, BYTE, end_id=65_536, partitions=2, file_ids=500)
+    assert manifest.count() > 4
+    got = token_files.read_token_files(spark, manifest).orderBy("start").collect()
+    byte = Tokenizer.from_file(BYTE)
+    at = 0
+    for r, (k, t) in zip(got, [(None, "x"), *((k, t) for k, t in enumerate(texts) for _ in range(1 + (k == 7)))], strict=True):
+        ids = [*byte.encode(t, add_special_tokens=False).ids, 65_536]
+        assert (r.key, r.start, r.n_tokens, r.ids_crc32) == (k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
