@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexlake.llm.scan import small_batches
+from lexlake.storage import spread
 from lexlake.storage import table as stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
-    return stored(spark, sf_dir, name)
+    return spread(stored(spark, sf_dir, name))
 
 
 def tokenizer(name: str) -> str:
@@ -44,10 +45,10 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages' URLs by rules and boosted trees."""
-    from lexlake.llm.url_filter import filter_urls, label_urls
+    from lexlake.llm.url_filter import filter_urls, label_pages
 
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages, label_urls(pages, table(spark, sf_dir, "labels")))
+    return filter_urls(pages, label_pages(pages))
 
 
 def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexlake.llm import quality
+from lexlake.storage import BROADCAST_ROWS, materialize
+
 #: (verdict, host, path); the longest rule that fits decides.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Labelled URLs that the trees are fitted to: about so many, chosen by a hash of the URL.
 TRAIN_ROWS = 20_000
-#: Suffixes that get statistics: the commonest among the training URLs.
-SUFFIXES = 1_000
-#: Host words that mark a URL as unwanted where labels are made from words.
-BAD_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -69,50 +68,44 @@ def with_features(urls: DataFrame) -> DataFrame:
     return urls.withColumns(values | {"suffix": F.regexp_extract("host", r"([^.]*)$", 1)})
 
 
-def label_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(url, label 0/1) of pages whose url ends its path in the number of a labelled document.
+def visible_text(html: Column) -> Column:
+    """A page without its scripts, styles and tags."""
+    return F.regexp_replace(F.coalesce(html.cast("string"), F.lit("")), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
 
-    1: the document is of low quality or toxic, or the host has one of BAD_WORDS. Labels without a page and pages
-    without a label are left out.
-    """
-    number = F.regexp_extract(path_of(F.col("url")), r"/(\d{1,18})(?:\.\w+)?/?$", 1).try_cast("long")
-    marks = labels.select(F.col("doc_id").alias("__id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("__bad"))
-    bad = host_of(F.col("url")).rlike("(^|[^a-z])(" + "|".join(BAD_WORDS) + ")([^a-z]|$)")
-    return pages.withColumn("__id", number).join(marks, "__id").select("url", F.coalesce((F.col("__bad") | bad).cast("double"), F.lit(0.0)).alias("label"))
+
+def label_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(url, label 0/1) of all pages. 1: unwanted, since the page's own text fails the quality rules. Null html has no text and fails."""
+    judged = pages.select(F.col(url).cast("string").alias("url"), quality.counts_of(visible_text(F.col(html))).alias("counts")).select("url", "counts.*")
+    return judged.select("url", quality.base_failed().cast("double").alias("label"))
 
 
 class UrlTrees:
     """Boosted trees with the suffix statistics that their inputs need."""
 
     def __init__(self, labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 15, depth: int = 4):
-        """Fit to about rows of the labelled URLs (url, label). With one label only, that label is always given."""
-        n = labelled.count()
-        part = labelled.filter(F.pmod(F.xxhash64(F.coalesce(F.col("url"), F.lit(""))), F.lit(1 << 30)) < int(min(1.0, rows / max(n, 1)) * (1 << 30)))
-        part = with_features(part.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))))
-        part = part.coalesce(max(1, -(-min(n, rows) // 5_000))).persist()
-        found = {r.label: r.n for r in part.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-        total = sum(found.values())
-        self.only = max(found, key=found.get, default=0.0) if len(found) < 2 else None
-        self.mean = found.get(1.0, 0) / total if total else 0.0
-        self.suffixes = {r.suffix: (r.n / total, (r.bad + 10 * self.mean) / (r.n + 10)) for r in part.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).orderBy(F.col("n").desc(), "suffix").limit(SUFFIXES).collect()}
+        """Count suffixes in all labelled URLs (url, label); fit to about rows of them. With one label only, that label is always given."""
+        labelled = materialize(with_features(labelled.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))), "labelled-urls")
+        n, bad = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+        self.mean = bad / n if n else 0.0
+        self.only = float(bad > 0) if bad in (0, n) else None
+        rate = (F.sum("label") + 10 * self.mean) / (F.count(F.lit(1)) + 10)
+        self.suffixes = materialize(labelled.groupBy("suffix").agg((F.count(F.lit(1)) / max(n, 1)).alias("suffix_share"), rate.alias("suffix_rate")), "url-suffixes")
+        self.few = self.suffixes.count() <= BROADCAST_ROWS
         if self.only is None:
-            self.model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=7).fit(self._vectors(part))
-        part.unpersist()
+            part = labelled.filter(F.pmod(F.xxhash64(F.coalesce(F.col("url"), F.lit(""))), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30)))
+            part = self._vectors(part).select("features", "label").coalesce(max(1, -(-min(n, rows) // 5_000))).persist()
+            self.model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=7).fit(part)
+            part.unpersist()
 
     def _vectors(self, urls: DataFrame) -> DataFrame:
         """urls with_features, with their feature vectors; an unknown suffix has no share and the mean rate."""
-        if self.suffixes:
-            known = F.create_map(*(x for s, (share, rate) in self.suffixes.items() for x in (F.lit(s), F.array(F.lit(share), F.lit(rate)))))
-            stats = F.coalesce(F.try_element_at(known, F.col("suffix")), F.array(F.lit(0.0), F.lit(self.mean)))
-        else:
-            stats = F.array(F.lit(0.0), F.lit(self.mean))
-        full = urls.withColumn("suffix_share", stats[0]).withColumn("suffix_rate", stats[1])
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full)
+        known = urls.join(F.broadcast(self.suffixes) if self.few else self.suffixes, "suffix", "left")
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known.fillna({"suffix_share": 0.0, "suffix_rate": self.mean}))
 
     def score(self, urls: DataFrame) -> DataFrame:
         """urls (url, host, path, ...) with score, the probability that one is unwanted."""
         if self.only is not None:
-            return urls.withColumn("score", F.lit(float(self.only)))
+            return urls.withColumn("score", F.lit(self.only))
         own = urls.columns
         return self.model.transform(self._vectors(with_features(urls))).select(*own, vector_to_array("probability")[1].alias("score"))
 

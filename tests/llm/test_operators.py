@@ -273,6 +273,33 @@ def test_op4(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages, labelled.limit(0)).collect()} == {"allow"}
 
 
+def test_op4_features(spark):
+    """Features of URLs by plain Python; suffix statistics over all labelled rows."""
+    import math
+
+    urls = ["http://a-b1.Example.info/x/y/9?p=1&q=2#f", "https://é.org/", "nothing", "", None, "http://aa.bb.cc", "http://aa.bb.cc"]
+    df = spark.createDataFrame([(u, float(i % 2)) for i, u in enumerate(urls)], "url string, label double")
+    got = url_filter.with_features(df.withColumn("host", url_filter.host_of(F.col("url"))).withColumn("path", url_filter.path_of(F.col("url")))).collect()
+    for r, u in zip(got, urls, strict=True):
+        u = u or ""
+        shares = [r.host.count(c) / len(r.host) for c in set(r.host)]
+        query = u.split("?", 1)[1].split("#")[0] if "?" in u else ""
+        assert (r.length, r.host_length, r.path_length, r.depth) == (len(u), len(r.host), len(r.path), sum(1 for x in r.path.split("/")[1:] if x))
+        assert r.labels == sum(1 for x in r.host.split(".") if x) and r.parameters == (query.count("&") + 1 if query else 0) and r.fragment == u.count("#")
+        assert r.digit_ratio == pytest.approx(sum(c.isdigit() for c in u) / max(len(u), 1)) and r.entropy == pytest.approx(-sum(p * math.log2(p) for p in shares))
+        assert r.suffix == r.host.rsplit(".", 1)[-1]
+    trees = url_filter.UrlTrees(df)
+    stats = {r.suffix: (r.suffix_share, r.suffix_rate) for r in trees.suffixes.collect()}
+    mean = 3 / 7
+    assert stats["cc"] == (pytest.approx(2 / 7), pytest.approx((1 + 10 * mean) / 12)) and stats[""][0] == pytest.approx(3 / 7)
+
+
+def test_op4_labels(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [("u1", f"<p>{good}</p>"), ("u2", "<p>short</p>"), ("u3", "<b>a b c</b> " * 40), ("u4", None), ("u5", f"<script>{good}</script>")]
+    assert {r.url: r.label for r in url_filter.label_pages(spark.createDataFrame(rows, "url string, html string")).collect()} == {"u1": 0, "u2": 1, "u3": 1, "u4": 1, "u5": 1}
+
+
 def test_op6(spark):
     r = random.Random(5)
     rows, labels = [], []
@@ -345,6 +372,43 @@ def test_op9(spark):
     assert language.predict_languages(df.limit(0)).count() == 0
 
 
+def test_op9_counts_masks():
+    """Hits, shares and verdicts by one n-gram at a time."""
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choice("abcdé ") for _ in range(r.randint(1, 5))) for _ in range(r.randint(0, 30))) for _ in range(60)] + ["", "12", "ab" * 200_000]
+
+    def plain(text):
+        s = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        while "  " in s:
+            s = s.replace("  ", " ")
+        return [(n, s[i : i + n]) for n in language.ORDERS for i in range(len(s) - n + 1)] if s != " " else [(2, "  ")] * 0
+
+    own = {}
+    for t in texts:
+        cps = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        found = [h for _, hs, _ in language.grams(cps, np.array([0, len(cps)])) for h in hs.tolist()]
+        if any(c.isalpha() for c in t):
+            assert len(found) == len(plain(t))
+            own |= dict(zip(plain(t), found, strict=True))
+    assert len(set(own.values())) == len(own)
+    names = ["x", "y", "z"]
+    top = {n: np.array([h for k, h in sorted(own.items()) if r.random() < 0.4], np.uint64) for n in names}
+    filters = language.build_filters(top, "x")
+    got = language.judge(filters, pa.array([*texts, None])).to_pylist()
+    fill = [np.count_nonzero(filters.masks[0] >> np.uint64(k) & np.uint64(1)) / language.CELLS for k in range(3)]
+    for t, g in zip(texts, got, strict=False):
+        hits = [0, 0, 0]
+        for key in plain(t):
+            mask = int(filters.containing(np.array([own[key]], np.uint64))[0, 0]) if key in own else 0
+            hits = [h + (mask >> k & 1) for k, h in enumerate(hits)]
+        real = [max(h - len(plain(t)) * p**3, 0) / (1 - p**3) for h, p in zip(hits, fill, strict=True)]
+        if not any(c.isalpha() for c in t):
+            assert (g["lang_pred"], g["score"]) == ("und", 0)
+        elif sum(real):
+            assert g["lang_pred"] == names[real.index(max(real))] and g["score"] == pytest.approx(max(real) / sum(real))
+    assert got[-1]["lang_pred"] == "und"
+
+
 def test_op9_rare_languages(spark):
     """A language with few of many rows is taught as well."""
     seeds = {"aa": "the of and tion er on", "bb": "der und ung keit sch ä ö", "cc": "là que é ment eux ai", "dd": "ção nh lh os ões um"}
