@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Quantile of the normal distribution for a 95 % interval.
@@ -217,3 +218,26 @@ def corpus_fingerprint(versions: DataFrame, model: str, etags: list[str]) -> Dat
     """
     ids = F.array_join(F.array_sort(F.collect_list("version_id")), ",")
     return versions.select("version_id").distinct().agg(F.sha2(F.concat_ws("|", ids, F.lit(model), *map(F.lit, sorted(etags))), 256).alias("fingerprint"))
+
+
+def evidence_coverage(evidence: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
+    """The most chunks of an evidence's document and version that cover its span best.
+
+    evidence (case_id, evidence_no, doc_id, version_id, span), chunks (doc_id, version_id, chunk_id, content); ratio as overlap_ratio.
+    """
+    pairs = evidence.join(chunks, ["doc_id", "version_id"]).withColumn("ratio", overlap_ratio(F.col("content"), F.col("span")))
+    order = W.partitionBy("case_id", "evidence_no").orderBy(F.col("ratio").desc(), "chunk_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("case_id", "evidence_no", "doc_id", "chunk_id", "ratio", "rank")
+
+
+def stale_cases(cases: DataFrame, evidence: DataFrame, chunks: DataFrame, least: float = 0.5) -> DataFrame:
+    """Active cases with spans (case_id, anchor_type, status) of which some evidence is covered less than least by the target version's chunks."""
+    best = evidence_coverage(evidence, chunks, 1).select("case_id", "evidence_no", "ratio")
+    lacking = evidence.join(best, ["case_id", "evidence_no"], "left").filter(F.coalesce("ratio", F.lit(0.0)) < least).select("case_id").distinct()
+    return cases.filter("anchor_type = 'SPAN' AND status = 'ACTIVE'").join(lacking, "case_id", "left_semi")
+
+
+def activation_impact(annotations: DataFrame, chunks: DataFrame, stale: DataFrame) -> DataFrame:
+    """One row: annotations (annotation_id, text_hash) without a chunk of that text in the new version, and cases that become stale."""
+    lost = annotations.join(chunks.select("text_hash").distinct(), "text_hash", "left_anti").agg(F.count(F.lit(1)).alias("stale_annotations"))
+    return lost.join(F.broadcast(stale.agg(F.count(F.lit(1)).alias("affected_cases"))))
