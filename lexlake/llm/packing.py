@@ -117,6 +117,7 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str, c
                         p += size
                 if out:
                     yield _batch(out)
+        encoder.forget()  # what follows in a pipeline needs the worker's memory
         yield _nullable([(*piece, None, None) for _, piece in bins.rest()])
 
     return rows.mapInArrow(cut, _PIECE)

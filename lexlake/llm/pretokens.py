@@ -108,7 +108,7 @@ class _Pool:
     """Runs of 32-bit values that grow at the end: run k is values[at[k] : at[k] + length[k]]."""
 
     def __init__(self) -> None:
-        self.at, self.length, self.values = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.at, self.length, self.values = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
         self.n = self.used = 0
 
     def add(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -125,7 +125,7 @@ class _Pool:
 
     def runs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of these runs one after the other, and their lengths."""
-        lengths = self.length[which]
+        lengths = self.length[which].astype(np.int64)
         return self.values[ragged(self.at[which], lengths)], lengths
 
 
@@ -137,12 +137,13 @@ class PretokenEncoder:
     slots, pool: sizes of the table and of the words and ids that it refers to; it starts anew when they are used up.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[Sequence[int]]], scheme: str, specials: dict[str, int], fallback: Callable[[str], Sequence[int]] | None = None, largest: int = 0xFFFFFFFF, slots: int = 1 << 20, pool: int = 1 << 22):
+    def __init__(self, encode_words: Callable[[list[str]], list[Sequence[int]]], scheme: str, specials: dict[str, int], fallback: Callable[[str], Sequence[int]] | None = None, largest: int = 0xFFFFFFFF, slots: int = 1 << 21, pool: int = 1 << 24):
         self.encode_words, self.scheme, self.specials, self.fallback, self.largest = encode_words, scheme, specials, fallback, largest
         self.slots, self.limit, self.shift = slots, pool, U64(64 - slots.bit_length() + 1)
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Begin with an empty table."""
         self.keys, self.entry = np.zeros(self.slots, U64), np.zeros(self.slots, np.int32)
         self.ids, self.words = _Pool(), _Pool()
 
@@ -166,7 +167,7 @@ class PretokenEncoder:
     def _block(self, text: str, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts between the offsets (in code points) of text; where each one's begin (n + 1)."""
         if self.ids.used + self.words.used > self.limit:
-            self._reset()
+            self.forget()
         cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         if self.scheme == "word":
             cps = lowering()[0][cps]
