@@ -8,7 +8,7 @@ with p_g frequent shingles in group g counts as sum(max(0, p_g - 1)), since unle
 group holds at most one common shingle. Sets too small to be extended so far are compared with each other on single
 shingles, in a name space of their own. Any choice of frequent shingles gives the same links; it only sets the cost.
 
-Equal sets are one node. Documents with a signature in common are first compared with HUBS of them, which covers small
+Equal sets are one node. Documents with a signature in common are first compared with about HUBS of them, which covers small
 groups whole; components of the links found so far then spare comparisons within them, and what is left between
 components in larger groups is compared in full.
 """
@@ -21,7 +21,6 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,10 +38,12 @@ LOCAL_DOCS, LOCAL_SHINGLES = 4, 2_000_000
 GROUPS = 16
 #: Pairs with a set below SMALL use single shingles; (GROUPS + 1) / 0.8 is the least that can be extended.
 SMALL = 32
-#: Documents of a signature that all others are compared with first.
+#: Documents of a signature that all others are compared with first: about so many, chosen by a hash.
 HUBS = 8
-#: Sets of a signature that a task compares with as many others; larger groups are cut into such blocks.
+#: Sets of a signature that a task compares with as many others; larger groups are cut into blocks of about so many.
 BLOCK_SETS = 512
+#: Signatures whose counts go to all tasks: the commonest, at most so many. Bits of the set that tells shared signatures.
+MOST_HOT, SHARED_BITS = 1 << 16, 1 << 27
 _SMALL_SPACE = U64(0xA24BAED4963EE407)
 
 
@@ -172,8 +173,8 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), "id", how)
 
 
-def _postings(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(sig, id, n, place): signatures that several sets have, each with its sets in an order that is random but alike for all."""
+def _signed(docs: DataFrame, frequent: np.ndarray, percent: int, shared=None) -> DataFrame:
+    """(sig, id, n): each document's signatures. shared: a broadcast bit set by sig % SHARED_BITS; only signatures in it then."""
     names = ["sig", "id", "n"]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,14 +182,56 @@ def _postings(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
             for i, j, data, at in blocks(batch.column("text")):
                 sets, where, _, _ = shingles(data, at)
                 sig, of = signatures(sets, where, frequent, percent)
+                if shared is not None:
+                    bit = sig & U64(SHARED_BITS - 1)
+                    keep = (shared.value[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8) & 1).astype(bool)
+                    sig, of = sig[keep], of[keep]
                 yield _arrow([sig.view(np.int64), batch.column("id").slice(i, j - i).take(pa.array(of)), np.diff(where)[of]], names)
 
-    every = W.partitionBy("sig")
-    rows = docs.mapInArrow(signed, _long(*names)).filter("id IS NOT NULL")
-    several = rows.withColumns({"c": F.count(F.lit(1)).over(every), "same": F.bit_xor(F.xxhash64("id")).over(every)}).filter("c > 1")
+    return docs.filter("id IS NOT NULL").mapInArrow(signed, _long(*names))
+
+
+def bit_set(values: DataFrame, column: str) -> np.ndarray:
+    """SHARED_BITS bits as bytes: those of the column's values modulo their number are set. Of fixed size, whatever the table."""
+    bit = F.col(column).bitwiseAND(SHARED_BITS - 1)
+    rows = values.select(F.shiftright(bit, 15).alias("page"), bit.bitwiseAND((1 << 15) - 1).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros((SHARED_BITS >> 15, 1 << 12), np.uint8)
+    for r in rows:
+        out[r.page] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _hot(counts: DataFrame) -> int:
+    """Signatures of more sets than this are hot: MOST_HOT of them at most, so that any other has next to none of all rows."""
+    top = [r.c for r in counts.filter(F.col("c") > 2 * BLOCK_SETS).select("c").orderBy(F.col("c").desc()).limit(MOST_HOT + 1).collect()]
+    return top[-1] if len(top) > MOST_HOT else 2 * BLOCK_SETS
+
+
+def _by_signature(rows: DataFrame, table: DataFrame, hot: int, how: str = "inner") -> DataFrame:
+    """rows joined to a table of a few rows a signature, both with c. Hot signatures' part of it goes to the rows, where they
+    lie; MOST_HOT bounds it. The rest is shuffled."""
+    on = ["sig", "c"]
+    return rows.filter(F.col("c") > hot).join(F.broadcast(table.filter(F.col("c") > hot)), on, how).unionByName(rows.filter(F.col("c") <= hot).join(table.filter(F.col("c") <= hot).hint("shuffle_merge"), on, how))
+
+
+def _postings(docs: DataFrame, frequent: np.ndarray, percent: int) -> tuple[DataFrame, int]:
+    """(sig, id, n, c, at): signatures that c > 1 sets have, each with its sets; at: the set's place from 0 to 1 in an order
+    that is random but alike for all. And the count above which a signature is hot.
+
+    No task sees all sets of a hot signature: they are counted by partial sums, and the counts go to them.
+    """
+    counts = _signed(docs, frequent, percent).groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("same")).filter("c > 1")
     # Signatures of the same sets lead to the same pairs: one of them stands for all.
-    alike = several.select(F.xxhash64("same", "c").alias("sig"), "id", "n").distinct()
-    return materialize(alike.withColumn("place", F.row_number().over(every.orderBy(F.xxhash64("id"), "id"))), "postings")
+    counts = materialize(counts.select("sig", "c", F.xxhash64("same", "c").alias("alike")), "signatures")
+    hot = _hot(counts)
+    # Most signatures are of one set. A bit set leaves few of them to be shuffled; the join with the counts is exact.
+    shared = docs.sparkSession.sparkContext.broadcast(bit_set(counts, "sig"))
+    some = F.broadcast(counts.filter(F.col("c") > hot))
+    rows = materialize(_signed(docs, frequent, percent, shared).join(some, "sig", "left"), "signed")
+    shared.destroy()
+    cold = rows.filter("c IS NULL").select("sig", "id", "n").join(counts.filter(F.col("c") <= hot).hint("shuffle_merge"), "sig")
+    every = rows.filter("c IS NOT NULL").unionByName(cold).select(F.col("alike").alias("sig"), "id", "n", "c").distinct()
+    return materialize(every.withColumn("at", F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(2.0**53)), "postings"), hot
 
 
 def bitmap(elements: np.ndarray) -> np.ndarray:
@@ -304,14 +347,13 @@ def likely_in_block(ids: np.ndarray, n: np.ndarray, g: np.ndarray, side: np.ndar
 def _likely_across(rest: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets in one signature but different components that bitmaps don't rule out.
 
-    rest: (sig, id, g, place). A signature's sets are cut into blocks by place; each pair of blocks is a task's unit, so a hot
+    rest: (sig, c, id, g, at). A signature's sets are cut into blocks by place; each pair of blocks is a task's unit, so a hot
     signature is spread, and no pair becomes a row unless it may link. Two sets with several signatures in common are compared
     for the least of these only: every row brings its set's signatures, which are no more than the set has elements to sign with.
     """
     every = rest.groupBy("id").agg(F.collect_list("sig").alias("sigs"))
-    last = F.floor((F.max("place").over(W.partitionBy("sig")) - 1) / BLOCK_SETS)
-    own = F.floor((F.col("place") - 1) / BLOCK_SETS)
-    rows = rest.withColumns({"k": own, "last": last}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    parts = F.ceil(F.col("c") / BLOCK_SETS)
+    rows = rest.withColumns({"k": F.floor(F.col("at") * parts), "other": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))})
     side = F.when(F.col("k") == F.col("other"), 2).when(F.col("k") < F.col("other"), 0).otherwise(1)
     rows = rows.select("sig", F.least("k", "other").alias("lo"), F.greatest("k", "other").alias("hi"), "id", "g", side.alias("side"))
     dealt = rows.join(bits.join(every, "id"), "id").select("sig", "lo", "hi", "id", "g", "side", "n", "bits", "sigs").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
@@ -370,19 +412,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = materialize(named, "named")
 
     nodes = _only(docs, named.filter("rep <> id").select("id").distinct(), "left_anti")
-    postings = _postings(nodes, frequent, percent)
-    hub = postings.filter(F.col("place") <= HUBS).select("sig", F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("before"))
-    first = postings.join(hub, "sig").filter((F.col("before") < F.col("place")) & _near_size("n", "m", percent)).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"))
+    postings, hot = _postings(nodes, frequent, percent)
+    leads = F.col("at") * F.col("c") < HUBS
+    hub = postings.filter(leads).select("sig", "c", F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("before"))
+    later = (F.col("before") < F.col("at")) | (F.col("before") == F.col("at")) & (F.col("b") < F.col("id"))
+    first = _by_signature(postings, hub, hot).filter(later & _near_size("n", "m", percent)).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"))
     first = materialize(first.filter("a <> b").distinct(), "pairs")
     bits = _sets(nodes, postings.select("id").distinct(), "bits")
     links = _verified(nodes, _likely(first, bits, percent), percent)
     groups = components(links)
 
     # Signatures whose other sets lie in several components still: all pairs between these.
-    rest = postings.filter(F.col("place") > HUBS).join(groups.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "place", F.coalesce("component", "id").alias("g"))
+    rest = postings.filter(~leads).join(groups.withColumnRenamed("node", "id"), "id", "left").select("sig", "c", "id", "at", F.coalesce("component", "id").alias("g"))
     rest = materialize(rest, "rest")
-    apart = rest.groupBy("sig").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("sig")
-    second = _likely_across(rest.join(apart, "sig", "left_semi"), bits, percent)
+    apart = materialize(rest.groupBy("sig", "c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("sig", "c"), "apart")
+    second = _likely_across(_by_signature(rest, apart, hot, "left_semi"), bits, percent)
     if not second.isEmpty():
         stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         groups = components(stars.unionByName(_verified(nodes, second, percent)))

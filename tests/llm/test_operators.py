@@ -140,6 +140,27 @@ def test_op5_chains_and_copies(spark):
     assert got == brute_components(sets)
 
 
+@pytest.mark.parametrize("most_hot", [0, 3, 1 << 16])
+def test_op5_hot_signatures(spark, monkeypatch, most_hot):
+    """Groups larger than a block, whose signatures are hot, partly hot or not, and which hubs alone don't join."""
+    for name, value in {"BLOCK_SETS": 4, "HUBS": 1, "MOST_HOT": most_hot}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    base, texts = prose(9, 120).split(), []
+    for k in range(45):
+        base = base[:]
+        base[(7 * k) % 120] = f"w{k}"
+        texts += [" ".join(base), prose(50 + k, 12)]
+    sets = {i: sets_of(t) for i, t in enumerate(texts)}
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == brute_components(sets)
+
+
+def test_bit_set(spark):
+    values = [0, 1, -1, 5 << 40 | 70_000, -(2**63), 2**63 - 1]
+    bits = np.unpackbits(jaccard.bit_set(spark.createDataFrame([(v,) for v in values], "v long"), "v"), bitorder="little")
+    assert set(np.flatnonzero(bits).tolist()) == {v % jaccard.SHARED_BITS for v in values}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6), st.integers(5, 150), st.floats(0, 1))
 def test_signatures_lose_no_pair(seed, n, share):
