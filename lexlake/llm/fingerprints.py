@@ -1,6 +1,7 @@
 """Winnowing fingerprints of documents, in DataFrame functions only.
 
-A text's units are its words (single characters in scripts that are written without spaces), lower-cased.
+A text's units are its words (single characters in scripts that are written without spaces, and runs of LONGEST
+characters of longer words), lower-cased; those of texts of fewer than SHORT characters are its characters.
 Every run of K units is hashed; of every W such hashes in a row the least is chosen, of equal ones the rightmost;
 chosen hashes are kept with their positions. Any two texts that share K + W - 1 units in a row share a chosen hash,
 and a match shorter than K units is never reported.
@@ -20,8 +21,12 @@ GRAM, WINDOW = 4, 5
 #: Rows of a bucket of the order that links each document to the next, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 2_000, 65_536
 
-_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
-_UNIT = rf"[{_ALONE}]|[^\p{{IsWhite_Space}}{_ALONE}]+"
+#: Code points of a text from which its units are words, and the longest unit.
+SHORT, LONGEST = 128, 24
+
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+_UNIT = rf"[{_ALONE}]|[^\p{{IsWhite_Space}}{_ALONE}]{{1,{LONGEST}}}"
+_CHARACTER = r"[^\p{IsWhite_Space}]"
 _FIRST = -(2**63)
 
 
@@ -31,7 +36,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def units(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(_UNIT), F.lit(0))
+    by = [F.regexp_extract_all(F.lower(text), F.lit(unit), F.lit(0)) for unit in (_CHARACTER, _UNIT)]
+    return F.when(F.char_length(text) < SHORT, by[0]).otherwise(by[1])
 
 
 def _runs(found: Column, gram: int) -> Column:
@@ -111,21 +117,21 @@ def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", gram
 
     The edited text has its last floor(n / 2) code points replaced by the first as many (or all) of the next
     document's, in descending order of key, after the last the first. Per row: key, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint (digests), near_edited, near_next. Texts are shuffled once, by ranges of the
-    key. A null text counts as empty, a null key comes last; rows with equal keys follow each other by text.
+    fingerprint, edited_fingerprint (digests), near_edited, near_next, and the fingerprint itself, with positions, as
+    winnowed (see winnow). Texts are shuffled once, by ranges of the key. A null text counts as empty, a null key comes last; rows with equal keys follow each other by text.
     """
     clean = docs.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)).alias("o"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    own = with_next(clean).withColumn("f", let(winnow(F.col("text"), gram, window), lambda f: F.struct(digest(f).alias("digest"), hashes(f).alias("hashes"))))
+    own = with_next(clean).withColumn("f", let(winnow(F.col("text"), gram, window), lambda f: F.struct(digest(f).alias("digest"), f.alias("marks"))))
     order = W.partitionBy("__bucket").orderBy("last", F.col("o").desc(), "text")
-    linked = own.select("id", "last", "text", "f", F.lead("text").over(order).alias("next_text"), F.lead("f.hashes").over(order).alias("next_hashes")).filter(~F.col("last"))
+    linked = own.select("id", "last", "text", "f", F.lead("text").over(order).alias("next_text"), F.lead("f.marks").over(order).alias("next_marks")).filter(~F.col("last"))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     compared = let(
         edited,
         lambda e: let(
             winnow(e, gram, window),
-            lambda g: F.struct(F.sha2(e, 256).alias("edited_sha256"), digest(g).alias("edited_fingerprint"), likeness(F.col("f.hashes"), hashes(g)).alias("near_edited")),
+            lambda g: F.struct(F.sha2(e, 256).alias("edited_sha256"), digest(g).alias("edited_fingerprint"), likeness(hashes(F.col("f.marks")), hashes(g)).alias("near_edited")),
         ),
     )
-    out = linked.select("id", F.char_length("text").cast("long").alias("n_chars"), F.col("f.digest").alias("fingerprint"), likeness(F.col("f.hashes"), F.col("next_hashes")).alias("near_next"), compared.alias("c"))
-    return out.select(F.col("id").alias(key), "n_chars", "c.edited_sha256", "fingerprint", "c.edited_fingerprint", "c.near_edited", "near_next")
+    out = linked.select("id", F.char_length("text").cast("long").alias("n_chars"), F.col("f.digest").alias("fingerprint"), likeness(hashes(F.col("f.marks")), hashes(F.col("next_marks"))).alias("near_next"), F.col("f.marks").alias("winnowed"), compared.alias("c"))
+    return out.select(F.col("id").alias(key), "n_chars", "c.edited_sha256", "fingerprint", "c.edited_fingerprint", "c.near_edited", "near_next", "winnowed")

@@ -210,10 +210,23 @@ def test_op1(spark, odd):
         e = t[: len(t) - half] + nxt[:half]
         assert (got[k].n_chars, got[k].edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
         assert 0 <= got[k].near_edited <= 1 and 0 <= got[k].near_next <= 1
+    marks = {k: {x["hash"] for x in r.winnowed} for k, r in got.items()}
+    for i, k in enumerate(order):
+        a, b = marks[k], marks[order[(i + 1) % len(order)]]
+        assert got[k].near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
     assert got[4].fingerprint == got[5].fingerprint and got[4].near_next < 0.2 < got[3].near_edited
     assert fingerprints.edit_likeness(rows.limit(0)).count() == 0
 
 
+def test_op1_keeps_half(spark):
+    """Short texts, scripts without spaces and words without end still resemble themselves when half of them is replaced."""
+    r = random.Random(5)
+    alphabets = ["\u1780\u1781\u1782\u1783\u1784\u1785\u1786\u1787", "\u0e81\u0e82\u0e84\u0e87\u0e88\u0e8a", "ABCDefgh0123+/", "abcdefgh     "]
+    texts = ["".join(r.choice(a) for _ in range(n)) for a in alphabets for n in (48, 100, 400, 3000)]
+    got = fingerprints.edit_likeness(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(x.near_edited > 0.1 for x in got) and len(got) == len(texts)
+
+
 def test_op1_windows(spark):
     text = prose(4, 120)
     df = spark.createDataFrame([(text,), ("a b",), ("",), (None,)], "text string")
