@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexlake.llm.scan import small_batches
 from lexlake.storage import spread
@@ -94,12 +95,43 @@ def op10_bit_plane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest).withColumnRenamed("key", "doc_id")
 
 
+def op11_crc_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weigh all documents by the benchmark's words and draw a tenth of those long enough."""
+    from lexlake.llm.resampling import importance_resampling
+
+    return importance_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all other vectors for each vector whose id is divisible by 20."""
+    from lexlake.llm.topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op13_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives among all vectors for those whose id is divisible by 50, with every seventh label set off by one."""
+    from lexlake.llm.negatives import hard_negatives
+
+    label = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=label)
+
+
+_ALL = (
+    op1_winnowing_fingerprints, op2_warc_packages, op3_harmonic_packing, op4_url_trees, op5_jaccard_components, op6_kneser_ney_toxicity, op7_prefix_bpe, op8_host_quality_rules,
+    op9_language_bitmask_filters, op10_bit_plane_token_files, op11_crc_importance_resampling, op12_norm_bucketed_top_k, op13_cover_tree_negatives,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowing_fingerprints, op2_warc_packages, op3_harmonic_packing, op4_url_trees, op5_jaccard_components, op6_kneser_ney_toxicity, op7_prefix_bpe, op8_host_quality_rules, op9_language_bitmask_filters, op10_bit_plane_token_files)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
     from lexlake.llm import sql
 
-    return {"op2_warc_packages": sql.WARC, "op8_host_quality_rules": sql.QUALITY}
+    return {
+        "op2_warc_packages": sql.WARC, "op8_host_quality_rules": sql.QUALITY, "op11_crc_importance_resampling": sql.RESAMPLING,
+        "op12_norm_bucketed_top_k": sql.TOP_K, "op13_cover_tree_negatives": sql.NEGATIVES,
+    }
