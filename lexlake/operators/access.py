@@ -57,8 +57,12 @@ def rebuild_status(docs: DataFrame, running: tuple[str, ...], failed: tuple[str,
 
 
 def render_dictionary(words: DataFrame) -> DataFrame:
-    """Per dict_type: the enabled words in order, a line each, with their SHA-256 and the time of the last change (0 without)."""
-    kept = words.filter("enabled").groupBy("dict_type").agg(F.array_sort(F.collect_list("word")).alias("w"), F.coalesce(F.max("updated_ms"), F.lit(0)).alias("last_modified"))
+    """Per dict_type: the enabled words in order, a line each, with their SHA-256 and the time of their last change (0 without).
+
+    A dictionary without enabled words is there, empty.
+    """
+    on = F.coalesce("enabled", F.lit(False))
+    kept = words.groupBy("dict_type").agg(F.array_sort(F.collect_list(F.when(on, F.col("word")))).alias("w"), F.coalesce(F.max(F.when(on, F.col("updated_ms"))), F.lit(0)).alias("last_modified"))
     body = F.array_join(F.transform("w", lambda x: F.concat(x, F.lit("\n"))), "")
     return kept.select("dict_type", body.alias("body"), F.sha2(body, 256).alias("etag"), "last_modified", F.size("w").alias("entries"))
 
@@ -76,16 +80,22 @@ def pinned_versions(apps: DataFrame, versions: DataFrame) -> DataFrame:
     return versions.join(frozen, "version_id").select("doc_id", "version_id", "app_id")
 
 
-def resolved_indexes(apps: DataFrame, live: DataFrame, indexes: DataFrame) -> DataFrame:
+def resolved_indexes(apps: DataFrame, live: DataFrame, indexes: DataFrame, restricted: DataFrame) -> DataFrame:
     """Per app (app_id, kb_id, fulltext_index, vector_index, frozen) what it searches: its snapshot if that is whole (a named vector index
-    counts), else the live index and versions (kb_id, live_index, versions) of its base, marked degraded."""
+    counts), else the live index and versions (kb_id, live_index, versions) of its base, marked degraded.
+
+    An app without a snapshot or with a frozen list that is null or empty searches what is live, and is not degraded. Of either list of
+    versions those go that the caller may not see: restricted (kb_id, hidden), all three arrays.
+    """
     there = indexes.select("index_name").distinct()
     text = there.select(F.col("index_name").alias("fulltext_index"), F.lit(True).alias("__t"))
     vector = there.select(F.col("index_name").alias("vector_index"), F.lit(True).alias("__v"))
-    both = apps.join(small(text), "fulltext_index", "left").join(small(vector), "vector_index", "left").join(live, "kb_id", "left")
-    whole = F.col("__t").isNotNull() & (F.col("vector_index").isNull() | F.col("__v").isNotNull())
-    degraded = F.col("fulltext_index").isNotNull() & ~whole
-    return both.select("app_id", F.when(whole, F.col("fulltext_index")).otherwise(F.col("live_index")).alias("index_name"), F.when(whole, F.col("frozen")).otherwise(F.col("versions")).alias("versions"), degraded.alias("degraded"))
+    both = apps.join(small(text), "fulltext_index", "left").join(small(vector), "vector_index", "left").join(live, "kb_id", "left").join(small(restricted), "kb_id", "left")
+    meant = F.col("fulltext_index").isNotNull() & F.coalesce(F.size("frozen") > 0, F.lit(False))
+    whole = meant & F.col("__t").isNotNull() & (F.col("vector_index").isNull() | F.col("__v").isNotNull())
+    versions = F.when(whole, F.col("frozen")).otherwise(F.col("versions"))
+    seen = F.filter(versions, lambda x: ~F.coalesce(F.array_contains("hidden", x), F.lit(False)))
+    return both.select("app_id", F.when(whole, F.col("fulltext_index")).otherwise(F.col("live_index")).alias("index_name"), seen.alias("versions"), (meant & ~whole).alias("degraded"))
 
 
 def snapshots_to_archive(snapshots: DataFrame, keep: int = 3) -> DataFrame:

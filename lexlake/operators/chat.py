@@ -2,53 +2,105 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def window_spans(times: list, minutes: float, most: int, overlap: int) -> list[tuple[int, int]]:
-    """(first, last) of each window over sorted times in milliseconds (None at the end).
+class OpenWindow:
+    """A session's window that is still open: fed messages in order of time, it gives those that close.
 
-    A window opens at a message and closes before the one that comes minutes or more later, or after most messages; the next begins
-    overlap messages before its end, one further on at least.
+    A window opens at a message and closes before the one that comes minutes or more after its first with a time, or
+    after most messages; the next begins overlap messages before its end, one further on at least. At most most + 1
+    messages are held.
     """
-    overlap = max(0, min(overlap, (most - 1) // 2))
-    out, a = [], 0
-    while a < len(times):
-        b = a + 1
-        while b < len(times) and b - a < most and (times[a] is None or times[b] is None or times[b] - times[a] < minutes * 60_000):
-            b += 1
-        out.append((a, b - 1))
-        if b == len(times):
-            break
-        a += max(1, b - a - overlap)
-    return out
+
+    def __init__(self, minutes: float, most: int, overlap: int, seq: int = 0, first: int = 0, closed: bool = False, times: list | None = None, senders: list | None = None):
+        self.span, self.most, self.overlap = int(minutes * 60_000), most, max(0, min(overlap, (most - 1) // 2))
+        self.seq, self.first, self.closed = seq, first, closed
+        self.times, self.senders = list(times or ()), list(senders or ())
+
+    def _row(self, n: int) -> tuple:
+        known = [t for t in self.times[:n] if t is not None]
+        return self.seq, self.first, self.first + n - 1, min(known, default=None), max(known, default=None), list(dict.fromkeys(self.senders[:n]))
+
+    def _end(self) -> int:
+        start = next((t for t in self.times if t is not None), None)
+        for n, t in enumerate(self.times):
+            if n == self.most or (start is not None and t is not None and t - start >= self.span):
+                return n
+        return len(self.times)
+
+    def add(self, time: int | None, sender: str | None) -> list[tuple]:
+        """(seq, first, last, start, end, senders) of the windows that this message closes. A blank sender is unknown."""
+        self.times.append(time)
+        self.senders.append(sender if sender is not None and sender.strip() else "unknown")
+        out = []
+        while (n := self._end()) < len(self.times):
+            if not self.closed:
+                out.append(self._row(n))
+                self.seq += 1
+            self.closed = False
+            step = max(1, n - self.overlap)
+            self.first += step
+            del self.times[:step], self.senders[:step]
+        return out
+
+    def due(self) -> int | None:
+        """The time from which on no message can join what is open; None where nothing is or there is no time."""
+        start = next((t for t in self.times if t is not None), None)
+        return None if self.closed or start is None else start + self.span
+
+    def close(self) -> list[tuple]:
+        """The open window, since no message can join it any more. What a later one overlaps stays."""
+        if self.closed or not self.times:
+            return []
+        out = [self._row(len(self.times))]
+        self.seq, self.closed = self.seq + 1, True
+        return out
+
+
+#: What windows are made of, beside session_id.
+WINDOW = "seq int, first_msg int, last_msg int, start_time bigint, end_time bigint, senders array<string>"
 
 
 def chat_windows(messages: DataFrame, minutes: float = 60, most: int = 50, overlap: int = 0) -> DataFrame:
     """Windows of each session of messages (session_id, msg_no, send_time ms, sender): seq, span, times, distinct senders.
 
-    Where a window ends depends on where it began, so a session is read in order by one task; window() and session_window() close on
-    other rules. Without a time a message comes last, in order of msg_no.
+    Where a window ends depends on where it began, so a session is read in order by one task; window() and session_window()
+    close on other rules. The task streams over its sessions and holds one open window at a time, however long a session
+    is. Without a time a message comes last, in order of msg_no.
     """
-
-    def windows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["send_time", "msg_no"], na_position="last")
-        times = [None if pd.isna(t) else int(t) for t in pdf["send_time"]]
-        senders = pdf["sender"].tolist()
-        rows = []
-        for seq, (a, b) in enumerate(window_spans(times, minutes, most, overlap)):
-            known = [t for t in times[a : b + 1] if t is not None]
-            names = list(dict.fromkeys(x for x in senders[a : b + 1] if x is not None))
-            rows.append((pdf["session_id"].iloc[0], seq, a, b, known[0] if known else None, known[-1] if known else None, names))
-        out = pd.DataFrame(rows, columns=["session_id", "seq", "first_msg", "last_msg", "start_time", "end_time", "senders"])
-        return out.astype({"start_time": "Int64", "end_time": "Int64"})
-
     kind = messages.schema["session_id"].dataType.simpleString()
-    slim = messages.select("session_id", "msg_no", "send_time", "sender")
-    return slim.groupBy("session_id").applyInPandas(windows, f"session_id {kind}, seq int, first_msg int, last_msg int, start_time bigint, end_time bigint, senders array<string>")
+    names = ["session_id", *(x.split()[0] for x in WINDOW.split(", "))]
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = session = None
+
+        def packed(rows: list[tuple], like: pa.Schema) -> pa.RecordBatch:
+            kinds = [like.field("session_id").type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+        schema = None
+        for batch in batches:
+            rows, schema = [], batch.schema
+            for key, time, sender in zip(*(batch.column(c).to_pylist() for c in ("session_id", "send_time", "sender")), strict=True):
+                if held is None or key != session:
+                    rows += [(session, *r) for r in held.close()] if held else []
+                    held, session = OpenWindow(minutes, most, overlap), key
+                rows += [(session, *r) for r in held.add(time, sender)]
+            if rows:
+                yield packed(rows, schema)
+        if held:
+            yield packed([(session, *r) for r in held.close()], schema)
+
+    slim = messages.select("session_id", F.col("msg_no"), F.col("send_time").cast("long").alias("send_time"), F.col("sender").cast("string").alias("sender"))
+    ordered = slim.repartition("session_id").sortWithinPartitions("session_id", F.col("send_time").asc_nulls_last(), "msg_no")
+    return ordered.mapInArrow(windows, f"session_id {kind}, {WINDOW}")
 
 
 def render(messages: DataFrame) -> DataFrame:

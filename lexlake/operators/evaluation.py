@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,6 +110,19 @@ def overlap_ratio(text: Column, span: Column) -> Column:
     return ratio(text, span)
 
 
+def common_run(text: Column, span: Column) -> Column:
+    """Struct (start, length, span): where in the normalised span its longest string lies that the text holds, how long it is, and how long the span."""
+
+    @F.pandas_udf("struct<start: int, length: int, span: int>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for a, b in batches:
+            bare = [(_bare(x), _bare(y)) for x, y in zip(a, b, strict=True)]
+            found = [(*longest_run(x, y), len(y)) for x, y in bare]
+            yield pd.DataFrame(found, columns=["start", "length", "span"], dtype="int32")
+
+    return run(text, span)
+
+
 def covered(runs: list[tuple[int, int]]) -> int:
     """Length of the union of (start, length) intervals."""
     total = end = 0
@@ -212,12 +227,23 @@ def call_estimate(cases: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def corpus_fingerprint(versions: DataFrame, model: str, etags: list[str]) -> DataFrame:
-    """SHA-256 over the sorted version ids, the embedding model and dictionary tags.
+    """One row: SHA-256 over the sorted distinct version ids, the embedding model and dictionary tags.
 
-    The ids of a knowledge base's versions, not its texts, form the hashed line; they are made distinct before.
+    Ids are made distinct by all tasks; one then sorts them (spilling as it must) and hashes them as they pass, holding none: a
+    hash has one order. The ids of a knowledge base's versions, not its texts, form the hashed line.
     """
-    ids = F.array_join(F.array_sort(F.collect_list("version_id")), ",")
-    return versions.select("version_id").distinct().agg(F.sha2(F.concat_ws("|", ids, F.lit(model), *map(F.lit, sorted(etags))), 256).alias("fingerprint"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line, first = hashlib.sha256(), True
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                line.update(("" if first else ",").encode() + x.encode())
+                first = False
+        line.update("|".join(["", model, *sorted(etags)]).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([line.hexdigest()])], names=["fingerprint"])
+
+    ids = versions.filter("version_id IS NOT NULL").select(F.col("version_id").cast("string").alias("version_id")).distinct()
+    return ids.repartition(1).sortWithinPartitions("version_id").mapInArrow(digest, "fingerprint string")
 
 
 def evidence_coverage(evidence: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:

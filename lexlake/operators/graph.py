@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexlake.operators.recall import small
@@ -56,9 +57,14 @@ def summary(entities: DataFrame, edges: DataFrame, mentions: DataFrame) -> DataF
 
 
 def entity_listing(entities: DataFrame, edges: DataFrame, mentions: DataFrame, keyword: str | None = None, relations: int = 20) -> DataFrame:
-    """Entities by the number of chunks that mention them, with their first outgoing relations."""
+    """Entities by the number of chunks that mention them, with their first outgoing relations.
+
+    Relations are ranked and cut before they are gathered, so an entity of very many holds no more of them than others.
+    """
     kept = entities if keyword is None else entities.filter(F.contains(F.lower("name"), F.lit(keyword.lower())))
-    out = edges.groupBy(F.col("src").alias("entity")).agg(F.slice(F.array_sort(F.collect_set(F.concat_ws(":", "type", F.col("dst").cast("string")))), 1, relations).alias("relations"))
+    named = edges.select(F.col("src").alias("entity"), F.concat_ws(":", "type", F.col("dst").cast("string")).alias("relation")).distinct()
+    first = named.withColumn("__r", F.row_number().over(W.partitionBy("entity").orderBy("relation"))).filter(F.col("__r") <= relations)
+    out = first.groupBy("entity").agg(F.array_sort(F.collect_list("relation")).alias("relations"))
     chunks = mentions.groupBy("entity").agg(F.count_distinct("chunk_id").alias("chunk_count"))
     joined = kept.join(chunks, "entity", "left").join(out, "entity", "left")
     return joined.select("entity", "name", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("relations", F.array().cast("array<string>")).alias("relations")).orderBy(F.col("chunk_count").desc(), "name")

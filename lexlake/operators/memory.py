@@ -48,9 +48,16 @@ def search(candidates: DataFrame, most: int, reranked: bool, threshold: float |
 
 
 def merge_profile(stored: Column, new: Column, allowed: list[str]) -> Column:
-    """Profile attributes with new ones over them: allowed fields with values that aren't blank, cut to VALUE_CHARS."""
-    fresh = F.map_filter(new, lambda k, v: k.isin(allowed) & (F.trim(v) != ""))
-    fresh = F.transform_values(fresh, lambda k, v: F.substring(v, 1, VALUE_CHARS))
+    """Profile attributes with new ones over them: allowed fields, names and values trimmed; values that are blank or over VALUE_CHARS don't count.
+
+    Of several names that are one when trimmed, the last counts.
+    """
+    bare = lambda x: F.regexp_replace(x, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    given = F.transform(F.map_entries(new), lambda e: F.struct(bare(e["key"]).alias("key"), bare(e["value"]).alias("value")))
+    units = lambda v: F.octet_length(F.encode(v, "UTF-16BE")) / 2
+    fit = F.filter(given, lambda e: F.coalesce((e["value"] != "") & (units(e["value"]) <= VALUE_CHARS), F.lit(False)))
+    last = lambda name: F.try_element_at(F.filter(fit, lambda e: e["key"] == name), F.lit(-1))
+    fresh = F.map_from_entries(F.array_compact(F.array(*(last(name) for name in allowed))))
     kept = F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
     return F.map_concat(kept, fresh)
 

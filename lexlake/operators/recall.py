@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +14,8 @@ from pyspark.sql import functions as F
 from lexlake.storage import BROADCAST_ROWS, materialize
 
 TOKEN = r"[\p{L}0-9]+"
+#: Query terms that are named in a plan, and query vectors that meet a batch together.
+MANY_TERMS, QUERY_BLOCK = 5_000, 4_096
 
 
 def tokens(text: Column) -> Column:
@@ -27,21 +34,33 @@ def top_k(df: DataFrame, by: str, k: int, score: str = "score", tie: str = "chun
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(chunk_id, dl, counts): each text's length in tokens, and how often it has each of the terms that it has.
+
+    A text's tokens never become rows: those that queries ask for are picked and counted within it. More than MANY_TERMS terms
+    are joined to the texts' distinct tokens instead of being named in the plan.
+    """
+    split = docs.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    wanted = [r.term for r in terms.select("term").distinct().limit(MANY_TERMS + 1).collect()]
+    many = lambda kept: F.transform(F.array_distinct(kept), lambda t: F.struct(t.alias("term"), F.size(F.filter(kept, lambda x: x == t)).alias("tf")))
+    if len(wanted) <= MANY_TERMS:
+        kept = F.filter("tokens", lambda t: t.isin(wanted)) if wanted else F.slice("tokens", 1, 0)
+        return split.select("chunk_id", F.size("tokens").alias("dl"), kept.alias("kept")).select("chunk_id", "dl", many(F.col("kept")).alias("counts"))
+    each = split.withColumn("dl", F.size("tokens")).select("chunk_id", "dl", F.explode_outer("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hit = each.join(terms.select("term").distinct().withColumn("hit", F.lit(True)), "term", "left")
+    return hit.groupBy("chunk_id", "dl").agg(F.collect_list(F.when(F.col("hit"), F.struct("term", F.col("tf").cast("int").alias("tf")))).alias("counts"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.2, b: float = 0.75, digits: int = 9) -> DataFrame:
     """BM25 of docs (chunk_id, text) for queries (query_id, text): query_id, chunk_id, score, rank of the top k.
 
     A query is the OR of its distinct terms. Statistics cover the docs that are given, so filter before. Texts are scanned once
-    and never shuffled: what is stored are the counts of the queries' terms, and each text's length under no term.
+    and never shuffled: what is stored are their lengths and their counts of the queries' terms.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    # An outer explode, since for the other kind the optimizer filters on the array before, and makes it once more.
-    wanted = terms.select("term").distinct().unionByName(queries.sparkSession.range(1).select(F.lit(None).cast("string").alias("term")))
-    split = docs.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
-    every = split.select("chunk_id", "dl", F.explode_outer(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("token"))
-    hits = every.join(small(wanted), F.col("token").eqNullSafe(F.col("term"))).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    hits = materialize(hits, "term-counts")
-    stats = hits.filter("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = hits.filter("term IS NOT NULL")
+    counted = materialize(_term_counts(docs, terms), "term-counts")
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    tf = counted.select("chunk_id", "dl", F.explode("counts").alias("c")).select("chunk_id", "dl", "c.term", "c.tf")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = small(terms.join(df, "term")).join(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -69,21 +88,72 @@ def engine_score_to_cosine(score: Column) -> Column:
     return 2 * score - 1
 
 
+def _scored_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, digits: int) -> DataFrame:
+    """(query_id, chunk_id, score) that hold each query's k best: of each batch of vectors its k best (and their ties) become rows.
+
+    Queries are met QUERY_BLOCK at a time, each block with every batch where it lies; a block is a matrix of bounded size.
+    queries may name a query several times: a chunk's score is the largest. Vectors of another length than the query's,
+    null ones, those with a null or non-finite component and those of no length have no score.
+    """
+    rows = materialize(queries.filter("__q IS NOT NULL").select("query_id", F.transform("__q", lambda x: x.cast("double")).alias("q")), "queries")
+    n = rows.count()
+    held = rows.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // QUERY_BLOCK))))) if n > QUERY_BLOCK else rows.withColumn("block", F.lit(0))
+    kinds = dict(vectors.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
+    out = [_block(vectors, held.filter(F.col("block") == x), k, digits, *kinds) for x in range(max(1, -(-n // QUERY_BLOCK)))]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def _block(vectors: DataFrame, block: DataFrame, k: int, digits: int, chunk_kind: str, query_kind: str) -> DataFrame:
+    asked = block.select("query_id", "q").toArrow()
+    ids = asked.column("query_id").to_pylist()
+    names = sorted(set(ids), key=repr)
+    number = {x: i for i, x in enumerate(names)}
+    groups: dict[int, list[int]] = {}
+    values = asked.column("q").to_pylist()
+    for i, v in enumerate(values):
+        if None not in v and np.isfinite(v).all() and any(v):
+            groups.setdefault(len(v), []).append(i)
+    packed = {d: (np.array([number[ids[i]] for i in w]), np.array([values[i] for i in w])) for d, w in groups.items()}
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("vector")
+            lengths = column.value_lengths().fill_null(-1).to_numpy()
+            flat, ends = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), np.cumsum(np.maximum(lengths, 0))
+            for d, (who, q) in packed.items():
+                at = np.flatnonzero(lengths == d)
+                v = flat[(ends[at] - d)[:, None] + np.arange(d)]
+                fine = np.isfinite(v).all(axis=1) & v.any(axis=1)
+                at, v = at[fine], v[fine]
+                if not len(at):
+                    continue
+                cos = (q @ v.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1)))
+                near = np.round(np.clip((cos + 1) / 2, 0, 1), digits)
+                if len(np.unique(who)) < len(who):
+                    both = np.full((len(names), len(at)), -1.0)
+                    np.maximum.at(both, who, near)
+                    near, who = both, np.arange(len(names))
+                least = np.partition(near, len(at) - k, axis=1)[:, len(at) - k] if len(at) > k else np.zeros(len(near))
+                i, j = np.nonzero((near >= least[:, None]) & (near >= 0))
+                for a in range(0, len(i), 50_000):
+                    x, y = i[a : a + 50_000], j[a : a + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[who[z]] for z in x], asked.schema.field("query_id").type), batch.column("chunk_id").take(pa.array(at[y])), pa.array(near[x, y])], names=["query_id", "chunk_id", "score"])
+
+    return vectors.select("chunk_id", "vector").mapInArrow(score, f"query_id {query_kind}, chunk_id {chunk_kind}, score double")
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50, digits: int = 6) -> DataFrame:
     """Exact search of vectors (chunk_id, vector) for queries (query_id, vector): query_id, chunk_id, score, rank.
 
-    score: the cosine, normalised to 0..1. The query set is broadcast; every vector is compared with each of it where it lies.
+    score: the cosine, normalised to 0..1. Where a query has several vectors, a chunk's score is the largest. What has no score: see _scored_in_blocks.
     """
-    asked = small(queries.select("query_id", F.col("vector").alias("__q")), 10_000)
-    scored = vectors.join(asked).select("query_id", "chunk_id", F.round(normalized_cosine(cosine(F.col("vector"), F.col("__q"))), digits).alias("score"))
-    return top_k(scored.filter("score IS NOT NULL"), "query_id", k)
+    scored = _scored_in_blocks(vectors, queries.select("query_id", F.col("vector").alias("__q")), k, digits)
+    return top_k(scored.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), "query_id", k)
 
 
 def multimodal_search(vectors: DataFrame, queries: DataFrame, k: int = 50, digits: int = 6) -> DataFrame:
-    """vector_search where a query has several vectors: a chunk's score is the largest."""
-    asked = small(queries.select("query_id", F.col("vector").alias("__q")), 10_000)
-    scored = vectors.join(asked).select("query_id", "chunk_id", F.round(normalized_cosine(cosine(F.col("vector"), F.col("__q"))), digits).alias("score"))
-    return top_k(scored.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")).filter("score IS NOT NULL"), "query_id", k)
+    """vector_search, named for queries that have several vectors each."""
+    return vector_search(vectors, queries, k, digits)
 
 
 def visible_versions(documents: DataFrame, now: Column) -> DataFrame:

@@ -119,8 +119,9 @@ def _nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility-normalised text; Spark has no such function of its own."""
-    return F.pandas_udf(_nfkc, "string")(text)
+    """Compatibility-normalised text; Spark has no such function of its own. ASCII texts are left as they are, and none of them goes to Python."""
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, text).otherwise(F.pandas_udf(_nfkc, "string")(F.when(~plain, text)))
 
 
 def text_hash(text: Column, compatible: bool = True) -> Column:

@@ -62,10 +62,10 @@ def rebuild_status(spark, sf_dir):
     return a.rebuild_status(spark.sql(_STALE, document=view(spark, sf_dir, "document")), ("PARSING", "INDEXING"))
 
 
-_WORDS = "SELECT p_type AS dict_type, p_name AS word, p_partkey % 4 <> 0 AS enabled, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey END AS updated_ms FROM {part}"
+_WORDS = "SELECT CASE WHEN p_partkey % 8 = 0 THEN concat('off ', p_type) ELSE p_type END AS dict_type, p_name AS word, p_partkey % 4 <> 0 AS enabled, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey END AS updated_ms FROM {part}"
 
 
-@query(f"WITH w AS (SELECT dict_type, string_agg(word || chr(10), '' ORDER BY word) AS body, coalesce(max(updated_ms), 0) AS last_modified, count(*) AS entries FROM ({_WORDS}) WHERE enabled GROUP BY 1) SELECT dict_type, md5(body) AS body, sha256(body) AS etag, last_modified, entries FROM w")
+@query(f"WITH w AS (SELECT dict_type, coalesce(string_agg(word || chr(10), '' ORDER BY word) FILTER (WHERE enabled), '') AS body, coalesce(max(updated_ms) FILTER (WHERE enabled), 0) AS last_modified, count(*) FILTER (WHERE enabled) AS entries FROM ({_WORDS}) GROUP BY 1) SELECT dict_type, md5(body) AS body, sha256(body) AS etag, last_modified, entries FROM w")
 def dictionaries(spark, sf_dir):
     return a.render_dictionary(spark.sql(_WORDS, part=view(spark, sf_dir, "part"))).withColumn("body", F.md5("body"))
 
@@ -83,16 +83,19 @@ def pinned_versions(spark, sf_dir):
     return a.pinned_versions(apps, v.select("doc_id", "version_id"))
 
 
-_APPS = "SELECT c_custkey AS app_id, c_nationkey AS kb_id, CASE WHEN c_custkey % 4 > 0 THEN concat('t', CAST(c_custkey % 10 AS STRING)) END AS fulltext_index, CASE WHEN c_custkey % 3 > 0 THEN concat('v', CAST(c_custkey % 10 AS STRING)) END AS vector_index, concat('f', CAST(c_custkey AS STRING)) AS frozen FROM {customer}"
-_LIVE = "SELECT n_nationkey AS kb_id, concat('live', CAST(n_nationkey AS STRING)) AS live_index, n_name AS versions FROM {nation}"
+_APPS = "SELECT c_custkey AS app_id, c_nationkey AS kb_id, CASE WHEN c_custkey % 4 > 0 THEN concat('t', CAST(c_custkey % 10 AS STRING)) END AS fulltext_index, CASE WHEN c_custkey % 3 > 0 THEN concat('v', CAST(c_custkey % 10 AS STRING)) END AS vector_index, CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 11 > 0 THEN concat('f', CAST(c_custkey AS STRING), ',g') END AS frozen FROM {customer}"
+_LIVE = "SELECT n_nationkey AS kb_id, concat('live', CAST(n_nationkey AS STRING)) AS live_index, concat(n_name, ',g,h') AS versions FROM {nation}"
 _INDEXES = "SELECT concat('t', CAST(n_nationkey AS STRING)) AS index_name FROM {nation} WHERE n_nationkey < 8 UNION ALL SELECT concat('v', CAST(n_nationkey AS STRING)) FROM {nation} WHERE n_nationkey > 3"
 
 
-@query(f"""WITH i AS (SELECT DISTINCT index_name AS n FROM ({_INDEXES})), j AS (SELECT a.*, live_index, versions, coalesce(fulltext_index IN (SELECT n FROM i), false) AND (vector_index IS NULL OR vector_index IN (SELECT n FROM i)) AS whole FROM ({_APPS}) a LEFT JOIN ({_LIVE}) l USING (kb_id))
-SELECT app_id, CASE WHEN whole THEN fulltext_index ELSE live_index END AS index_name, CASE WHEN whole THEN frozen ELSE versions END AS versions, fulltext_index IS NOT NULL AND NOT whole AS degraded FROM j""")
+@query(f"""WITH i AS (SELECT DISTINCT index_name AS n FROM ({_INDEXES})), j AS (SELECT a.*, live_index, versions, coalesce(fulltext_index IS NOT NULL AND frozen <> '', false) AS meant, meant AND coalesce(fulltext_index IN (SELECT n FROM i), false) AND (vector_index IS NULL OR vector_index IN (SELECT n FROM i)) AS whole FROM ({_APPS}) a LEFT JOIN ({_LIVE}) l USING (kb_id))
+SELECT app_id, CASE WHEN whole THEN fulltext_index ELSE live_index END AS index_name, replace(CASE WHEN whole THEN frozen ELSE versions END, CASE WHEN kb_id % 2 = 0 THEN ',g' ELSE ',-' END, '') AS versions, meant AND NOT whole AS degraded FROM j""")
 def resolved_indexes(spark, sf_dir):
     n = view(spark, sf_dir, "nation")
-    return a.resolved_indexes(spark.sql(_APPS, customer=view(spark, sf_dir, "customer")), spark.sql(_LIVE, nation=n), spark.sql(_INDEXES, nation=n))
+    split = lambda df, c: df.withColumn(c, F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, ",")))
+    hidden = n.filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("kb_id"), F.array(F.lit("g"), F.lit("x")).alias("hidden"))
+    out = a.resolved_indexes(split(spark.sql(_APPS, customer=view(spark, sf_dir, "customer")), "frozen"), split(spark.sql(_LIVE, nation=n), "versions"), spark.sql(_INDEXES, nation=n), hidden)
+    return out.withColumn("versions", F.array_join("versions", ","))
 
 
 _SNAPSHOTS = "SELECT o_orderkey AS id, o_custkey AS app_id, CASE WHEN o_orderstatus = 'O' THEN 'RELEASED' ELSE 'SUPERSEDED' END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS released_at FROM {orders}"

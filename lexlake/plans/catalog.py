@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from lexlake.plans import access, more, retrieval, text, usage, versions  # noqa: F401
+from lexlake.plans import access, edits, more, retrieval, runs, text, usage, versions  # noqa: F401
 from lexlake.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -31,11 +31,17 @@ def memory_search(spark, sf_dir):
     return memory.search(rows, 10, True, 0.5).select("query_id", "node_id", "rank")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'new' ELSE 'old' END AS city, 'x' AS name FROM events")
+_PROFILE = "SELECT doc_id, lang, source, substr(text, 1, CAST(doc_id % 3 * 256 + doc_id % 2 AS INT)) AS bio FROM {documents}"
+
+
+@query(f"""WITH p AS (SELECT *, regexp_replace(bio, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS b FROM ({_PROFILE}))
+SELECT doc_id, lang AS city, md5(CASE WHEN b <> '' AND length(b) <= 512 THEN b ELSE source END) AS bio, false AS other FROM p""")
 def merge_profile(spark, sf_dir):
-    stored = F.create_map(F.lit("city"), F.lit("old"), F.lit("name"), F.lit("x"))
-    new = F.create_map(F.lit("city"), F.when(F.expr("event_id % 2 = 0"), "new").otherwise(" "), F.lit("other"), F.lit("y"))
-    return view(spark, sf_dir, "events").select("event_id", memory.merge_profile(stored, new, ["city", "name"]).alias("m")).select("event_id", F.col("m")["city"].alias("city"), F.col("m")["name"].alias("name"))
+    """Heads of documents as values of up to 513 characters, over what is stored."""
+    stored = F.create_map(F.lit("city"), F.lit("old"), F.lit("bio"), F.col("source"))
+    new = F.create_map(F.lit(" city"), F.concat(F.lit("\n"), F.col("lang"), F.lit(" ")), F.lit("bio"), F.col("bio"), F.lit("other"), F.lit("y"))
+    merged = spark.sql(_PROFILE, documents=view(spark, sf_dir, "documents")).select("doc_id", memory.merge_profile(stored, new, ["city", "bio", "age"]).alias("m"))
+    return merged.select("doc_id", F.col("m")["city"].alias("city"), F.md5(F.col("m")["bio"]).alias("bio"), F.map_contains_key("m", "other").alias("other"))
 
 
 _MEMORIES = """[{"event": "update", "node_id": " 7 ", "content": " a "}, {"event": "ADD", "content": " "}, {"event": "DELETE", "node_id": "9", "content": "d"}, {"content": "LONG"}, {"event": "UPDATE", "content": "n"}]"""

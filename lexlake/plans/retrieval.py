@@ -176,13 +176,13 @@ def graph_reach(spark, sf_dir):
     return graph.reach(view(spark, sf_dir, "edge"), spark.createDataFrame([(20, 20), (41, 41)], "seed long, node long"), 2)
 
 
-@query("""WITH e AS (SELECT DISTINCT src AS entity FROM {edge}), r AS (SELECT src AS entity, string_agg(DISTINCT type || ':' || dst, ',' ORDER BY type || ':' || dst) AS rel, count(DISTINCT type || ':' || dst) AS n FROM {edge} GROUP BY 1),
-m AS (SELECT entity, count(DISTINCT chunk_id) AS c FROM {mention} GROUP BY 1) SELECT e.entity, coalesce(m.c, 0) AS chunk_count, rel AS relations FROM e LEFT JOIN m USING (entity) LEFT JOIN r USING (entity) WHERE n <= 20""")
+@query("""WITH e AS (SELECT DISTINCT src AS entity FROM {edge}), r AS (SELECT src AS entity, array_to_string(list(DISTINCT type || ':' || dst ORDER BY type || ':' || dst)[1:20], ',') AS rel FROM {edge} GROUP BY 1),
+m AS (SELECT entity, count(DISTINCT chunk_id) AS c FROM {mention} GROUP BY 1) SELECT e.entity, coalesce(m.c, 0) AS chunk_count, rel AS relations FROM e LEFT JOIN m USING (entity) LEFT JOIN r USING (entity)""")
 def graph_entities(spark, sf_dir):
     edges = view(spark, sf_dir, "edge")
     entities = edges.select(F.col("src").alias("entity"), F.col("src").cast("string").alias("name")).distinct()
     out = graph.entity_listing(entities, edges, view(spark, sf_dir, "mention"))
-    return out.filter(F.size("relations") <= 20).select("entity", "chunk_count", F.array_join("relations", ",").alias("relations"))
+    return out.select("entity", "chunk_count", F.array_join("relations", ",").alias("relations"))
 
 
 @query("SELECT (SELECT count(DISTINCT src) FROM {edge}) AS entities, (SELECT count(*) FROM {edge}) AS relations, (SELECT count(DISTINCT chunk_id) FROM {mention}) AS chunks")

@@ -66,9 +66,14 @@ def test_metrics(spark):
 
 def test_windows():
     minute = 60_000
-    assert chat.window_spans([0, 59 * minute, 60 * minute], 60, 50, 0) == [(0, 1), (2, 2)]
-    assert chat.window_spans([0] * 7, 60, 3, 0) == [(0, 2), (3, 5), (6, 6)]
-    assert chat.window_spans([0] * 10, 60, 5, 2) == [(0, 4), (3, 7), (6, 9)]
+
+    def spans(times, minutes, most, overlap):
+        held = chat.OpenWindow(minutes, most, overlap)
+        return [r[1:3] for r in (*(r for t in times for r in held.add(t, "x")), *held.close())]
+
+    assert spans([0, 59 * minute, 60 * minute], 60, 50, 0) == [(0, 1), (2, 2)]
+    assert spans([0] * 7, 60, 3, 0) == [(0, 2), (3, 5), (6, 6)]
+    assert spans([0] * 10, 60, 5, 2) == [(0, 4), (3, 7), (6, 9)]
 
 
 @pytest.mark.parametrize(("s", "n"), [("中文字符", 4), ("abcdefgh", 2), ("abcdefghi", 3), ("中文abcd", 3), ("한글한글", 1), ("😀😀", 1), ("。ー", 2)])
@@ -177,7 +182,7 @@ def test_read_files(spark, tmp_path):
 
 
 def test_bucket():
-    assert bucket_decisions([0, 0, 0, 500, 1000], 2, 2) == [True, True, False, True, True]
+    assert bucket_decisions([0, 0, 0, 500, 1000], 2.0) == [True, True, False, True, True]
 
 
 def test_chat_txt(spark):
