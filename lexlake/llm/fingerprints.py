@@ -1,10 +1,14 @@
 """Winnowing fingerprints of documents, in DataFrame functions only.
 
-A text's units are its words (single characters in scripts that are written without spaces, and runs of LONGEST
-characters of longer words), lower-cased; those of texts of fewer than SHORT characters are its characters.
-Every run of K units is hashed; of every W such hashes in a row the least is chosen, of equal ones the rightmost;
-chosen hashes are kept with their positions. Any two texts that share K + W - 1 units in a row share a chosen hash,
-and a match shorter than K units is never reported.
+A text's units are its characters but white space, lower-cased, whatever its length or script. Every run of K units has a
+rolling (Karp-Rabin) hash; of every W such hashes in a row the least is chosen, of equal ones the rightmost; chosen
+hashes are kept with their positions. At the beginning there are shorter windows too, from one hash on. So any two texts that share
+K + W - 1 units in a row share a chosen hash, texts that begin alike share one from K units on, and a match shorter than
+K units is never reported.
+
+A rolling hash gives the next run's value from the last one's, one after the other. Here the same values come for all runs at once
+by doubling: with h(n, i) the hash of n units from i on, h(a + b, i) = h(a, i) * B^b + h(b, i + a) modulo a prime. The least
+values of windows come in the same way. Both are additions of shifted arrays, so nothing is sliced or hashed anew per run.
 """
 
 from __future__ import annotations
@@ -17,16 +21,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Units in a hashed run, and hashes of which one is chosen.
-GRAM, WINDOW = 4, 5
+GRAM, WINDOW = 8, 16
 #: Rows of a bucket of the order that links each document to the next, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 2_000, 65_536
+BUCKET_ROWS, MOST_BUCKETS = 256, 65_536
 
-#: Code points of a text from which its units are words, and the longest unit.
-SHORT, LONGEST = 128, 24
-
-_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
-_UNIT = rf"[{_ALONE}]|[^\p{{IsWhite_Space}}{_ALONE}]{{1,{LONGEST}}}"
-_CHARACTER = r"[^\p{IsWhite_Space}]"
+#: Hashes are polynomials of this base modulo this prime.
+_PRIME, _BASE = (1 << 31) - 1, 1_103_515_245
+_WHITE = r"[\p{IsWhite_Space}]+"
+#: Bits below a hash that hold its position; texts of more units than that are beyond what a row may hold.
+_PLACES = 26
 _FIRST = -(2**63)
 
 
@@ -36,33 +39,57 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def units(text: Column) -> Column:
-    by = [F.regexp_extract_all(F.lower(text), F.lit(unit), F.lit(0)) for unit in (_CHARACTER, _UNIT)]
-    return F.when(F.char_length(text) < SHORT, by[0]).otherwise(by[1])
+    bare = F.regexp_replace(F.lower(text), _WHITE, "")
+    return let(bare, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, "")))
+
+
+def _runs(values: Column, n: int, join: Callable[[Column, Column, int], Column], body: Callable[[Column, Column], Column]) -> Column:
+    """body of the values of all runs of n, and of those of their first halves: join(x, y, b) makes that of a run from those of its parts, the last of b."""
+    sizes, todo = set(), [n]
+    while todo:
+        if (s := todo.pop()) > 1 and s not in sizes:
+            sizes.add(s)
+            todo += [s - s // 2, s // 2]
 
+    def bind(done: dict[int, Column], left: list[int]) -> Column:
+        if not left:
+            return body(done[n], done[n - n // 2])
+        s = left[0]
+        a, b = s - s // 2, s // 2
+        count = F.greatest(F.size(values) - (s - 1), F.lit(0))
+        both = F.zip_with(F.slice(done[a], F.lit(1), count), F.slice(done[b], F.lit(a + 1), count), lambda x, y: join(x, y, b))
+        return let(both, lambda c: bind({**done, s: c}, left[1:]))
 
-def _runs(found: Column, gram: int) -> Column:
-    """(hash, minus position) of each run; the whole text as one where it is shorter; none for no units."""
-    n = F.size(found)
-    whole = F.transform(F.slice(F.array(found), 1, F.least(n, F.lit(1))), lambda x: F.struct(F.xxhash64(x).alias("h"), F.lit(0).alias("p")))
-    each = F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.struct(F.xxhash64(F.slice(found, i + 1, F.lit(gram))).alias("h"), (-i).alias("p")))
-    return F.when(n < gram, whole).otherwise(each)
+    return bind({1: values}, sorted(sizes))
 
 
-def _chosen(runs: Column, window: int) -> Column:
-    """The least of each window: by hash, then the rightmost. Windows that choose the same one count once."""
-    m = F.size(runs)
-    least = F.transform(F.sequence(F.lit(1), m - window + 1), lambda i: F.array_min(F.slice(runs, i, F.lit(window))))
-    once = let(least, lambda x: F.filter(x, lambda y, i: (i == 0) | (y["p"] != F.get(x, i - 1)["p"])))
-    return F.when(m == 0, runs).when(m <= window, F.array(F.array_min(runs))).otherwise(once)
+def _rolled(x: Column, y: Column, b: int) -> Column:
+    return (x * F.lit(pow(_BASE, b, _PRIME)) + y) % F.lit(_PRIME)
 
 
 def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """array<struct<hash, position>> in order of position; empty for a null text or one without units.
 
-    Positions count units from 0. A text of fewer than gram units has one hash, of all of them.
+    Positions count units from 0. A text of fewer than gram units has one hash, of all of them. Hashes are compared by
+    their rolling value; what is kept of one is that value and its first half's, 62 bits together.
     """
-    picked = let(units(F.coalesce(text, F.lit(""))), lambda u: let(_runs(u, gram), lambda r: _chosen(r, window)))
-    return F.transform(picked, lambda x: F.struct(x["h"].alias("hash"), (-x["p"]).alias("position")))
+    last = F.lit((1 << _PLACES) - 1).cast("long")
+    before = F.array_repeat(F.lit((1 << 63) - 1), window - 1)
+
+    def chosen(whole: Column, half: Column) -> Column:
+        # A value with its position below it: the least is the least hash, of equal ones the rightmost. First windows hang over the beginning, where all is less than what fills it up.
+        marked = F.transform(whole, lambda h, i: F.shiftleft(h, _PLACES).bitwiseOR(last - i))
+        place = lambda c: (last - c.bitwiseAND(last)).cast("int")
+        kept = lambda c: let(place(c), lambda p: F.struct(F.shiftleft(F.get(whole, p), 31).bitwiseOR(F.get(half, p)).alias("hash"), p.alias("position")))
+        return let(F.concat(before, marked), lambda m: _runs(m, window, lambda x, y, b: F.least(x, y), lambda least, _: F.transform(F.array_distinct(least), kept)))
+
+    def of_units(u: Column) -> Column:
+        values = F.transform(u, lambda c: F.xxhash64(c).bitwiseAND(F.lit(_PRIME)))
+        one = F.array(F.struct(F.xxhash64(u).alias("hash"), F.lit(0).alias("position")))
+        none = F.array().cast("array<struct<hash: bigint, position: int>>")
+        return F.when(F.size(u) == 0, none).when(F.size(u) < gram, one).otherwise(let(values, lambda v: _runs(v, gram, _rolled, chosen)))
+
+    return let(units(F.coalesce(text, F.lit(""))), of_units)
 
 
 def hashes(fingerprint: Column) -> Column:
@@ -121,7 +148,9 @@ def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", gram
     winnowed (see winnow). Texts are shuffled once, by ranges of the key. A null text counts as empty, a null key comes last; rows with equal keys follow each other by text.
     """
     clean = docs.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)).alias("o"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    own = with_next(clean).withColumn("f", let(winnow(F.col("text"), gram, window), lambda f: F.struct(digest(f).alias("digest"), f.alias("marks"))))
+    # Only texts are shuffled and sorted; fingerprints are made where they then lie.
+    own = with_next(clean).repartition("__bucket").sortWithinPartitions("__bucket", "last", F.col("o").desc(), "text")
+    own = own.withColumn("f", let(winnow(F.col("text"), gram, window), lambda f: F.struct(digest(f).alias("digest"), f.alias("marks"))))
     order = W.partitionBy("__bucket").orderBy("last", F.col("o").desc(), "text")
     linked = own.select("id", "last", "text", "f", F.lead("text").over(order).alias("next_text"), F.lead("f.marks").over(order).alias("next_marks")).filter(~F.col("last"))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")

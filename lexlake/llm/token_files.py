@@ -38,6 +38,8 @@ from lexlake.storage import materialize, scratch_path
 MAGIC = b"LXTK"
 #: Ids a block holds, documents whose keys and lengths form a chunk of the index, and ids after which a new file begins.
 BLOCK_IDS, BLOCK_DOCS, FILE_IDS = 1 << 16, 1 << 16, 1 << 28
+#: Bytes of text of a range of keys, which is one task's work.
+RANGE_BYTES = 1 << 26
 #: What stands for a null key in a file.
 NO_KEY = -(2**63)
 
@@ -170,16 +172,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None
 
     tokenizer: path of a byte-level tokenizer file; end_id: id put after each document. Planes are as many as the largest id of the
     vocabulary (or end_id) needs. Returns the manifest (file_no, path, n_docs, n_ids, start), start being the ids of all files before.
-    Rows are dealt to tasks by ranges of the key, and a task begins a new file at file_ids ids, so file order is key order and a
-    file's index is bounded at any size. A file bears a name of its own and only those that successful tasks report are
+    Rows are dealt to tasks by ranges of the key of about RANGE_BYTES of text each (partitions of them, if given), and a task begins a
+    new file at file_ids ids, so file order is key order, and tasks and files' indexes are bounded at any size. A file bears a name of its own and only those that successful tasks report are
     in the manifest, which is stored once: a lost executor or a second attempt leaves at most an unread file behind. Null texts
-    count as empty; a null key is stored as -2**63, first, and read as null; equal keys lie side by side, ordered by text. Other
-    columns are not read.
+    count as empty; a null key is stored as -2**63, first, and read as null; equal keys lie side by side, ordered by a hash of the text,
+    so that ranges divide them too. Other columns are not read.
     """
     spark = docs.sparkSession
     root = scratch_path(spark, "token-files")
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).cast("string").alias("text"))
+    n = partitions or max(2 * spark.sparkContext.defaultParallelism, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     schema = T.StructType([T.StructField("file_no", T.LongType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +212,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None
         if writer is not None:
             yield done()
 
-    dealt = rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
+    tie = F.xxhash64("text")
+    dealt = rows.repartitionByRange(n, "key", tie).sortWithinPartitions("key", tie, "text")
     manifest = materialize(dealt.mapInArrow(write, schema), "token-manifest")
     # One row a file, so one task can hold the running sum at any size of the corpus.
     before = W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)

@@ -13,7 +13,7 @@ from lexlake.storage import BROADCAST_ROWS, materialize
 
 #: (verdict, host, path); the longest rule that fits decides.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Labelled URLs that the trees are fitted to: about so many, chosen by a hash of the URL.
+#: Labelled rows that the trees are fitted to: about so many, chosen by a hash of the URL and the row's number.
 TRAIN_ROWS = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -83,8 +83,13 @@ class UrlTrees:
     """Boosted trees with the suffix statistics that their inputs need."""
 
     def __init__(self, labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 15, depth: int = 4):
-        """Count suffixes in all labelled URLs (url, label); fit to about rows of them. With one label only, that label is always given."""
-        labelled = materialize(with_features(labelled.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))), "labelled-urls")
+        """Count suffixes in all labelled URLs (url, label); fit to about rows of them. With one label only, that label is always given.
+
+        A URL that is labelled several times counts and is drawn row by row, so however often it occurs, no more rows are
+        drawn than of as many different ones.
+        """
+        numbered = labelled.withColumn("__row", F.monotonically_increasing_id())
+        labelled = materialize(with_features(numbered.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))), "labelled-urls")
         n, bad = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
         self.mean = bad / n if n else 0.0
         self.only = float(bad > 0) if bad in (0, n) else None
@@ -92,8 +97,9 @@ class UrlTrees:
         self.suffixes = materialize(labelled.groupBy("suffix").agg((F.count(F.lit(1)) / max(n, 1)).alias("suffix_share"), rate.alias("suffix_rate")), "url-suffixes")
         self.few = self.suffixes.count() <= BROADCAST_ROWS
         if self.only is None:
-            part = labelled.filter(F.pmod(F.xxhash64(F.coalesce(F.col("url"), F.lit(""))), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30)))
-            part = self._vectors(part).select("features", "label").coalesce(max(1, -(-min(n, rows) // 5_000))).persist()
+            drawn = F.pmod(F.xxhash64(F.coalesce(F.col("url"), F.lit("")), F.col("__row")), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30))
+            part = labelled.filter(drawn)
+            part = self._vectors(labelled if part.isEmpty() else part).select("features", "label").coalesce(max(1, -(-min(n, rows) // 5_000))).persist()
             self.model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=7).fit(part)
             part.unpersist()
 

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -117,6 +118,32 @@ def test_op3(odd):
         assert at <= packing.CAPACITY
 
 
+@pytest.mark.parametrize("url", ["http://a.com/x", None])
+def test_op4_one_url_many_times(spark, url):
+    """The sample is bounded and has both labels, however often a URL occurs."""
+    rows = spark.range(30_000).select(F.lit(url).cast("string").alias("url"), (F.col("id") % 3 == 0).cast("double").alias("label"))
+    trees = url_filter.UrlTrees(rows, rows=2_000, trees=2, depth=2)
+    assert trees.only is None and 0.2 < trees.score(spark.createDataFrame([(url, "a.com", "/x")], "url string, host string, path string")).first().score < 0.5
+
+
+def test_op10_equal_keys_are_dealt(spark):
+    """Rows of one key, more than a range holds, and null keys."""
+    rows = [(5 if k % 4 else None, prose(k, 40)) for k in range(300)]
+    before = token_files.RANGE_BYTES
+    token_files.RANGE_BYTES = 4_000
+    try:
+        manifest = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), BYTE, end_id=2)
+        tasks = {r.file_no >> 32 for r in manifest.collect()}
+        got = token_files.read_token_files(spark, manifest).orderBy("start").collect()
+    finally:
+        token_files.RANGE_BYTES = before
+    assert len(tasks) > 8 and [r.key for r in got] == [None] * 75 + [5] * 225
+    tokenizer = Tokenizer.from_file(BYTE)
+    ids = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4") for _, t in rows]
+    assert sorted(r.ids_crc32 for r in got) == sorted(zlib.crc32(x.tobytes()) for x in ids)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
 def test_op5(odd):
     sets = {k: sets_of(t) for k, t in texts_of(odd).items()}
     expected = brute_components(sets)
@@ -189,35 +216,85 @@ def test_blocks_find_what_pairs_find():
                 assert (a, b) in got
 
 
-def brute_winnow(text, k=fingerprints.GRAM, w=fingerprints.WINDOW):
-    """Positions by definition, given the hashes of the runs."""
-    def chosen(h):
-        if len(h) <= w:
-            return [max(i for i, x in enumerate(h) if x == min(h))] if h else []
-        return sorted({max(range(i, i + w), key=lambda j: (-h[j], j)) for i in range(len(h) - w + 1)})
-    return chosen
+WHITE = {chr(c) for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
+
+
+def signed(x):
+    return (x & (1 << 64) - 1) - (1 << 64 if x & 1 << 63 else 0)
+
+
+def plain_marks(text, k=fingerprints.GRAM, w=fingerprints.WINDOW):
+    """(hash, position) by definition: each run's hash from its characters, each window's least, the first windows shorter."""
+    u = [c for c in (text or "").lower() if c not in WHITE]
+    if len(u) < k:
+        h = 42
+        for c in u:
+            h = xxhash.xxh64(c.encode(), seed=h).intdigest()
+        return [(signed(h), 0)] if u else []
+    prime, base = (1 << 31) - 1, 1_103_515_245
+    values = [xxhash.xxh64(c.encode(), seed=42).intdigest() & prime for c in u]
+
+    def rolled(part):
+        x = part[0]
+        for v in part[1:]:
+            x = (x * base + v) % prime
+        return x
+
+    runs = [rolled(values[i : i + k]) for i in range(len(u) - k + 1)]
+    m = len(runs)
+    at = sorted({min(range(max(0, e - w + 1), min(m, e + 1)), key=lambda j: (runs[j], -j)) for e in range(m)})
+    return [(runs[p] << 31 | rolled(values[p : p + k - k // 2]), p) for p in at]
+
+
+def plain_likeness(a, b):
+    a, b = {h for h, _ in plain_marks(a)}, {h for h, _ in plain_marks(b)}
+    return len(a & b) / len(a | b) if a | b else 1.0
 
 
 def test_op1(spark, odd):
-    rows = odd.dropDuplicates(["doc_id"])
-    texts = texts_of(odd)
-    order = sorted(texts, reverse=True)
-    got = {r.doc_id: r for r in fingerprints.edit_likeness(rows).collect()}
-    assert len(got) == len(texts)
-    for i, k in enumerate(order):
-        t, nxt = texts[k], texts[order[(i + 1) % len(order)]]
+    """Repeated and null keys too: rows follow each other by key, of one key by text, and after the last comes the first."""
+    more = spark.createDataFrame([(None, "no key"), (None, None), (3, "again " * 30)], "doc_id long, text string")
+    rows = odd.filter("char_length(text) < 5000 OR text IS NULL").select("doc_id", "text").unionByName(more)
+    order = sorted(((r.doc_id, r.text or "") for r in rows.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    expected = []
+    for i, (k, t) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
         half = len(t) // 2
         e = t[: len(t) - half] + nxt[:half]
-        assert (got[k].n_chars, got[k].edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        assert 0 <= got[k].near_edited <= 1 and 0 <= got[k].near_next <= 1
-    marks = {k: {x["hash"] for x in r.winnowed} for k, r in got.items()}
-    for i, k in enumerate(order):
-        a, b = marks[k], marks[order[(i + 1) % len(order)]]
-        assert got[k].near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
-    assert got[4].fingerprint == got[5].fingerprint and got[4].near_next < 0.2 < got[3].near_edited
+        expected.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), round(plain_likeness(t, e), 9), round(plain_likeness(t, nxt), 9), tuple(plain_marks(t))))
+    got = fingerprints.edit_likeness(rows).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9), tuple((x["hash"], x["position"]) for x in r.winnowed)) for r in got), key=key) == sorted(expected, key=key)
+    assert len({r.fingerprint for r in got}) == len({tuple(map(tuple, r.winnowed)) for r in got})
     assert fingerprints.edit_likeness(rows.limit(0)).count() == 0
 
 
+def test_op1_very_long_text(spark, odd):
+    got = {r.doc_id: r for r in fingerprints.edit_likeness(odd.dropDuplicates(["doc_id"])).collect()}
+    assert [(x["hash"], x["position"]) for x in got[3].winnowed] == plain_marks(texts_of(odd)[3]) and 0.3 < got[3].near_edited < 1
+
+
+def test_op1_grows_with_the_text(spark):
+    """A character more changes little, at any length."""
+    base = prose(8, 60)
+    pairs = [(n, base[:n], base[: n + 1]) for n in range(30, 300)]
+    near = fingerprints.likeness(*(fingerprints.hashes(fingerprints.winnow(F.col(c))) for c in ("a", "b")))
+    got = spark.createDataFrame(pairs, "n int, a string, b string").select("n", near.alias("x")).collect()
+    assert min(r.x for r in got) > 0.6 and all(r.x == pytest.approx(plain_likeness(*pairs[r.n - 30][1:])) for r in got)
+
+
+def test_op1_matches(spark):
+    """Texts that share a run of GRAM + WINDOW - 1 characters share a hash, wherever it lies."""
+    r = random.Random(11)
+    words = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for _ in range(60):
+        shared = words(fingerprints.GRAM + fingerprints.WINDOW - 1)
+        rows.append((words(r.randint(0, 60)) + shared + words(r.randint(0, 60)), words(r.randint(0, 60)) + shared + words(r.randint(0, 60))))
+    df = spark.createDataFrame(rows, "a string, b string").select(*(fingerprints.hashes(fingerprints.winnow(F.col(c))).alias(c) for c in "ab"))
+    assert df.filter(~F.arrays_overlap("a", "b")).count() == 0
+
+
 def test_op1_keeps_half(spark):
     """Short texts, scripts without spaces and words without end still resemble themselves when half of them is replaced."""
     r = random.Random(5)
@@ -227,16 +304,11 @@ def test_op1_keeps_half(spark):
     assert all(x.near_edited > 0.1 for x in got) and len(got) == len(texts)
 
 
-def test_op1_windows(spark):
-    text = prose(4, 120)
-    df = spark.createDataFrame([(text,), ("a b",), ("",), (None,)], "text string")
-    units = text.lower().split()
-    runs = [" ".join(units[i : i + 4]) for i in range(len(units) - 3)]
-    hashes = [r.h for r in spark.createDataFrame([(i, units[i : i + 4]) for i in range(len(runs))], "i int, u array<string>").select("i", F.xxhash64("u").alias("h")).orderBy("i").collect()]
-    got = [r.f for r in df.select(fingerprints.winnow(F.col("text")).alias("f")).collect()]
-    positions = brute_winnow(text)(hashes)
-    assert [(x["hash"], x["position"]) for x in got[0]] == [(hashes[p], p) for p in positions]
-    assert [len(x) for x in got[1:]] == [1, 0, 0]
+@pytest.mark.parametrize(("gram", "window"), [(1, 1), (3, 5), (5, 16), (12, 7)])
+def test_op1_windows(spark, gram, window):
+    texts = ["abababababababab" * 3, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", prose(4, 20), "a b", "", None, "Ünï " * 9]
+    got = [r.f for r in spark.createDataFrame([(t,) for t in texts], "text string").select(fingerprints.winnow(F.col("text"), gram, window).alias("f")).collect()]
+    assert [[(x["hash"], x["position"]) for x in f] for f in got] == [plain_marks(t, gram, window) for t in texts]
 
 
 def test_op2(spark):
