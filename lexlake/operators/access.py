@@ -37,6 +37,11 @@ def holds(text: Column, words: str) -> Column:
     return F.contains(F.lower(text), F.lit(words.lower()))
 
 
+def begins(text: Column, words: str) -> Column:
+    """Whether text begins with words as they are."""
+    return F.startswith(text, F.lit(words))
+
+
 def feedback_bases(feedback: DataFrame, insight: DataFrame, chunks: DataFrame) -> DataFrame:
     """feedback (id, request_id, chunk_id) with kb_id of its request (null for an unknown one) and owned, whether that base has the chunk."""
     asked = insight.groupBy("request_id").agg(F.max_by("kb_id", "id").alias("kb_id"))
@@ -151,12 +156,38 @@ def node_view(hits: DataFrame, children: DataFrame) -> DataFrame:
     return hits.join(held, ["query_id", "unit_id"], "left").select("query_id", "position", F.col("unit_id").alias("node_id"), F.col("content").alias("text"), meta.alias("metadata"), shaped.alias("children"))
 
 
+#: What a search says of a hit's scores, and the column that has it. Fixed values.
+SCORES = {
+    "fused_score": "fused_score", "vector_score": "route_scores.VECTOR", "vector_rank": "route_ranks.VECTOR", "norm_vector_score": "normalized_scores.VECTOR", "bm25_score": "route_scores.BM25", "bm25_rank": "route_ranks.BM25",
+    "norm_bm25_score": "normalized_scores.BM25", "rerank_score": "rerank_score", "graph_score": "graph_score", "graph_hops": "graph_hops",
+}
+
+
+def score_metadata(hits: DataFrame) -> Column:
+    """Map of SCORES of hits, of those that are there: columns may lack, maps (by route) may lack a route, values may be null."""
+    def value(place: str) -> Column:
+        name, _, route = place.partition(".")
+        if name not in hits.columns:
+            return F.lit(None).cast("double")
+        return (F.col(name)[route] if route else F.col(name)).cast("double")
+
+    every = F.map_from_arrays(F.array(*map(F.lit, SCORES)), F.array(*map(value, SCORES.values())))
+    return F.map_filter(every, lambda k, v: v.isNotNull())
+
+
 def flattened_metadata(metadata: Column, reserved: list[str], prefix: str = "ext_") -> Column:
     """A map of texts with prefixed keys, without reserved keys and blank values."""
     kept = F.map_filter(metadata, lambda k, v: ~k.isin(*reserved) & F.coalesce(F.trim(v) != "", F.lit(False)))
     return F.transform_keys(kept, lambda k, v: F.concat(F.lit(prefix), k))
 
 
+def flattened_lists(metadata: Column, reserved: list[str], prefix: str = "ext_") -> Column:
+    """flattened_metadata for a map of lists of texts: keys whose lists hold something that isn't blank, with what they hold of it."""
+    full = F.transform_values(metadata, lambda k, v: F.filter(v, lambda x: F.coalesce(F.trim(x) != "", F.lit(False))))
+    kept = F.map_filter(full, lambda k, v: ~k.isin(*reserved) & (F.size(v) > 0))
+    return F.transform_keys(kept, lambda k, v: F.concat(F.lit(prefix), k))
+
+
 def epoch_ms(value: Column) -> Column:
     """Whole milliseconds of a text; null if it isn't a whole number."""
     return F.trim(value).try_cast("long")

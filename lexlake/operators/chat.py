@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexlake.operators.text import message_type, parse_time_ms, truthy
+
 
 class OpenWindow:
     """A session's window that is still open: fed messages in order of time, it gives those that close.
@@ -156,16 +158,72 @@ def txt_messages(lines: DataFrame, header: str = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{
     return held.select("file", "msg_no", F.regexp_extract("head", header, 1).alias("time"), F.regexp_extract("head", header, 2).alias("sender"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
 
 
+#: Share of a text export's lines that may come before any message; what a session without a name is called. Fixed values.
+MOST_UNMATCHED, NO_SESSION = 0.30, "default"
+#: Header lines of text exports: a pattern, and the numbers of its groups for time, sender and content (0: none). Fixed values.
+HEADERS = ((r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) (\S.*)$", 1, 2, 0), (r"^(.+?) \((\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\):(.*)$", 2, 1, 3))
+
+
+def txt_sessions(lines: DataFrame, headers: tuple = HEADERS) -> tuple[DataFrame, DataFrame]:
+    """(messages, files) of exported text (file, line_no, line).
+
+    A line that one of the headers matches (the first that does) and whose time can be read starts a message; lines up to the next
+    belong to it. Header lines without a readable time are skipped, blank lines count for nothing. files: how many lines were
+    looked at, came before any message (unmatched), were skipped, and failed: more than MOST_UNMATCHED of the lines
+    unmatched, most likely since no header fits. messages (file, msg_id, sender, send_time, content) of the other files.
+    """
+    picked = lambda k: F.coalesce(*(F.when(F.col("line").rlike(h[0]), F.regexp_extract("line", h[0], h[k]) if h[k] else F.lit("")) for h in headers))
+    seen = lines.filter(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").select("file", "line_no", "line", picked(1).alias("time"), picked(2).alias("sender"), picked(3).alias("inline"))
+    timed = seen.withColumn("send_time", parse_time_ms(F.col("time")))
+    starts, skipped = F.col("send_time").isNotNull(), F.col("time").isNotNull() & F.col("send_time").isNull()
+    order = W.partitionBy("file").orderBy("line_no")
+    marked = timed.withColumn("kind", F.when(starts, "START").when(skipped, "SKIPPED").otherwise("MORE")).withColumn("msg_no", F.sum(starts.cast("int")).over(order))
+    files = marked.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count_if((F.col("kind") == "MORE") & (F.col("msg_no") == 0)).alias("unmatched"), F.count_if(F.col("kind") == "SKIPPED").alias("skipped"))
+    files = files.withColumn("failed", F.col("unmatched") / F.col("lines") > MOST_UNMATCHED)
+    body = F.when(F.col("kind") == "MORE", F.col("line")).when(F.trim("inline") != "", F.col("inline"))
+    held = marked.filter("msg_no > 0 AND kind <> 'SKIPPED'").groupBy("file", "msg_no").agg(F.max("send_time").alias("send_time"), F.max("sender").alias("sender"), F.array_sort(F.collect_list(F.when(body.isNotNull(), F.struct("line_no", body.alias("line"))))).alias("l"))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    messages = held.join(files.filter("NOT failed").select("file"), "file", "left_semi")
+    return messages.select("file", F.concat_ws("-", F.col("file").cast("string"), F.col("msg_no").cast("string")).alias("msg_id"), strip(F.coalesce("sender", F.lit(""))).alias("sender"), "send_time", strip(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("content")), files
+
+
+def mapped_columns(columns: list[str], candidates: dict[str, list[str]], required: tuple[str, ...] = ()) -> dict[str, str | None]:
+    """Of each standard column's candidate headers the first there, whatever its case and spaces. A required one without any is an error."""
+    key = lambda c: "".join(c.split()).lower()
+    have = {key(c): c for c in columns}
+    out = {name: next((have[key(o)] for o in options if key(o) in have), None) for name, options in candidates.items()}
+    if lacking := [name for name in required if out.get(name) is None]:
+        raise ValueError(f"no column for {', '.join(lacking)}")
+    return out
+
+
 def map_columns(raw: DataFrame, candidates: dict[str, list[str]]) -> DataFrame:
-    """raw with standard columns: of each one's candidate headers the first there, whatever its case and spaces. A required one without any is an error."""
-    have = {c.lower().replace(" ", ""): c for c in raw.columns}
-    out = {}
-    for name, options in candidates.items():
-        found = next((have[o.lower().replace(" ", "")] for o in options if o.lower().replace(" ", "") in have), None)
-        if found is None and name in ("content", "send_time"):
-            raise ValueError(f"no column for {name}")
-        out[name] = F.lit(None).cast("string") if found is None else F.col(f"`{found}`").cast("string")
-    return raw.select(*(v.alias(k) for k, v in out.items()))
+    """raw with standard columns, as mapped_columns finds them; content and send_time are required."""
+    found = mapped_columns(raw.columns, candidates, ("content", "send_time"))
+    return raw.select(*((F.lit(None).cast("string") if c is None else F.col(f"`{c}`").cast("string")).alias(name) for name, c in found.items()))
+
+
+def table_messages(raw: DataFrame, candidates: dict[str, list[str]], file: str = "file", row_no: str = "row_no") -> tuple[DataFrame, DataFrame]:
+    """(messages, skipped) of the rows of exported tables: raw has file, row_no (from 0) and the tables' own columns.
+
+    candidates: headers of session_id, session_name, msg_id, sender, is_self, send_time, msg_type and content, which alone is required.
+    Rows without any value are none. Voice and video messages and those without a readable time are left out; skipped counts them by
+    file. A message without a session is of NO_SESSION, one without an id gets its session's name and row number.
+    """
+    own = [c for c in raw.columns if c not in (file, row_no)]
+    found = mapped_columns(own, candidates, ("content",))
+    blank = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    value = lambda name: F.lit(None).cast("string") if found.get(name) is None else blank(F.col(f"`{found[name]}`").cast("string"))
+    some = F.coalesce(*(blank(F.col(f"`{c}`").cast("string")) for c in own)).isNotNull()
+    rows = raw.filter(some).select(F.col(file).alias("file"), F.col(row_no).alias("row_no"), *(value(n).alias(n) for n in ("session_id", "session_name", "msg_id", "sender", "is_self", "content")), message_type(value("msg_type")).alias("msg_type"), parse_time_ms(value("send_time")).alias("send_time"))
+    kept = ~F.col("msg_type").isin("voice", "video") & F.col("send_time").isNotNull()
+    skipped = rows.groupBy("file").agg(F.count_if(F.col("msg_type") == "voice").alias("voice"), F.count_if(F.col("msg_type") == "video").alias("video"), F.count_if(~F.col("msg_type").isin("voice", "video") & F.col("send_time").isNull()).alias("other"))
+    session = F.coalesce("session_id", F.lit(NO_SESSION))
+    messages = rows.filter(kept).select(
+        "file", session.alias("session_id"), F.coalesce("session_name", session).alias("session_name"), F.coalesce("msg_id", F.concat_ws("-", session, F.col("row_no").cast("string"))).alias("msg_id"),
+        F.coalesce("sender", F.lit("")).alias("sender"), truthy(F.col("is_self")).alias("is_self"), "send_time", "msg_type", F.coalesce("content", F.lit("")).alias("content"),
+    )
+    return messages, skipped
 
 
 def conversation_messages(conversations: DataFrame, spacing_ms: int = 60_000) -> DataFrame:

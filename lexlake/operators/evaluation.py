@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -204,18 +205,64 @@ def release_gate(m: DataFrame, points: float = 2.0, least_cases: int = 50, most_
     return m.withColumn("reason", reason).withColumn("decision", decision)
 
 
-def answer_gate(candidate: DataFrame, baseline: DataFrame, score_loss: float = 0.2, points: float = 5.0) -> DataFrame:
-    """PASS or BLOCK of answers on cases that both runs judged: mean score may lose score_loss, refusal accuracy points or one case."""
-    both = common_cases(candidate, baseline).filter(F.col("c.score").isNotNull() & F.col("b.score").isNotNull())
-    m = both.agg(*(F.avg(F.col(f"{s}.{c}").cast("double")).alias(f"{n}{c}") for s, n in (("c", ""), ("b", "base_")) for c in ("score", "refusal_correct")), F.count(F.lit(1)).alias("judged"))
-    worse = (F.col("score") - F.col("base_score") < -score_loss - SLACK) | (F.col("refusal_correct") - F.col("base_refusal_correct") < -epsilon(F.lit(points), F.col("judged")) - SLACK)
-    return m.withColumn("decision", F.when(F.col("judged") == 0, "LOG_ONLY").when(worse, "BLOCK").otherwise("PASS"))
+#: What answers are marked by, and what a gate compares of it beside refusals. Fixed values.
+ANSWER_MARKS = ("score", "correctness", "faithfulness", "completeness", "citation_correctness", "citation_completeness")
+#: Marks that a first release may be held to, as min_ columns. Fixed values.
+HELD_TO = ("score", "faithfulness", "citation_correctness", "refusal_accuracy")
 
 
-def comparable(runs: DataFrame) -> DataFrame:
-    """One row: whether all runs share dataset revision, corpus fingerprint, judge and mode."""
+def answer_comparison(candidate: DataFrame, baseline: DataFrame | None) -> DataFrame:
+    """One row: means of both runs' answers over the cases that count, how many (cases), judgements that failed, degraded cases, has_baseline.
+
+    Runs have (case_id, seq, requested, judged, degraded, refusal_correct) and ANSWER_MARKS. Of a run's requested answers the first of
+    a case (by seq) counts. With a baseline those cases count that both runs judged, and a case that both asked for and either
+    failed to judge is a failure; without one (None, or a run without rows) the candidate's own. A null mark counts 0, a null
+    refusal_correct as wrong; without cases all means are 0. Base means are null without a baseline.
+    """
+    marks = [F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in ANSWER_MARKS]
+    slim = F.struct(*marks, F.coalesce(F.col("refusal_correct"), F.lit(False)).cast("double").alias("refusal_accuracy"), F.coalesce("judged", F.lit(False)).alias("judged"), F.coalesce("degraded", F.lit(False)).alias("degraded"))
+
+    def first(run: DataFrame, side: str) -> DataFrame:
+        return run.filter("requested AND case_id IS NOT NULL").groupBy("case_id").agg(F.min_by(slim, "seq").alias(side))
+
+    compared = baseline is not None and not baseline.isEmpty()
+    both = first(candidate, "c").join(first(baseline, "b"), "case_id") if compared else first(candidate, "c")
+    sides = ("c", "b") if compared else ("c",)
+    counts = functools.reduce(lambda x, y: x & y, (F.col(f"{x}.judged") for x in sides))
+    # Without a baseline all requested cases are looked at for degradation, judged or not.
+    bad = functools.reduce(lambda x, y: x | y, (F.col(f"{x}.degraded") for x in sides))
+    mean = lambda x, m: F.coalesce(F.avg(F.when(counts, F.col(f"{x}.{m}"))), F.lit(0.0))
+    names = (*ANSWER_MARKS, "refusal_accuracy")
+    base = [mean("b", m).alias(f"base_{m}") if compared else F.max(F.lit(None).cast("double")).alias(f"base_{m}") for m in names]
+    return both.agg(*(mean("c", m).alias(m) for m in names), *base, F.count_if(counts).alias("cases"), F.count_if(~counts).alias("failed"), F.count_if(bad & counts if compared else bad).alias("degraded"), F.lit(compared).alias("has_baseline"))
+
+
+def answer_gate(m: DataFrame, least_cases: int = 50, score_loss: float = 0.2, points: float = 5.0) -> DataFrame:
+    """Decision and reason for rows of answer_comparison with available (whether answers were judged at all) and min_ columns of HELD_TO (null: not held).
+
+    LOG_ONLY where the numbers can't be trusted; else PASSED or BLOCKED: against a baseline no mark may lose more than score_loss, nor
+    refusal accuracy more than points of a hundred or one case; a first release is held to the thresholds that are set, and without
+    any becomes the baseline.
+    """
+    worse = functools.reduce(lambda x, y: x | y, (F.col(x) - F.col(f"base_{x}") < -max(0.0, score_loss) - SLACK for x in ANSWER_MARKS))
+    worse = F.coalesce(worse | (F.col("refusal_accuracy") - F.col("base_refusal_accuracy") < -epsilon(F.lit(points), F.col("cases")) - SLACK), F.lit(False))
+    unset = functools.reduce(lambda x, y: x & y, (F.col(f"min_{x}").isNull() for x in HELD_TO))
+    below = functools.reduce(lambda x, y: x | y, (F.coalesce(F.col(x) + SLACK < F.col(f"min_{x}"), F.lit(False)) for x in HELD_TO))
+    reason = (
+        F.when(~F.col("available"), "ANSWER_EVAL_UNAVAILABLE").when(F.col("failed") > 0, "ANSWER_JUDGE_FAILED").when(F.col("cases") < least_cases, "ANSWER_INSUFFICIENT_CASES").when(F.col("degraded") > 0, "DEGRADED_CASES")
+        .when(~F.col("has_baseline") & unset, "ANSWER_BASELINE_RECORDED").when(~F.col("has_baseline") & below, "ANSWER_ABSOLUTE_THRESHOLD_NOT_MET").when(~F.col("has_baseline"), "ANSWER_ABSOLUTE_THRESHOLD_MET")
+        .when(worse, "ANSWER_METRICS_REGRESSED").otherwise("ANSWER_WITHIN_TOLERANCE")
+    )
+    blocked = F.col("reason").isin("ANSWER_ABSOLUTE_THRESHOLD_NOT_MET", "ANSWER_METRICS_REGRESSED")
+    passed = F.col("reason").isin("ANSWER_BASELINE_RECORDED", "ANSWER_ABSOLUTE_THRESHOLD_MET", "ANSWER_WITHIN_TOLERANCE")
+    return m.withColumn("reason", reason).withColumn("decision", F.when(blocked, "BLOCKED").when(passed, "PASSED").otherwise("LOG_ONLY"))
+
+
+def comparable(runs: DataFrame, *by: str) -> DataFrame:
+    """Whether all runs (of a group) share dataset revision, corpus fingerprint, judge and mode."""
     keys = ("dataset_revision", "corpus_fingerprint", "judge_model", "answer_enabled")
-    return runs.agg(F.max(F.lit(0)).alias("z"), *(F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in keys)).select((sum((F.col(c) for c in keys), F.lit(0)) == len(keys)).alias("comparable"))
+    counts = runs.groupBy(*by).agg(*(F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"__{c}") for c in keys))
+    return counts.select(*by, (sum((F.col(f"__{c}") for c in keys), F.lit(0)) == len(keys)).alias("comparable"))
 
 
 def call_estimate(cases: DataFrame, configs: DataFrame) -> DataFrame:
@@ -246,6 +293,22 @@ def corpus_fingerprint(versions: DataFrame, model: str, etags: list[str]) -> Dat
     return ids.repartition(1).sortWithinPartitions("version_id").mapInArrow(digest, "fingerprint string")
 
 
+def feedback_cases(feedback: DataFrame, chunks: DataFrame, dataset_id: str) -> tuple[DataFrame, DataFrame]:
+    """(cases with their evidence, feedback after it) of feedback (feedback_id, status, verdict, query, chunk_id) and chunks (chunk_id, doc_id, content, chunk_type).
+
+    New feedback that isn't BAD becomes a case of its query, if its chunk is there: anchored to the chunk's document for an image, else
+    to its text. status becomes CONVERTED with the case's id; refused says why else: NOT_NEW, BAD, or NO_CHUNK. A case's id follows
+    from the feedback's, so a second attempt makes no second case.
+    """
+    known = chunks.select("chunk_id", "doc_id", "content", "chunk_type", F.lit(True).alias("__there")).dropDuplicates(["chunk_id"])
+    both = feedback.join(known, "chunk_id", "left")
+    refused = F.when(~F.coalesce(F.col("status") == "NEW", F.lit(False)), "NOT_NEW").when(F.coalesce(F.col("verdict") == "BAD", F.lit(False)), "BAD").when(F.col("__there").isNull(), "NO_CHUNK")
+    judged = both.withColumn("refused", refused).withColumn("case_id", F.when(F.col("refused").isNull(), F.concat(F.lit("case_"), F.substring(F.sha2(F.concat_ws("|", F.lit(dataset_id), F.col("feedback_id").cast("string")), 256), 1, 24))))
+    anchor = F.when(F.col("chunk_type") == "IMAGE", "DOCUMENT").otherwise("SPAN")
+    cases = judged.filter("case_id IS NOT NULL").select("case_id", F.lit(dataset_id).alias("dataset_id"), "query", anchor.alias("anchor_type"), "doc_id", F.when(anchor == "SPAN", F.col("content")).alias("span"), F.lit("FEEDBACK").alias("source"))
+    return cases, judged.select("feedback_id", F.when(F.col("case_id").isNotNull(), "CONVERTED").otherwise(F.col("status")).alias("status"), "case_id", "refused")
+
+
 def evidence_coverage(evidence: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
     """The most chunks of an evidence's document and version that cover its span best.
 

@@ -167,8 +167,14 @@ def top_n(units: DataFrame, n: int | None, default: int = 5, most: int = 20) ->
     return units.filter(F.col("position") <= n)
 
 
-def content_budget(units: DataFrame, budget: int, length: Column) -> DataFrame:
-    """The longest prefix by position whose lengths sum to budget at most, and the first unit in any case."""
+def content_budget(units: DataFrame, budget: int | None, length: Column) -> DataFrame:
+    """The longest prefix by position whose lengths sum to budget at most, and the first unit in any case; all without a positive budget.
+
+    A null length counts 0.
+    """
+    if budget is None or budget <= 0:
+        return units
+    length = F.coalesce(length, F.lit(0))
     order = _over("query_id").orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
     summed = units.withColumns({"__sum": F.sum(length).over(order), "__first": F.min("position").over(_over("query_id"))})
     return summed.filter((F.col("__sum") <= budget) | (F.col("position") == F.col("__first"))).drop("__sum", "__first")

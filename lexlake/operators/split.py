@@ -14,6 +14,8 @@ _CJK = re.compile(f"[{CJK}]")
 #: Ends of segments, kept with them. Fixed values.
 _SEGMENT = re.compile(r"[^\n.!?;。！？；]*[\n.!?;。！？；]|[^\n.!?;。！？；]+")
 _LOW = "".join(map(chr, range(0x21)))
+#: What packed blocks are joined by. Fixed value.
+JOINER = "\n"
 Span = tuple[int, int]
 
 
@@ -78,67 +80,72 @@ def _trimmed(text: str, spans: list[Span]) -> list[Span]:
     return out
 
 
-def pack_blocks(text: str, blocks: list[Span], most: int) -> list[Span]:
-    """Blocks in a row joined while they fit; one that is too large is split by segments."""
-    out: list[Span] = []
-    held: Span | None = None
-    for a, b in _trimmed(text, blocks):
-        if held and estimate(text[held[0] : held[1]]) + estimate(text[a:b]) <= most:
-            held = held[0], b
-            continue
-        if held:
-            out.append(held)
-        held = None
-        if estimate(text[a:b]) > most:
-            out += [(a + x, a + y) for x, y in fixed_spans(text[a:b], most)]
-        else:
-            held = a, b
-    return out + ([held] if held else [])
+Piece = tuple[int | None, int | None, str]
+
 
+def fixed_pieces(text: str, most: int, overlap: int = 0) -> list[Piece]:
+    return [(a, b, text[a:b]) for a, b in fixed_spans(text, most, overlap)]
 
-def _between(text: str, cuts: list[Span]) -> list[Span]:
-    edges = [0, *(x for c in cuts for x in c), len(text)]
-    return list(zip(edges[::2], edges[1::2], strict=True))
+
+def packed(blocks: list[str], most: int, overlap: int = 0) -> list[str]:
+    """Blocks in a row joined by JOINER while their tokens fit together; one that is too large is split by segments, with overlap. Blank blocks are none."""
+    out: list[str] = []
+    held: list[str] = []
+    room = most
+    for block in (b for b in blocks if b.strip()):
+        n = estimate(block)
+        if held and n > room:
+            out.append(JOINER.join(held).strip(_LOW))
+            held, room = [], most
+        if n > most:
+            out += [block[a:b] for a, b in fixed_spans(block, most, overlap)]
+        else:
+            held.append(block)
+            room -= n
+    return [*out, JOINER.join(held).strip(_LOW)] if held else out
 
 
-def separator_spans(text: str, most: int, separator: str = "\n\n", is_regex: bool = False) -> list[Span]:
-    """Blocks between separators, packed. A pattern that doesn't compile is taken literally."""
+def separator_pieces(text: str, most: int, overlap: int = 0, separator: str = "\n\n", is_regex: bool = False) -> list[Piece]:
+    """What stands between separators, packed. A pattern that doesn't compile is taken literally. Packed chunks have no offsets."""
     try:
         pattern = re.compile(separator if is_regex else re.escape(separator))
     except re.error:
         pattern = re.compile(re.escape(separator))
-    return pack_blocks(text, _between(text, [m.span() for m in pattern.finditer(text) if m.end() > m.start()]), most)
+    edges = [0, *(x for m in pattern.finditer(text) if m.end() > m.start() for x in m.span()), len(text)]
+    return [(None, None, c) for c in packed([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)], most, overlap)]
 
 
-def heading_spans(text: str, most: int, level: int = 2) -> list[Span]:
-    """Blocks that begin at headings up to a level, packed; by segments without a heading."""
-    starts = [m.start() for m in re.finditer(rf"(?m)^#{{1,{max(1, min(level, 6))}}}\s", text)]
+def heading_pieces(text: str, most: int, overlap: int = 0, level: int = 2) -> list[Piece]:
+    """Blocks that begin at headings up to a level (2 if it isn't one of 1 to 6), packed; by segments without a heading."""
+    starts = [m.start() for m in re.finditer(rf"(?m)^#{{1,{level if 1 <= level <= 6 else 2}}}[ \t\x0b\f\r]", text)]
     if not starts:
-        return fixed_spans(text, most)
-    edges = sorted({0, *starts, len(text)})
-    return pack_blocks(text, list(zip(edges[:-1], edges[1:], strict=True)), most)
+        return fixed_pieces(text, most, overlap)
+    edges = sorted({0, *starts, len(text) + 1})
+    return [(None, None, c) for c in packed([text[a : b - 1] for a, b in zip(edges[:-1], edges[1:], strict=True)], most, overlap)]
 
 
 def parent_child_spans(text: str, parent: int, child: int, overlap: int = 0) -> list[tuple[Span, list[Span]]]:
-    """Parents without overlap, each with its children in the document's offsets."""
+    """Parents without overlap, each with its children in the document's offsets, which name exactly their text. A child may not be larger than a parent."""
+    if child > parent:
+        raise ValueError("a child has no more tokens than its parent")
     out = []
     for a, b in fixed_spans(text, parent):
         out.append(((a, b), [(a + x, a + y) for x, y in fixed_spans(text[a:b], child, overlap)]))
     return out
 
 
-STRATEGIES: dict[str, Callable[..., list[Span]]] = {"fixed": fixed_spans, "separator": separator_spans, "heading": heading_spans}
+STRATEGIES: dict[str, Callable[..., list[Piece]]] = {"fixed": fixed_pieces, "separator": separator_pieces, "heading": heading_pieces}
 
 
 def split_documents(docs: DataFrame, strategy: str = "fixed", most: int = 512, **options) -> DataFrame:
-    """Chunks (doc_id, seq, start, stop, content, tokens) of docs (doc_id, text). Null texts have none. No shuffle."""
+    """Chunks (doc_id, seq, start, stop, content, tokens) of docs (doc_id, text). Null texts have none; packed chunks have no offsets. No shuffle."""
     split = STRATEGIES[strategy]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(d, k, a, b, t[a:b], estimate(t[a:b])) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) if t for k, (a, b) in enumerate(split(t, most, **options))]
-            yield pd.DataFrame(rows, columns=["doc_id", "seq", "start", "stop", "content", "tokens"])
+            rows = [(d, k, a, b, c, estimate(c)) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) if t and t.strip() for k, (a, b, c) in enumerate(split(t, most, **options))]
+            yield pd.DataFrame(rows, columns=["doc_id", "seq", "start", "stop", "content", "tokens"]).astype({"start": "Int32", "stop": "Int32"})
 
     return docs.select("doc_id", "text").mapInPandas(chunks, f"doc_id {kind}, seq int, start int, stop int, content string, tokens int")
 
@@ -168,7 +175,7 @@ def split_pages(pages: DataFrame, most: int = 512) -> DataFrame:
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(d, p, k, t[a:b]) for d, p, t in zip(pdf["doc_id"], pdf["page_no"], pdf["text"], strict=True) if t for k, (a, b) in enumerate(pack_blocks(t, [(0, len(t))], most))]
+            rows = [(d, p, k, c) for d, p, t in zip(pdf["doc_id"], pdf["page_no"], pdf["text"], strict=True) if t for k, c in enumerate(packed([t], most))]
             yield pd.DataFrame(rows, columns=["doc_id", "page_no", "part", "content"])
 
     return pages.select("doc_id", "page_no", "text").mapInPandas(chunks, f"doc_id {kind}, page_no int, part int, content string")

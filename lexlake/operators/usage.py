@@ -125,6 +125,16 @@ def stuck(rows: DataFrame, now: Column, minutes: int = 120) -> DataFrame:
     return rows.filter(F.col("status").isin("PENDING", "RUNNING") & (F.col("updated_at") < now - F.make_dt_interval(mins=F.lit(minutes))))
 
 
+def listed(rows: DataFrame, equal: dict | None = None, ranges: dict | None = None) -> DataFrame:
+    """Rows by equality and by (from, to) of columns, both ends included. A value or end that is None asks for nothing."""
+    for name, value in (equal or {}).items():
+        rows = rows if value is None else rows.filter(F.col(name) == value)
+    for name, (low, high) in (ranges or {}).items():
+        rows = rows if low is None else rows.filter(F.col(name) >= low)
+        rows = rows if high is None else rows.filter(F.col(name) <= high)
+    return rows
+
+
 def page(rows: DataFrame, number: int, size: int, key: str = "id") -> DataFrame:
     """A page (from 1) of rows by descending key."""
     return rows.orderBy(F.col(key).desc()).offset((number - 1) * size).limit(size)
@@ -138,6 +148,13 @@ def locked_out(logins: DataFrame, now: Column, minutes: int = 15, most: int = 5)
     return failed.filter(F.col("last_ok").isNull() | (F.col("at") > F.col("last_ok"))).groupBy("user_id").agg(F.count(F.lit(1)).alias("failures")).filter(F.col("failures") >= most)
 
 
+def locked_addresses(logins: DataFrame, now: Column, minutes: int = 15, most: int = 5) -> DataFrame:
+    """Addresses (ip) with so many failures in the last minutes, of whatever users; a success in between resets nothing."""
+    recent = (F.col("at") > now - F.make_dt_interval(mins=F.lit(minutes))) & (F.col("at") <= now)
+    failed = logins.filter(recent & ~F.col("ok") & F.col("ip").isNotNull() & ~F.coalesce(F.col("reason") == "DIRECTORY_UNAVAILABLE", F.lit(False)))
+    return failed.groupBy("ip").agg(F.count(F.lit(1)).alias("failures")).filter(F.col("failures") >= most)
+
+
 def write_archive(old: DataFrame, path: str) -> None:
     """Rows as gzip-compressed JSON lines."""
     old.write.option("compression", "gzip").mode("append").json(path)

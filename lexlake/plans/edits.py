@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexlake.operators import edits, governance, keyed
+from lexlake.operators import edits, governance, keyed, semantic
 from lexlake.plans.registry import query, view
-from lexlake.sources import chat_pages
+from lexlake.sources import chat_pages, images
 from lexlake.storage import scratch_path
 
 #: Documents as chunks of twenty to a version: every fifth is the parent of the four after it, some name a parent that isn't there.
@@ -141,3 +141,37 @@ def chat_page_messages(spark, sf_dir):
 @query(f"SELECT conv_id AS session_id, count(*) FILTER (WHERE k = 0) AS voice, count(*) FILTER (WHERE k = 1) AS video, count(*) FILTER (WHERE k > 1 AND NOT timed) AS other, false AS failed FROM ({_TIMED}) GROUP BY 1")
 def chat_page_skips(spark, sf_dir):
     return _chat_pages(spark, sf_dir).select("session_id", "skipped.*", "failed")
+
+
+_IMAGE = "SELECT page_id, i, concat('image-', CAST((page_id * i) % 3 AS STRING), repeat('x', CASE WHEN (page_id + i) % 4 = 0 THEN 30 ELSE 0 END)) AS body FROM {pages} JOIN (VALUES (0), (1), (2), (3), (4)) AS t(i) ON i < page_id % 6"
+_JUDGED = f"""f AS (SELECT page_id, body, min(i) AS place FROM ({_IMAGE}) GROUP BY 1, 2), b AS (SELECT *, length(body) <= 20 AS fits, coalesce(sum((length(body) <= 20)::INT) OVER (PARTITION BY page_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)"""
+
+
+def _images(spark, sf_dir):
+    """Pages with up to five images as data in them, some alike and some too large; two are kept at most, of 20 bytes at most."""
+    pages = view(spark, sf_dir, "pages")
+    uri = F.concat(F.lit('<img src="data:image/png;base64,'), F.base64(F.encode(F.col("body"), "utf-8")), F.lit('">'))
+    held = spark.sql(_IMAGE, pages=pages).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", uri.alias("u")))), lambda x: x["u"]), "\n").alias("u"))
+    files = pages.join(held, "page_id", "left").select(F.col("page_id").alias("path"), F.lit("html").alias("kind"), F.encode(F.concat(F.coalesce("html", F.lit("")), F.coalesce("u", F.lit(""))), "utf-8").alias("content"))
+    return images.collect_images(images.list_images(files), 2, 20)
+
+
+@query(f"WITH {_JUDGED} SELECT page_id, place, concat('img_', before + 1) AS image_id, 'image/png' AS media_type, length(body) AS size, sha256(body) AS sha256, md5(body) AS content FROM b WHERE fits AND before < 2")
+def image_assets(spark, sf_dir):
+    return _images(spark, sf_dir)[0].withColumnRenamed("path", "page_id").withColumn("content", F.md5("content"))
+
+
+@query(f"WITH {_JUDGED} SELECT page_id, place, CASE WHEN before >= 2 THEN 'IMAGE_COUNT' ELSE 'IMAGE_BYTES' END AS reason FROM b WHERE before >= 2 OR NOT fits")
+def image_warnings(spark, sf_dir):
+    return _images(spark, sf_dir)[1].withColumnRenamed("path", "page_id")
+
+
+@query()
+def split_semantic(spark, sf_dir):
+    """Documents cut by answers of which some are of no use, by document and window."""
+    docs = view(spark, sf_dir, "documents")
+    kind = F.expr("pmod(doc_id + window_no, 5)")
+    cut = F.col("shared") + F.expr("(units - shared) div 2")
+    answer = F.when(kind == 0, F.concat(F.lit('{"cuts": ['), cut.cast("string"), F.lit("]}"))).when(kind == 1, '{"cuts": [5, 2]}').when(kind == 3, '```json\n{"cuts": [], "chunks": [{"title": "t"}]}\n```').when(kind == 4, "no")
+    answers = semantic.semantic_windows(docs, 64).select("doc_id", "window_no", answer.alias("answer")).filter("answer IS NOT NULL")
+    return semantic.split_semantic(docs, answers, 64).select("doc_id", "seq", "start", "stop", "tokens", "by_model", "title", F.md5("content").alias("content"))

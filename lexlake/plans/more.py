@@ -114,6 +114,51 @@ def chat_columns(spark, sf_dir):
     return mapped.select("msg_id", "sender", "content", F.col("send_time").isNotNull().alias("timed"))
 
 
+#: Exports of a conversation each: every ninth begins with more lines than it has messages' own, so that it fails.
+_TXT = """SELECT conv_id AS file, turn, role, concat('line ', CAST(turn AS STRING)) AS body, (conv_id + turn) % 6 AS k FROM {conversations}"""
+
+
+def _txt(spark, sf_dir):
+    t = spark.sql(_TXT, conversations=view(spark, sf_dir, "conversations"))
+    time = F.date_format(F.timestamp_millis(F.lit(1704067200000) + F.col("turn") * 60_000), "yyyy-MM-dd HH:mm:ss")
+    head = F.when(F.col("k") < 3, F.concat(time, F.lit(" "), "role")).when(F.col("k") < 5, F.concat("role", F.lit(" ("), time, F.lit("): now "))).otherwise(F.concat(F.lit("2024-99-99 00:00:00 "), "role"))
+    junk = F.when(F.expr("turn = 0 AND file % 9 = 0"), F.array_repeat(F.lit("junk"), 500)).when(F.expr("turn = 0 AND file % 4 = 0"), F.array(F.lit("export"))).otherwise(F.array().cast("array<string>"))
+    lines = t.select("file", "turn", F.posexplode(F.concat(junk, F.array(head, F.lit(" "), F.col("body"), F.lit("more ")))).alias("n", "line"))
+    return chat.txt_sessions(lines.select("file", (F.col("turn") * 1000 + F.col("n")).alias("line_no"), "line"))
+
+
+_LINES = f"""WITH t AS ({_TXT}), m AS (SELECT *, sum((k < 5)::INT) OVER (PARTITION BY file ORDER BY turn) AS msg_no FROM t),
+f AS (SELECT file, count(*) * 3 + CASE WHEN file % 9 = 0 THEN 500 WHEN file % 4 = 0 THEN 1 ELSE 0 END AS lines, 2 * count(*) FILTER (WHERE msg_no = 0) + CASE WHEN file % 9 = 0 THEN 500 WHEN file % 4 = 0 THEN 1 ELSE 0 END AS unmatched,
+count(*) FILTER (WHERE k = 5) AS skipped, unmatched / lines > 0.3 AS failed FROM m GROUP BY file)"""
+
+
+@query(f"""{_LINES} SELECT file, concat(file, '-', msg_no) AS msg_id, arg_min(role, turn) AS sender, 1704067200000 + min(turn) * 60000 AS send_time,
+trim(string_agg(CASE WHEN k IN (3, 4) THEN concat(' now ', chr(10)) ELSE '' END || body || chr(10) || 'more ', chr(10) ORDER BY turn)) AS content FROM m WHERE msg_no > 0 AND file IN (SELECT file FROM f WHERE NOT failed) GROUP BY file, msg_no""")
+def chat_txt_messages(spark, sf_dir):
+    return _txt(spark, sf_dir)[0]
+
+
+@query(f"{_LINES} SELECT * FROM f")
+def chat_txt_files(spark, sf_dir):
+    return _txt(spark, sf_dir)[1]
+
+
+_TABLE = """SELECT user_id % 50 AS file, event_id AS row_no, CASE WHEN event_id % 5 > 0 THEN concat(' s', CAST(event_id % 3 AS STRING)) END AS `Session`, CASE WHEN event_id % 4 = 0 THEN CAST(event_id AS STRING) ELSE ' ' END AS `Msg Id`,
+    CASE WHEN event_id % 29 > 0 THEN event_type END AS `TEXT`, CASE event_id % 7 WHEN 0 THEN 'voice' WHEN 1 THEN '43' WHEN 2 THEN ' Image ' WHEN 3 THEN '' ELSE 'text' END AS `type`, CASE WHEN event_id % 11 > 0 THEN CAST(1700000000 + event_id AS STRING) ELSE 'x' END AS `time`, 'yes' AS `Is Self` FROM {events}"""
+_TABLE_COLUMNS = {"session_id": ["session"], "session_name": ["room"], "msg_id": ["id", "msgid"], "sender": ["from"], "is_self": ["isself"], "send_time": ["time"], "msg_type": ["type"], "content": ["text"]}
+
+
+@query("""SELECT user_id % 50 AS file, CASE WHEN event_id % 5 > 0 THEN concat('s', event_id % 3) ELSE 'default' END AS session_id, session_id AS session_name, CASE WHEN event_id % 4 = 0 THEN event_id::VARCHAR ELSE concat(session_id, '-', event_id) END AS msg_id,
+'' AS sender, true AS is_self, 1000 * (1700000000 + event_id) AS send_time, CASE WHEN event_id % 7 = 2 THEN 'image' ELSE 'text' END AS msg_type, CASE WHEN event_id % 29 > 0 THEN event_type ELSE '' END AS content FROM events WHERE event_id % 7 > 1 AND event_id % 11 > 0""")
+def chat_table_messages(spark, sf_dir):
+    return chat.table_messages(spark.sql(_TABLE, events=view(spark, sf_dir, "events")), _TABLE_COLUMNS)[0]
+
+
+@query("SELECT user_id % 50 AS file, count(*) FILTER (WHERE event_id % 7 = 0) AS voice, count(*) FILTER (WHERE event_id % 7 = 1) AS video, count(*) FILTER (WHERE event_id % 7 > 1 AND event_id % 11 = 0) AS other FROM events GROUP BY 1")
+def chat_table_skips(spark, sf_dir):
+    return chat.table_messages(spark.sql(_TABLE, events=view(spark, sf_dir, "events")), _TABLE_COLUMNS)[1]
+
+
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
 def grouping_sets(spark, sf_dir):
     view(spark, sf_dir, "orders").createOrReplaceTempView("lexlake_orders")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.operators import fusion, graph, recall
+from lexlake.operators import access, fusion, graph, recall
 from lexlake.plans.registry import query, view
 
 TERMS = "the and tion"
@@ -97,6 +97,15 @@ def kb_quota(spark, sf_dir):
     return fusion.kb_quota(bases, 50, "request").select("decl_order", "quota")
 
 
+@query(f"""WITH r AS ({_RANK}), f AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS s, max(score) FILTER (WHERE route = 'VECTOR') AS vs, max(rank) FILTER (WHERE route = 'VECTOR') AS vr, max(score) FILTER (WHERE route = 'BM25') AS bs, max(rank) FILTER (WHERE route = 'BM25') AS br FROM r GROUP BY 1, 2)
+SELECT query_id, chunk_id, round(s, 6) AS fused_score, round(vs, 6) AS vector_score, vr::DOUBLE AS vector_rank, round(bs, 6) AS bm25_score, br::DOUBLE AS bm25_rank, 1 + (vs IS NOT NULL)::INT * 2 + (bs IS NOT NULL)::INT * 2 AS keys FROM f""")
+def hit_scores(spark, sf_dir):
+    """What is said of each hit's scores: those of the routes that found it."""
+    fused = fusion.rrf(view(spark, sf_dir, "route"))
+    said = fused.select("query_id", "chunk_id", access.score_metadata(fused).alias("m"))
+    return said.select("query_id", "chunk_id", *(F.col("m")[k].alias(k) for k in ("fused_score", "vector_score", "vector_rank", "bm25_score", "bm25_rank")), F.size("m").alias("keys"))
+
+
 #: Requests to which one, two or three bases contribute.
 _SOME = "SELECT query_id, CASE WHEN query_id % 5 = 3 THEN 'kb1' WHEN query_id % 5 = 4 AND kb_id = 'kb1' THEN 'kb2' ELSE kb_id END AS kb_id, chunk_id, fused_score FROM {ranked}"
 

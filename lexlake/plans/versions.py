@@ -225,17 +225,52 @@ def release_gate(spark, sf_dir):
     return ev.release_gate(gates.join(F.broadcast(m))).select("gate", "reason", "decision")
 
 
-@query("""WITH j AS (SELECT c.score, c.refusal_correct, b.score % 4 + 1 AS bs, b.refusal_correct AS br FROM {case} c JOIN {case} b USING (case_id) WHERE c.seq % 5 NOT IN (1, 2) AND c.score IS NOT NULL AND b.score IS NOT NULL),
-m AS (SELECT avg(score) AS s, avg(refusal_correct::INT) AS r, avg(bs) AS b, avg(br::INT) AS q, count(*) AS n FROM j)
-SELECT round(s, 6) AS score, round(r, 6) AS refusal_correct, round(b, 6) AS base_score, round(q, 6) AS base_refusal_correct, n AS judged, CASE WHEN s - b < -0.2 - 1e-9 OR r - q < -greatest(0.05, 1.0 / n) - 1e-9 THEN 'BLOCK' ELSE 'PASS' END AS decision FROM m""")
+#: Answers of two runs over cases: some not asked for, some of which the judgement failed; in the second group of gates none did.
+_ANSWERS = """SELECT case_id, seq, requested, score IS NOT NULL AS judged, seq % 31 = 0 AS degraded, refusal_correct, CAST(score AS DOUBLE) AS score, CAST(correctness AS DOUBLE) AS correctness, CAST(faithfulness AS DOUBLE) AS faithfulness,
+    CAST(completeness AS DOUBLE) AS completeness, CAST(seq % 7 AS DOUBLE) AS citation_correctness, CAST(seq % 3 AS DOUBLE) AS citation_completeness FROM {case}"""
+#: Kinds of gates: nothing judged, failed judgements, too few cases, degraded ones; first releases without thresholds, above and below them; a baseline that is no better, one that is.
+_AGATES = ("unavailable", "failed", "few", "degraded", "recorded", "met", "missed", "same", "worse", "refusals")
+_AFILTER = {"failed": "TRUE", "few": "judged AND NOT degraded AND seq < 200", "degraded": "judged"}
+_ABASE = {"same": "score", "worse": "score + CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END", "refusals": "score"}
+
+
+def _answer_gate_sql() -> str:
+    marks = ("score", "correctness", "faithfulness", "completeness", "citation_correctness", "citation_completeness")
+    parts = []
+    for g in _AGATES:
+        kept, base = _AFILTER.get(g, "judged AND NOT degraded"), _ABASE.get(g)
+        worse = f"(SELECT avg(CASE WHEN judged THEN {base} END) FROM k)" if base else "NULL"
+        refusals = "(SELECT avg(CASE WHEN judged THEN 1 END) FROM k)" if g == "refusals" else "refusal_accuracy"
+        parts.append(f"""SELECT '{g}' AS gate, * FROM (WITH k AS (SELECT * FROM a WHERE requested AND {kept}) SELECT {', '.join(f"coalesce(avg(CASE WHEN judged THEN {m} END), 0) AS {m}" for m in marks)}, coalesce(avg(CASE WHEN judged THEN refusal_correct::INT END), 0) AS refusal_accuracy,
+        {worse} AS base_score, {refusals} AS base_refusal, count(*) FILTER (WHERE judged) AS cases, count(*) FILTER (WHERE NOT judged) AS failed, count(*) FILTER (WHERE degraded) AS degraded FROM k)""")
+    return f"""WITH a AS ({_ANSWERS}), g AS ({' UNION ALL '.join(parts)}),
+    r AS (SELECT gate, cases, round(score, 6) AS score, round(citation_correctness, 6) AS citation_correctness, CASE WHEN gate = 'unavailable' THEN 'ANSWER_EVAL_UNAVAILABLE' WHEN failed > 0 THEN 'ANSWER_JUDGE_FAILED' WHEN cases < 50 THEN 'ANSWER_INSUFFICIENT_CASES' WHEN degraded > 0 THEN 'DEGRADED_CASES'
+    WHEN gate = 'recorded' THEN 'ANSWER_BASELINE_RECORDED' WHEN gate = 'met' THEN CASE WHEN score + 1e-9 >= 1 AND citation_correctness + 1e-9 >= 0.5 THEN 'ANSWER_ABSOLUTE_THRESHOLD_MET' END WHEN gate = 'missed' THEN CASE WHEN faithfulness + 1e-9 < 3.9 THEN 'ANSWER_ABSOLUTE_THRESHOLD_NOT_MET' END
+    WHEN score - base_score < -0.2 - 1e-9 OR refusal_accuracy - base_refusal < -greatest(0.05, 1.0 / cases) - 1e-9 THEN 'ANSWER_METRICS_REGRESSED' ELSE 'ANSWER_WITHIN_TOLERANCE' END AS reason FROM g)
+    SELECT *, CASE WHEN reason IN ('ANSWER_ABSOLUTE_THRESHOLD_NOT_MET', 'ANSWER_METRICS_REGRESSED') THEN 'BLOCKED' WHEN reason IN ('ANSWER_BASELINE_RECORDED', 'ANSWER_ABSOLUTE_THRESHOLD_MET', 'ANSWER_WITHIN_TOLERANCE') THEN 'PASSED' ELSE 'LOG_ONLY' END AS decision FROM r"""
+
+
+@query(_answer_gate_sql())
 def answer_gate(spark, sf_dir):
-    return ev.answer_gate(*_runs(spark, sf_dir))
+    """Every reason of the answer gate, over all cases."""
+    answers = spark.sql(_ANSWERS, case=view(spark, sf_dir, "case"))
+    out = None
+    for g in _AGATES:
+        run = answers.filter(_AFILTER.get(g, "judged AND NOT degraded"))
+        base = run.withColumn("score", F.expr(_ABASE[g])).withColumn("refusal_correct", F.lit(True) if g == "refusals" else F.col("refusal_correct")) if g in _ABASE else None
+        held = {"min_score": 1.0 if g == "met" else None, "min_faithfulness": 3.9 if g == "missed" else None, "min_citation_correctness": 0.5 if g == "met" else None, "min_refusal_accuracy": None}
+        m = ev.answer_comparison(run, base).withColumns({k: F.lit(x).cast("double") for k, x in held.items()} | {"gate": F.lit(g), "available": F.lit(g != "unavailable")})
+        out = m if out is None else out.unionByName(m)
+    return ev.answer_gate(out).select("gate", "cases", "score", "citation_correctness", "reason", "decision")
 
 
-@query("SELECT true AS comparable")
+_RUN_PAIRS = "SELECT o_custkey AS pair, o_orderkey AS run, concat('r', CAST(o_orderkey % 2 AS STRING)) AS dataset_revision, CASE WHEN o_orderkey % 5 > 0 THEN 'f' ELSE 'g' END AS corpus_fingerprint, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS judge_model, o_orderkey % 7 > 0 AS answer_enabled FROM {orders}"
+
+
+@query(f"""WITH d AS (SELECT pair, count(DISTINCT dataset_revision) AS a, count(DISTINCT corpus_fingerprint) AS b, count(DISTINCT coalesce(judge_model, '')) AS c, count(DISTINCT answer_enabled) AS e FROM ({_RUN_PAIRS}) GROUP BY 1) SELECT pair, a = 1 AND b = 1 AND c = 1 AND e = 1 AS comparable FROM d""")
 def run_comparability(spark, sf_dir):
-    runs = view(spark, sf_dir, "region").select(F.lit("r1").alias("dataset_revision"), F.lit("f").alias("corpus_fingerprint"), F.lit(None).cast("string").alias("judge_model"), F.lit(True).alias("answer_enabled"))
-    return ev.comparable(runs)
+    """Whether the orders of each customer, as runs, may be compared."""
+    return ev.comparable(spark.sql(_RUN_PAIRS, orders=view(spark, sf_dir, "orders")), "pair")
 
 
 @query("""WITH s AS (SELECT count(*) AS n, count(*) FILTER (WHERE turns > 1) AS m FROM {case}) SELECT c AS config_id, CASE WHEN c <> 'BM25' THEN n ELSE 0 END AS embeddings, CASE WHEN c = 'HYBRID_RERANK' THEN n ELSE 0 END AS reranks, m AS rewrites, CASE WHEN c = 'HYBRID_RERANK' THEN 2 * n ELSE 0 END AS answer_calls FROM s, (VALUES ('BM25'), ('HYBRID_RERANK')) t(c)""")
@@ -247,3 +282,22 @@ def call_estimate(spark, sf_dir):
 @query("SELECT sha256(concat_ws('|', (SELECT string_agg(DISTINCT version_id, ',' ORDER BY version_id) FROM {version}), 'm:64', 'a', 'b')) AS fingerprint")
 def corpus_fingerprint(spark, sf_dir):
     return ev.corpus_fingerprint(view(spark, sf_dir, "version"), "m:64", ["b", "a"])
+
+
+_FEEDBACK = "SELECT event_id AS feedback_id, CASE WHEN event_id % 5 > 0 THEN 'NEW' ELSE 'DISMISSED' END AS status, CASE WHEN event_id % 3 = 0 THEN 'BAD' ELSE 'GOOD' END AS verdict, event_type AS query, CASE WHEN event_id % 7 > 0 THEN concat('c', CAST(user_id AS STRING)) ELSE 'gone' END AS chunk_id FROM {events}"
+_RECALLED = "SELECT concat('c', CAST(doc_id AS STRING)) AS chunk_id, doc_id, md5(text) AS content, CASE WHEN doc_id % 4 = 0 THEN 'IMAGE' ELSE 'TEXT' END AS chunk_type FROM {documents}"
+_CONVERTED = f"f AS (SELECT f.*, c.doc_id, c.content, c.chunk_type, CASE WHEN status <> 'NEW' THEN 'NOT_NEW' WHEN verdict = 'BAD' THEN 'BAD' WHEN c.chunk_id IS NULL THEN 'NO_CHUNK' END AS refused, 'case_' || left(sha256('d1|' || feedback_id), 24) AS id FROM ({_FEEDBACK}) f LEFT JOIN ({_RECALLED}) c USING (chunk_id))"
+
+
+def _feedback_cases(spark, sf_dir):
+    return ev.feedback_cases(spark.sql(_FEEDBACK, events=view(spark, sf_dir, "events")), spark.sql(_RECALLED, documents=view(spark, sf_dir, "documents")), "d1")
+
+
+@query(f"WITH {_CONVERTED} SELECT id AS case_id, 'd1' AS dataset_id, query, CASE WHEN chunk_type = 'IMAGE' THEN 'DOCUMENT' ELSE 'SPAN' END AS anchor_type, doc_id, CASE WHEN chunk_type <> 'IMAGE' THEN content END AS span, 'FEEDBACK' AS source FROM f WHERE refused IS NULL")
+def feedback_cases(spark, sf_dir):
+    return _feedback_cases(spark, sf_dir)[0]
+
+
+@query(f"WITH {_CONVERTED} SELECT feedback_id, CASE WHEN refused IS NULL THEN 'CONVERTED' ELSE status END AS status, CASE WHEN refused IS NULL THEN id END AS case_id, refused FROM f")
+def feedback_status(spark, sf_dir):
+    return _feedback_cases(spark, sf_dir)[1]

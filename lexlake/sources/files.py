@@ -235,8 +235,16 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """RFC 4180 text files with a header."""
-    df.write.option("header", True).option("escape", '"').option("lineSep", "\n").mode("overwrite").csv(path)
+    """RFC 4180 text files, each with a header and the mark by which spreadsheets know UTF-8; lines end with CR and LF, those inside of values too."""
+    marked = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if df.columns else df
+    marked.write.option("header", True).option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").mode("overwrite").csv(path)
+
+
+def list_objects(spark: SparkSession, path: str, most: int = 1000) -> tuple[DataFrame, bool]:
+    """((path, length, modified) of the first objects under a path of any store, by path; whether there are more). No content is read; empty objects are not listed."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    first = every.orderBy("path").limit(most + 1)
+    return first.orderBy("path").limit(most), first.count() > most
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:

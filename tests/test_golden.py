@@ -149,8 +149,8 @@ def test_fixed_split_replays_overlap():
 
 def test_heading_and_separator_split():
     s = "# A\none\n## B\ntwo\n### C\nthree"
-    assert [s[a:b].split("\n")[0] for a, b in split.heading_spans(s, 6, 2)] == ["# A", "## B"]
-    assert split.separator_spans("a\n\n\n\nb", 1) == [(0, 1), (5, 6)]
+    assert [c.split("\n")[0] for _, _, c in split.heading_pieces(s, 6, 0, 2)] == ["# A", "## B"]
+    assert split.separator_pieces("a\n\n\n\nb", 1) == [(None, None, "a"), (None, None, "b")]
     assert split.fixed_spans("", 10) == [] and split.fixed_spans(" \n ", 10) == []
 
 
