@@ -246,6 +246,10 @@ def plain_marks(text, k=fingerprints.GRAM, w=fingerprints.WINDOW):
     return [(runs[p] << 31 | rolled(values[p : p + k - k // 2]), p) for p in at]
 
 
+def plain_digest(text):
+    return hashlib.sha256(",".join(f"{p}:{h & (1 << 64) - 1:X}" for h, p in plain_marks(text)).encode()).hexdigest()
+
+
 def plain_likeness(a, b):
     a, b = {h for h, _ in plain_marks(a)}, {h for h, _ in plain_marks(b)}
     return len(a & b) / len(a | b) if a | b else 1.0
@@ -253,7 +257,10 @@ def plain_likeness(a, b):
 
 def test_op1(spark, odd):
     """Repeated and null keys too: rows follow each other by key, of one key by text, and after the last comes the first."""
-    more = spark.createDataFrame([(None, "no key"), (None, None), (3, "again " * 30)], "doc_id long, text string")
+    r = random.Random(21)
+    cut = [(100 + k, "".join(r.choice("ab cdΣe é日\n") for _ in range(r.choice([0, 1, 20, 60, 80, 81, 82, 90, 120, 200, 400])))) for k in range(60)]
+    cut += [(200 + k, "".join(r.choice("ab cde é日\n") for _ in range(70 + k))) for k in range(60)]
+    more = spark.createDataFrame([(None, "no key"), (None, None), (3, "again " * 30), *cut], "doc_id long, text string")
     rows = odd.filter("char_length(text) < 5000 OR text IS NULL").select("doc_id", "text").unionByName(more)
     order = sorted(((r.doc_id, r.text or "") for r in rows.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     expected = []
@@ -261,10 +268,10 @@ def test_op1(spark, odd):
         nxt = order[(i + 1) % len(order)][1]
         half = len(t) // 2
         e = t[: len(t) - half] + nxt[:half]
-        expected.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), round(plain_likeness(t, e), 9), round(plain_likeness(t, nxt), 9), tuple(plain_marks(t))))
+        expected.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), plain_digest(t), plain_digest(e), round(plain_likeness(t, e), 9), round(plain_likeness(t, nxt), 9), tuple(plain_marks(t))))
     got = fingerprints.edit_likeness(rows).collect()
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9), tuple((x["hash"], x["position"]) for x in r.winnowed)) for r in got), key=key) == sorted(expected, key=key)
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9), tuple((x["hash"], x["position"]) for x in r.winnowed)) for r in got), key=key) == sorted(expected, key=key)
     assert len({r.fingerprint for r in got}) == len({tuple(map(tuple, r.winnowed)) for r in got})
     assert fingerprints.edit_likeness(rows.limit(0)).count() == 0
 
