@@ -1,6 +1,7 @@
 """Winnowing fingerprints of documents, in DataFrame functions only.
 
-A text's units are its characters but white space, lower-cased, whatever its length or script. Every run of K units has a
+A text's units are the same whatever its length: pieces of at most 4 characters of its words, lower-cased and cut from a word's
+beginning on (anew where it goes from ASCII to others), and single characters in scripts that are written without spaces. Every run of K units has a
 rolling (Karp-Rabin) hash; of every W such hashes in a row the least is chosen, of equal ones the rightmost; chosen
 hashes are kept with their positions. At the beginning there are shorter windows too, from one hash on. So any two texts that share
 K + W - 1 units in a row share a chosen hash, texts that begin alike share one from K units on, and a match shorter than
@@ -21,13 +22,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Units in a hashed run, and hashes of which one is chosen.
-GRAM, WINDOW = 8, 16
+GRAM, WINDOW = 4, 8
 #: Rows of a bucket of the order that links each document to the next, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 256, 65_536
 
 #: Hashes are polynomials of this base modulo this prime.
 _PRIME, _BASE = (1 << 31) - 1, 1_103_515_245
-_WHITE = r"[\p{IsWhite_Space}]+"
+#: White space, and blocks of scripts that are written without spaces (Thai to Tibetan, Myanmar, Khmer, kana, Han). Fixed values.
+_WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_ALONE = r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+UNIT = rf"[\x21-\x7E]{{1,4}}|[{_ALONE}]|[^{_WHITE}{_ALONE}]{{1,4}}"
 #: Bits below a hash that hold its position; texts of more units than that are beyond what a row may hold.
 _PLACES = 26
 _FIRST = -(2**63)
@@ -38,9 +42,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def bare(text: Column) -> Column:
-    """A text's units in a row: lower-cased, without white space. Null is empty."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _WHITE, "")
+def units(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(UNIT), F.lit(0))
 
 
 def _runs(values: Column, n: int, join: Callable[[Column, Column, int], Column], body: Callable[[Column, Column], Column]) -> Column:
@@ -67,8 +70,8 @@ def _rolled(x: Column, y: Column, b: int) -> Column:
     return (x * F.lit(pow(_BASE, b, _PRIME)) + y) % F.lit(_PRIME)
 
 
-def marks_of(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """array<struct<hash, position>> of a bare text, in order of position.
+def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """array<struct<hash, position>> in order of position; empty for a null text or one without units.
 
     Positions count units from 0. A text of fewer than gram units has one hash, of all of them. Hashes are compared by
     their rolling value; what is kept of one is that value and its first half's, 62 bits together.
@@ -89,34 +92,7 @@ def marks_of(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         none = F.array().cast("array<struct<hash: bigint, position: int>>")
         return F.when(F.size(u) == 0, none).when(F.size(u) < gram, one).otherwise(let(values, lambda v: _runs(v, gram, _rolled, chosen)))
 
-    return let(text, lambda x: let(F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, "")), of_units))
-
-
-def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """array<struct<hash, position>> of a text in order of position; empty for a null text or one without units. See marks_of."""
-    return marks_of(bare(text), gram, window)
-
-
-def joined_marks(text: Column, marks: Column, after: Column, after_marks: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """The marks of text + after: beginnings of two texts, whose own marks are given.
-
-    Whether a hash is chosen depends on those at most window - 1 to both sides of it alone. So the marks further than that from
-    where the texts are cut and joined stay as they are, and only some units around these places are fingerprinted anew. Short
-    texts are fingerprinted whole, and so are those with a sigma, whose lower case depends on what follows.
-    """
-    near = gram + 2 * window - 3
-
-    def joined(x: Column, y: Column, p: Column, q: Column) -> Column:
-        moved = lambda m, by: F.transform(m, lambda z: F.struct(z["hash"].alias("hash"), (z["position"] + by).alias("position")))
-        first = F.filter(marks, lambda m: m["position"] <= p - gram - window + 1)
-        middle = F.filter(marks_of(F.concat(F.right(x, F.lit(near)), F.left(y, F.lit(near))), gram, window), lambda m: m["position"].between(window - 1, near + window - 2))
-        second = F.filter(after_marks, lambda m: m["position"].between(F.lit(window - 1), q - gram - window + 1))
-        last = F.filter(marks_of(F.right(y, F.lit(near)), gram, window), lambda m: m["position"] >= window - 1)
-        pieces = F.concat(first, moved(middle, p - near), moved(second, p), moved(last, p + q - near))
-        return F.when((p > near + 2) & (q > near + 2), pieces).otherwise(marks_of(F.concat(x, y), gram, window))
-
-    whole = F.concat(text, after)
-    return F.when(whole.contains("\u03a3"), winnow(whole, gram, window)).otherwise(let(bare(text), lambda x: let(bare(after), lambda y: let(F.char_length(x), lambda p: let(F.char_length(y), lambda q: joined(x, y, p, q))))))
+    return let(units(F.coalesce(text, F.lit(""))), of_units)
 
 
 def hashes(fingerprint: Column) -> Column:
@@ -181,10 +157,13 @@ def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", gram
     order = W.partitionBy("__bucket").orderBy("last", F.col("o").desc(), "text")
     linked = own.select("id", "last", "text", "f", F.lead("text").over(order).alias("next_text"), F.lead("f.marks").over(order).alias("next_marks")).filter(~F.col("last"))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
-    kept, new = F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     compared = let(
-        joined_marks(kept, F.col("f.marks"), new, F.col("next_marks"), gram, window),
-        lambda g: F.struct(F.sha2(F.concat(kept, new), 256).alias("edited_sha256"), digest(g).alias("edited_fingerprint"), likeness(hashes(F.col("f.marks")), hashes(g)).alias("near_edited")),
+        edited,
+        lambda e: let(
+            winnow(e, gram, window),
+            lambda g: F.struct(F.sha2(e, 256).alias("edited_sha256"), digest(g).alias("edited_fingerprint"), likeness(hashes(F.col("f.marks")), hashes(g)).alias("near_edited")),
+        ),
     )
     out = linked.select("id", F.char_length("text").cast("long").alias("n_chars"), F.col("f.digest").alias("fingerprint"), likeness(hashes(F.col("f.marks")), hashes(F.col("next_marks"))).alias("near_next"), F.col("f.marks").alias("winnowed"), compared.alias("c"))
     return out.select(F.col("id").alias(key), "n_chars", "c.edited_sha256", "fingerprint", "c.edited_fingerprint", "c.near_edited", "near_next", "winnowed")
