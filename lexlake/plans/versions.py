@@ -230,7 +230,7 @@ _ANSWERS = """SELECT case_id, seq, requested, score IS NOT NULL AS judged, seq %
     CAST(completeness AS DOUBLE) AS completeness, CAST(seq % 7 AS DOUBLE) AS citation_correctness, CAST(seq % 3 AS DOUBLE) AS citation_completeness FROM {case}"""
 #: Kinds of gates: nothing judged, failed judgements, too few cases, degraded ones; first releases without thresholds, above and below them; a baseline that is no better, one that is.
 _AGATES = ("unavailable", "failed", "few", "degraded", "recorded", "met", "missed", "same", "worse", "refusals")
-_AFILTER = {"failed": "TRUE", "few": "judged AND NOT degraded AND seq < 200", "degraded": "judged"}
+_AFILTER = {"failed": "TRUE", "few": "judged AND NOT degraded AND seq < 60", "degraded": "judged"}
 _ABASE = {"same": "score", "worse": "score + CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END", "refusals": "score"}
 
 
@@ -245,7 +245,7 @@ def _answer_gate_sql() -> str:
         {worse} AS base_score, {refusals} AS base_refusal, count(*) FILTER (WHERE judged) AS cases, count(*) FILTER (WHERE NOT judged) AS failed, count(*) FILTER (WHERE degraded) AS degraded FROM k)""")
     return f"""WITH a AS ({_ANSWERS}), g AS ({' UNION ALL '.join(parts)}),
     r AS (SELECT gate, cases, round(score, 6) AS score, round(citation_correctness, 6) AS citation_correctness, CASE WHEN gate = 'unavailable' THEN 'ANSWER_EVAL_UNAVAILABLE' WHEN failed > 0 THEN 'ANSWER_JUDGE_FAILED' WHEN cases < 50 THEN 'ANSWER_INSUFFICIENT_CASES' WHEN degraded > 0 THEN 'DEGRADED_CASES'
-    WHEN gate = 'recorded' THEN 'ANSWER_BASELINE_RECORDED' WHEN gate = 'met' THEN CASE WHEN score + 1e-9 >= 1 AND citation_correctness + 1e-9 >= 0.5 THEN 'ANSWER_ABSOLUTE_THRESHOLD_MET' END WHEN gate = 'missed' THEN CASE WHEN faithfulness + 1e-9 < 3.9 THEN 'ANSWER_ABSOLUTE_THRESHOLD_NOT_MET' END
+    WHEN gate IN ('recorded', 'failed', 'few', 'degraded') THEN 'ANSWER_BASELINE_RECORDED' WHEN gate = 'met' THEN CASE WHEN score + 1e-9 >= 1 AND citation_correctness + 1e-9 >= 0.5 THEN 'ANSWER_ABSOLUTE_THRESHOLD_MET' END WHEN gate = 'missed' THEN CASE WHEN faithfulness + 1e-9 < 3.9 THEN 'ANSWER_ABSOLUTE_THRESHOLD_NOT_MET' END
     WHEN score - base_score < -0.2 - 1e-9 OR refusal_accuracy - base_refusal < -greatest(0.05, 1.0 / cases) - 1e-9 THEN 'ANSWER_METRICS_REGRESSED' ELSE 'ANSWER_WITHIN_TOLERANCE' END AS reason FROM g)
     SELECT *, CASE WHEN reason IN ('ANSWER_ABSOLUTE_THRESHOLD_NOT_MET', 'ANSWER_METRICS_REGRESSED') THEN 'BLOCKED' WHEN reason IN ('ANSWER_BASELINE_RECORDED', 'ANSWER_ABSOLUTE_THRESHOLD_MET', 'ANSWER_WITHIN_TOLERANCE') THEN 'PASSED' ELSE 'LOG_ONLY' END AS decision FROM r"""
 

@@ -31,4 +31,4 @@ def test_query(spark, sf, con, name):
         assert sorted(found.columns) == sorted(expected.columns)
         assert _rows(found) == _rows(expected)
     else:
-        assert len(found.columns)
+        assert len(found.columns) and len(found)
