@@ -56,13 +56,18 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def _rounded(sql: str) -> str:
+    """A view's text for Spark: its roundings as DuckDB does them, by the product with a power of ten. Spark's own goes by a number's decimal digits, and differs in halves."""
+    return re.sub(r"\bround\(([^()]+), (\d+)\)", r"(round((\1) * 1e\2D, 0) / 1e\2D)", sql)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of VIEWS, or an input table."""
     if name not in VIEWS:
         rows = table(spark, sf_dir, name)
         return spread(rows) if name in ("documents", "pages") else rows
     needed = {n: view(spark, sf_dir, n) for n in re.findall(r"\{([a-z]{3,})\}", VIEWS[name])}
-    return spark.sql(VIEWS[name], **needed)
+    return spark.sql(_rounded(VIEWS[name]), **needed)
 
 
 def expand(sql: str) -> str:
@@ -70,9 +75,15 @@ def expand(sql: str) -> str:
     return re.sub(r"\{([a-z]{3,})\}", lambda m: m[1] if m[1] in TABLES else f"({expand(VIEWS[m[1]])})", sql)
 
 
+def round_half(x: F.Column, digits: int) -> F.Column:
+    """x rounded as DuckDB does: its product with a power of ten, halves away from zero. What is too large for that stays."""
+    power = float(10**digits)
+    return F.when(F.abs(x) < 1e300, F.round(x * power, 0) / power).otherwise(x)
+
+
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Columns as the DuckDB twin has them: whole numbers long, fractions rounded."""
-    kinds = {"int": lambda c: c.cast("long"), "smallint": lambda c: c.cast("long"), "double": lambda c: F.round(c, digits)}
+    kinds = {"int": lambda c: c.cast("long"), "smallint": lambda c: c.cast("long"), "double": lambda c: round_half(c, digits)}
     return df.select(*(kinds[t](F.col(c)).alias(c) if t in kinds else F.col(c) for c, t in df.dtypes))
 
 
