@@ -120,10 +120,10 @@ def select_candidates(ranked: DataFrame, limit: int = 50, top_n: int | None = No
     return first.withColumn("before", F.coalesce(F.sum("new").over(order), F.lit(0))).filter(F.col("before") < enough).drop("new", "before", "unit")
 
 
-def hybrid_order(candidates: DataFrame, w: float = 0.7) -> DataFrame:
-    """hybrid_score = w * rerank_score + (1 - w) * min-max of bm25_score (null counts 0; equal scores become 0)."""
+def hybrid_order(candidates: DataFrame, w: float = 0.7, rest: float | None = None) -> DataFrame:
+    """hybrid_score = w * rerank_score + rest * min-max of bm25_score (null counts 0; equal scores become 0). rest: 1 - w, unless given as the number that a decimal stands for."""
     filled = candidates.withColumn("__b", F.coalesce("bm25_score", F.lit(0.0)))
-    return filled.withColumn("hybrid_score", w * F.col("rerank_score") + (1 - w) * minmax(F.col("__b"), _over("query_id"), 0.0)).drop("__b")
+    return filled.withColumn("hybrid_score", w * F.col("rerank_score") + (1 - w if rest is None else rest) * minmax(F.col("__b"), _over("query_id"), 0.0)).drop("__b")
 
 
 def ordering_score() -> Column:

@@ -126,7 +126,7 @@ h AS (SELECT *, 0.7 * rerank_score + 0.3 * CASE WHEN hi - lo <= 1e-9 THEN 0.0 EL
 
 
 def _hybrid(spark, sf_dir):
-    return fusion.hybrid_order(view(spark, sf_dir, "candidate")).withColumn("ordering_score", fusion.ordering_score())
+    return fusion.hybrid_order(view(spark, sf_dir, "candidate"), 0.7, 0.3).withColumn("ordering_score", fusion.ordering_score())
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, chunk_id, round(hybrid_score, 6) AS hybrid_score, round(coalesce(hybrid_score, rerank_score, fused_score), 6) AS ordering_score FROM h")
