@@ -96,11 +96,24 @@ def consecutive_failures(runs: DataFrame) -> DataFrame:
 
 
 def degrade_rate(samples: DataFrame, seconds: int = 300, least: int = 20) -> DataFrame:
-    """samples (source, ts, degraded) with the rate over the last seconds; null for fewer than least samples."""
-    at = F.col("ts").cast("timestamp").cast("long")
-    last = W.partitionBy("source").orderBy("__at").rangeBetween(-seconds, 0)
-    out = samples.withColumn("__at", at).withColumn("n", F.count(F.lit(1)).over(last)).withColumn("bad", F.sum(F.col("degraded").cast("int")).over(last))
-    return out.withColumn("rate", F.when(F.col("n") >= least, F.col("bad") / F.col("n"))).drop("__at")
+    """samples (source, ts, degraded) with the rate over the last seconds; null for fewer than least samples.
+
+    Samples are counted by second, and a count is taken off again when its time is over: running sums, however much lies in a
+    window. Time is cut into spans as long as a window; the sums of a span begin with the counts of the one before.
+    """
+    length = seconds + 1
+    rows = samples.withColumn("__at", F.col("ts").cast("timestamp").cast("long"))
+    counts = {"n": F.count(F.lit(1)), "bad": F.coalesce(F.sum(F.col("degraded").cast("int")), F.lit(0)), "known": F.count("degraded")}
+    each = rows.groupBy("source", "__at").agg(*(v.alias(k) for k, v in counts.items())).withColumn("slot", F.floor(F.col("__at") / length))
+    change = lambda later, at, sign, own: F.struct((F.col("slot") + later).alias("slot"), at.alias("at"), F.lit(sign).alias("sign"), F.lit(own).alias("own"))
+    at = F.col("__at")
+    changes = F.when(at.isNull(), F.array(change(0, at, 1, True))).otherwise(F.array(change(0, at, 1, True), change(1, at, 1, False), change(1, at + length, -1, False)))
+    dealt = each.select("source", *counts, F.explode(changes).alias("c")).select("source", "c.*", *((F.col(k) * F.col("c.sign")).alias(k) for k in counts))
+    so_far = W.partitionBy("source", "slot").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    held = dealt.select("source", "at", "own", *(F.sum(k).over(so_far).alias(k) for k in counts)).filter("own")
+    last = held.select(F.col("source").alias("__source"), F.col("at").alias("__second"), "n", F.when(F.col("known") > 0, F.col("bad")).alias("bad"))
+    out = rows.join(last, F.col("source").eqNullSafe(F.col("__source")) & at.eqNullSafe(F.col("__second")))
+    return out.withColumn("rate", F.when(F.col("n") >= least, F.col("bad") / F.col("n"))).drop("__at", "__source", "__second")
 
 
 def horizon(now: Column, days: int) -> Column:
