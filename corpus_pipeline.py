@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from lexlake.llm import jaccard, language, packing, quality
 from lexlake.llm.queries import tokenizer
-from lexlake.llm.scan import small_batches
-from lexlake.storage import BROADCAST_ROWS, materialize, table
+from lexlake.storage import BROADCAST_ROWS, materialize, small_batches, table
 
 #: A text stays if this share of its n-grams is known in its language: gibberish has next to none.
 LEAST_HIT_RATE = 0.1

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm.scan import small_batches
-from lexlake.storage import spread
+from lexlake.storage import small_batches, spread
 from lexlake.storage import table as stored
 
 

@@ -10,29 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
 #: Bytes of text that are looked at together; work arrays take about 40 times as much, and as much of a single longer text.
 BLOCK = 1 << 19
-
-#: Bytes of an Arrow batch that goes to Python, where the session allows more.
-BATCH_BYTES = 4 << 20
-
 U64 = np.uint64
 #: Values that are hashed together, and places within a span whose keys are kept ready.
 SECTION, READY = 1 << 18, 1 << 12
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches by BATCH_BYTES: texts are long, so a bound on rows alone is none on memory.
-
-    A lower bound that the session has set stays.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Scatter the bits of 64-bit values, one to one."""
     h = h ^ (h >> U64(30))
