@@ -68,8 +68,10 @@ def split_chunks(chunks: DataFrame, splits: DataFrame) -> DataFrame:
     more = F.when(F.col("__offsets").isNull(), 0).otherwise(more).cast("long")
     before = W.partitionBy("version_id", "parent_id").orderBy("seq").rangeBetween(W.unboundedPreceding, -1)
     placed = marked.withColumn("seq", (F.col("seq") + F.coalesce(F.sum(more).over(before), F.lit(0))).cast(chunks.schema["seq"].dataType))
-    gone = marked.filter("__offsets IS NOT NULL").select(F.col("chunk_id").alias("parent_id"))
-    placed = placed.join(gone, "parent_id", "left_anti")
+    # A chunk without a parent is dealt by its own id: else all of them, with their texts, would lie in one task.
+    gone = marked.filter("__offsets IS NOT NULL").select(F.struct(F.col("chunk_id").alias("id"), F.lit(0).cast("long").alias("own")).alias("__key"))
+    own = F.when(F.col("parent_id").isNull(), F.xxhash64("chunk_id")).otherwise(F.lit(0).cast("long"))
+    placed = placed.withColumn("__key", F.struct(F.col("parent_id").alias("id"), own.alias("own"))).join(gone, "__key", "left_anti").drop("__key")
     edges = F.concat(F.array(F.lit(0)), F.coalesce("__offsets", F.array().cast("array<int>")), F.array(F.char_length(F.coalesce("content", F.lit("")))))
     cut = F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda i: F.struct(F.get(edges, i).alias("start"), (F.get(edges, i + 1) - F.get(edges, i)).alias("length")))
     parts = placed.select("*", F.posexplode(cut).alias("__part", "__cut"))

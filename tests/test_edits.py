@@ -182,3 +182,19 @@ def test_unclosed_elements():
 def test_required_selectors(spark):
     with pytest.raises(ValueError):
         chat_pages.read_chat_pages(spark.createDataFrame([], "session_id long, html string"), {"time": ""})
+
+
+def test_split_chunks_deals_chunks_without_a_parent_to_all_tasks(spark):
+    """All rows of a null key lie in one partition of a shuffle: the texts of all chunks without a parent did."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for k, v in zip(keep, ("false", "-1", "8"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        n = spark.range(4000)
+        chunks = n.selectExpr("concat('c', id) AS chunk_id", "concat('v', id % 500) AS version_id", "CASE WHEN id < 0 THEN 'none' END AS parent_id", "CAST(id AS INT) AS seq", "'some words' AS content", "true AS enabled")
+        out = edits.split_chunks(chunks, n.selectExpr("concat('c', id) AS chunk_id", "array(4) AS offsets").filter("id % 10 = 0"))
+        sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 4400 and max(sizes) < 1200
