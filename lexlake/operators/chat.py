@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lexlake.operators.text import message_type, parse_time_ms, truthy
 
+#: Windows that a task holds before they go on, whole sessions at a time.
+MERGED_HELD = 5_000
+
 
 class OpenWindow:
     """A session's window that is still open: fed messages in order of time, it gives those that close.
@@ -117,27 +122,91 @@ def merge_near_windows(ranked: DataFrame, share: float = 0.5, most: int = 5) ->
     """Ranked windows (query_id, position, chunk_id, session_id, first_msg, last_msg) without those that an earlier kept one of the
     session overlaps by share of the shorter; absorbed lists up to most of them. Hits without a session stay.
 
-    Which are kept depends on those before, so a query's hits in a session are read in order; a ranking is short.
+    Which are kept depends on those before, so a query's hits in a session are read in order. Sessions are sorted and streamed, many
+    to a batch; a task holds the kept windows of one.
     """
+    inner = [c for c in ranked.columns if c not in ("query_id", "session_id")]
+    spans = ranked.select("query_id", "session_id", "position", F.col("chunk_id").cast("string").alias("chunk_id"), "first_msg", "last_msg", F.struct(*inner).alias("__row"))
+    schema = StructType([*spans.select("query_id", "session_id", "__row").schema, StructField("absorbed", ArrayType(StringType()))])
+    kinds = to_arrow_schema(schema)
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position").reset_index(drop=True)
-        kept: list[int] = []
-        absorbed: dict[int, list] = {}
-        for i, (a, b) in enumerate(zip(pdf["first_msg"], pdf["last_msg"], strict=True)):
-            host = next((k for k in kept if min(b, pdf["last_msg"][k]) - max(a, pdf["first_msg"][k]) + 1 >= share * (min(b - a, pdf["last_msg"][k] - pdf["first_msg"][k]) + 1)), None)
-            if host is None:
-                kept.append(i)
-                absorbed[i] = []
-            elif len(absorbed[host]) < most:
-                absorbed[host].append(str(pdf["chunk_id"][i]))
-        out = pdf.loc[kept].copy()
-        out["absorbed"] = [absorbed[i] for i in kept]
-        return out
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, kept = None, NearWindows(share, most)
+        rows: list[pa.RecordBatch] = []
+        absorbed: list[list] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            if rows:
+                whole = pa.concat_batches(rows)
+                yield pa.RecordBatch.from_arrays([*(whole.column(n).cast(kinds.field(n).type) for n in kinds.names[:-1]), pa.array(absorbed, kinds[-1].type)], schema=kinds)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema) + ", absorbed array<string>"
-    loose = ranked.filter("session_id IS NULL").withColumn("absorbed", F.array().cast("array<string>"))
-    return ranked.filter("session_id IS NOT NULL").groupBy("query_id", "session_id").applyInPandas(merge, schema).unionByName(loose)
+        for batch in batches:
+            names = [batch.column(n).to_pylist() for n in ("query_id", "session_id", "chunk_id", "first_msg", "last_msg")]
+            mine = []
+            for i, (q, x, chunk, first, last) in enumerate(zip(*names, strict=True)):
+                if (q, x) != session:
+                    if len(absorbed) > MERGED_HELD:
+                        if mine:
+                            rows.append(batch.take(pa.array(mine)).select(kinds.names[:-1]))
+                        yield from packed()
+                        rows, absorbed, mine = [], [], []
+                    session, kept = (q, x), NearWindows(share, most)
+                found = kept.add(chunk, first, last)
+                if found is not None:
+                    mine.append(i)
+                    absorbed.append(found)
+            if mine:
+                rows.append(batch.take(pa.array(mine)).select(kinds.names[:-1]))
+        yield from packed()
+
+    held = spans.filter("session_id IS NOT NULL").repartition("query_id", "session_id").sortWithinPartitions("query_id", "session_id", F.col("position").asc_nulls_last())
+    out = held.mapInArrow(merge, schema)
+    found = out.select(*(F.col(c) if c in ("query_id", "session_id") else F.col("__row")[c].alias(c) for c in ranked.columns), "absorbed")
+    return found.unionByName(ranked.filter("session_id IS NULL").withColumn("absorbed", F.array().cast("array<string>")))
+
+
+class NearWindows:
+    """The windows of one session that were kept so far.
+
+    Kept ones overlap each other by less than share of the shorter, so none lies in another: by their first message they are
+    in order of their last as well, and those that a new one meets are neighbours. What is no window, and any share out of 0 to 1, is compared with all.
+    """
+
+    def __init__(self, share: float, most: int) -> None:
+        self.share, self.most, self.plain = share, most, not 0 < share <= 1
+        self.windows: list[tuple[int, int]] = []
+        self.absorbed: list[list[str]] = []
+        self.first: list[int] = []
+        self.last: list[int] = []
+        self.place: list[int] = []
+
+    def _near(self, k: int, a: int, b: int) -> bool:
+        x, y = self.windows[k]
+        return min(b, y) - max(a, x) + 1 >= self.share * (min(b - a, y - x) + 1)
+
+    def add(self, chunk: str, first: int | None, last: int | None) -> list | None:
+        """A list that later windows' chunks go to, if this one is kept."""
+        if first is None or last is None:
+            return []
+        if first > last and not self.plain:
+            self.plain = True
+        if self.plain:
+            host = next((k for k in range(len(self.windows)) if self._near(k, first, last)), None)
+        else:
+            met = self.place[bisect_left(self.last, first) : bisect_right(self.first, last)]
+            host = min((k for k in met if self._near(k, first, last)), default=None)
+        if host is not None:
+            if len(self.absorbed[host]) < self.most:
+                self.absorbed[host].append(chunk)
+            return None
+        if not self.plain:
+            at = bisect_left(self.first, first)
+            self.first.insert(at, first)
+            self.last.insert(at, last)
+            self.place.insert(at, len(self.windows))
+        self.windows.append((first, last))
+        self.absorbed.append([])
+        return self.absorbed[-1]
 
 
 def session_stats(messages: DataFrame) -> DataFrame:
