@@ -11,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexlake.storage import small_batches
+
+#: Grams of all sources that fuzzy_matches sends to every task; more of them are joined.
+GRAMS_SENT = 4_000_000
 #: Characters that count as a token each: CJK punctuation, kana, ideographs with extension A, compatibility ideographs,
 #: full-width forms. Fixed values.
 CJK = r"\u3000-\u303F\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF00-\uFFEF"
@@ -158,10 +162,44 @@ def dice(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), 2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))).otherwise(0.0)
 
 
+def _shared_grams(sources: DataFrame, target: DataFrame, least: float) -> DataFrame:
+    """(source_id, target_id, na, nb, c) of sources (source_id, g, na) and targets (id, text) of likeness least at least; c: how many grams they share."""
+    held = sources.select("source_id", "g", "na").toArrow().combine_chunks()
+    sizes = np.array(held["na"].to_pylist(), np.int64)
+    grams, owner = np.array([x for g in held["g"].to_pylist() for x in g], np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(grams, kind="stable")
+    known, begins = np.unique(grams[order], return_index=True)
+    ends = np.append(begins[1:], len(grams))[: len(known)]
+    index = sources.sparkSession.sparkContext.broadcast((held["source_id"].combine_chunks(), sizes, known, begins, ends, owner[order]))
+    kinds = dict(sources.dtypes)["source_id"], dict(target.dtypes)["id"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, na, known, begins, ends, owner = index.value
+        for batch in batches:
+            found = []
+            for i in range(len(batch) if len(known) else 0):
+                g = _gram_codes(batch.column("text").slice(i, 1)).values.to_numpy()
+                at = np.searchsorted(known, g)
+                at = at[known[np.minimum(at, len(known) - 1)] == g]
+                n = ends[at] - begins[at]
+                # All places from each begin to its end.
+                places = np.repeat(begins[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                c = np.bincount(owner[places], minlength=len(na))
+                near = np.flatnonzero((c > 0) & (2 * c >= (least - 1e-8) * (na + len(g))))
+                found.append((near, np.full(len(near), i), c[near], np.full(len(near), len(g))))
+            if found:
+                near, row, c, nb = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(near)), batch.column("id").take(pa.array(row)), pa.array(na[near]), pa.array(nb.astype(np.int64)), pa.array(c.astype(np.int64))], names=["source_id", "target_id", "na", "nb", "c"])
+
+    small_batches(target.sparkSession)
+    return target.select("id", "text").mapInArrow(count, f"source_id {kinds[0]}, target_id {kinds[1]}, na bigint, nb bigint, c bigint")
+
+
 def fuzzy_matches(source: DataFrame, target: DataFrame, least: float = 0.35, k: int = 3, shortest: int = 10) -> DataFrame:
     """For each source (id, text) the k targets (id, text) of most 3-gram Dice likeness, least at least.
 
-    An equi-join on grams counts what two texts share; texts themselves meet nowhere. A set can only be alike enough to one of at
+    An equi-join on grams counts what two texts share; texts themselves meet nowhere. Up to GRAMS_SENT grams of sources are sent to
+    where the targets lie, and only pairs that are alike enough become rows. A set can only be alike enough to one of at
     most (2 - least) / least times its size, so targets beyond the reach of all sources are not joined, and pairs out of
     reach not counted. Sources of fewer than shortest characters match nothing.
     """
@@ -173,11 +211,15 @@ def fuzzy_matches(source: DataFrame, target: DataFrame, least: float = 0.35, k:
     reach = (2 - least) / least
     a = source.filter(F.char_length("text") >= shortest).select(F.col("id").alias("source_id"), gram_set(F.col("text")).alias("g")).withColumn("na", F.size("g"))
     a = materialize(a, "source-grams")
-    sizes = a.agg((F.min("na") / reach - 1).alias("lo"), (F.max("na") * reach + 1).alias("hi"))
-    b = target.select(F.col("id").alias("target_id"), gram_set(F.col("text")).alias("g")).withColumn("nb", F.size("g"))
-    b = b.join(F.broadcast(sizes), F.col("nb").between(F.col("lo"), F.col("hi"))).select("target_id", "nb", F.explode("g").alias("gram"))
-    shared = b.join(small(a.select("source_id", "na", F.explode("g").alias("gram"))), "gram").filter((F.col("nb") <= F.col("na") * reach + 1) & (F.col("na") <= F.col("nb") * reach + 1))
-    scored = shared.groupBy("source_id", "target_id", "na", "nb").agg(F.count(F.lit(1)).alias("c")).withColumn("score", F.round(2 * F.col("c") / (F.col("na") + F.col("nb")), 9)).filter(F.col("score") >= least)
+    if (a.agg(F.coalesce(F.sum("na"), F.lit(0))).first()[0]) <= GRAMS_SENT:
+        shared = _shared_grams(a, target, least)
+    else:
+        sizes = a.agg((F.min("na") / reach - 1).alias("lo"), (F.max("na") * reach + 1).alias("hi"))
+        b = target.select(F.col("id").alias("target_id"), gram_set(F.col("text")).alias("g")).withColumn("nb", F.size("g"))
+        b = b.join(F.broadcast(sizes), F.col("nb").between(F.col("lo"), F.col("hi"))).select("target_id", "nb", F.explode("g").alias("gram"))
+        shared = b.join(small(a.select("source_id", "na", F.explode("g").alias("gram"))), "gram").filter((F.col("nb") <= F.col("na") * reach + 1) & (F.col("na") <= F.col("nb") * reach + 1))
+        shared = shared.groupBy("source_id", "target_id", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    scored = shared.withColumn("score", F.round(2 * F.col("c") / (F.col("na") + F.col("nb")), 9)).filter(F.col("score") >= least)
     order = W.partitionBy("source_id").orderBy(F.col("score").desc(), "target_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("source_id", "target_id", "score", "rank")
 
