@@ -6,30 +6,41 @@ word before it, and in the shared distribution for each class it occurs in. So c
 rare in both classes say little for either. A text is judged by its log-likelihood ratio per word and by that of its
 most telling words.
 
-Words are hashed to cells. Counting goes over all labelled rows; the model that scoring tasks get has a fixed number of
-cells and of pairs, whatever the corpus: pairs of less weight fall back to their words.
+The models are tables with a row for every pair and every word of the labelled rows; nothing is cut, and no task holds them whole.
+Texts ask them: a chunk of texts sends the keys of its distinct pairs and words to the buckets of these keys, the
+buckets answer in the same order, and chunk and answers meet again. Words are known by 48 bits of their hash, pairs by 56, the word before a pair by 30.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexlake.llm.scan import LOWER, U64, blocks, span_hashes, spans
+from lexlake.llm.scan import LOWER, U64, blocks, mix, span_hashes, spans
 from lexlake.storage import BROADCAST_ROWS, materialize
 
-CELLS_LOG = 20
-#: Pairs of words that the model keeps: those of most weight, see train.
-PAIRS = 1 << 20
-_MASK, _PAIR_MASK = (1 << CELLS_LOG) - 1, (1 << 2 * CELLS_LOG) - 1
+WORD_BITS, KEY_BITS, BEFORE_BITS = 48, 56, 30
+#: Words never seen, of which the shared distribution thinks each as half a word, as it adds half a word to those seen.
+UNSEEN = 1 << 20
 #: Words at once in a task's counting.
 HELD_WORDS = 2_000_000
+#: Bytes of text of a chunk, which asks for its pairs and words together; a longer text is a chunk of its own.
+CHUNK = 32 << 20
+#: Pairs are counted, and texts judged, in so many parts one after the other: what is shuffled at once takes disk.
+ROUNDS = 2
+#: Different pairs of a chunk that are judged at once.
+SLICE = 1 << 18
+#: Keys of a bucket at most, about; there are 2**BUCKET_BITS buckets at least.
+BUCKET_KEYS, BUCKET_BITS = 1_000_000, 5
 #: Rows that the final logistic curve is fitted to: about so many, chosen by a hash of key and text (twice as many at most, where rows repeat), and this share of them at most.
 CURVE_ROWS, CURVE_SHARE = 20_000, 0.25
 #: Score from which a text is called toxic.
@@ -38,166 +49,354 @@ _TELLING = 3
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Counts of pairs and of words, by class: of a pair's continuations (n), of a context's (n) and of words after it (after), of words before a word (types).
+#: The second half holds what of these only the drawn rows have taught.
+_PAIR = ["n0", "n1", "own_n0", "own_n1"]
+_WORD = [f"{own}{name}{c}" for own in ("", "own_") for name in ("n", "after", "types") for c in (0, 1)]
 
 
-def word_cells(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of the words (runs of letters, digits and non-ASCII, A-Z lower-cased) and each text's first word (n + 1)."""
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of letters, digits and non-ASCII, A-Z lower-cased) and each text's first word (n + 1)."""
     starts, ends = spans(_INSIDE[data], at)
-    return (span_hashes(LOWER[data], starts, ends) >> U64(64 - CELLS_LOG)).astype(np.int64), np.searchsorted(starts, at)
+    return (span_hashes(LOWER[data], starts, ends) >> U64(64 - WORD_BITS)).astype(np.int64), np.searchsorted(starts, at)
 
 
-def contexts(cells: np.ndarray, first: np.ndarray, back: int = 1) -> np.ndarray:
-    """The cell that comes back words before each word; 0 where a text begins later."""
-    before = np.zeros_like(cells)
-    before[back:] = cells[: max(0, len(cells) - back)]
+def contexts(words: np.ndarray, first: np.ndarray, back: int = 1) -> np.ndarray:
+    """The word that comes back words before each word; 0 where a text begins later."""
+    before = np.zeros_like(words)
+    before[back:] = words[: max(0, len(words) - back)]
     starts = first[:-1]
     for k in range(back):
         before[starts[np.diff(first) > k] + k] = 0
     return before
 
 
-@dataclass(frozen=True)
-class ClassModels:
-    """Per class (0 ordinary, 1 toxic), by cell: word probability, the weight that a context gives to it, and the
-    inverse of a context's count; key: the pairs kept, ascending, and in pair their discounted counts."""
-
-    word: np.ndarray
-    back: np.ndarray
-    inverse: np.ndarray
-    key: np.ndarray
-    pair: np.ndarray
-
-    def ratios(self, before: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """log P(word | context, toxic) - log P(word | context, ordinary) of each word."""
-        pairs = before << CELLS_LOG | cells
-        slot = np.minimum(np.searchsorted(self.key, pairs), len(self.key) - 1)
-        own = self.key[slot] == pairs
-        p = [own * self.pair[c][slot] * self.inverse[c][before] + self.back[c][before] * self.word[c][cells] for c in (0, 1)]
-        return np.log(p[1]) - np.log(p[0])
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of pairs of words."""
+    return mix(mix(before.astype(U64) + U64(0x9E3779B97F4A7C15)) + words.astype(U64)) >> U64(64 - KEY_BITS)
 
 
-def _discount(counts: np.ndarray) -> float:
-    """Absolute discount from the numbers of things seen once and twice."""
-    once, twice = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
-    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+def word_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of words, one to one, spread over all buckets."""
+    return mix(words.astype(U64)) >> U64(64 - KEY_BITS)
 
 
-def count_pairs(docs: DataFrame) -> DataFrame:
-    """Continuations (c, u, w, n, rest) of each pair of words in rows (text, toxic 0/1, drawn 0/1), all of them counted.
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of equal length of whole numbers, by planes of bytes, each compressed."""
+    codec, n = pa.Codec("zstd"), len(columns[0])
+    widths = [(int(c.max()).bit_length() + 7) // 8 if n else 0 for c in columns]
+    planes = [codec.compress(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, k]), asbytes=True) for c, w in zip(columns, widths, strict=True) for k in range(w)]
+    return b"".join([np.array([n, len(columns), *widths, *map(len, planes)], "<u4").tobytes(), *planes])
 
-    n: in all rows of the class; rest: in those that are not drawn.
-    """
-    schema = T.StructType([T.StructField("pair", T.LongType()), T.StructField("t", T.IntegerType()), T.StructField("drawn", T.IntegerType())])
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unpack(blob: bytes) -> list[np.ndarray]:
+    """The columns that pack has packed."""
+    codec = pa.Codec("zstd")
+    n, k = np.frombuffer(blob, "<u4", 2).tolist()
+    widths = np.frombuffer(blob, "<u4", k, 8).tolist()
+    lengths = np.frombuffer(blob, "<u4", sum(widths), 8 + 4 * k).tolist()
+    at, planes = 8 + 4 * (k + len(lengths)), iter(lengths)
+    columns = []
+    for w in widths:
+        bytes_ = np.zeros((n, 8), np.uint8)
+        for i in range(w):
+            size = next(planes)
+            bytes_[:, i] = np.frombuffer(codec.decompress(blob[at : at + size], n), np.uint8)
+            at += size
+        columns.append(bytes_.view("<u8").ravel())
+    return columns
+
+
+def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Buckets of ascending keys, by their upper bits, and where they lie."""
+    cuts = np.searchsorted(keys >> U64(KEY_BITS - bits), np.arange((1 << bits) + 1, dtype=U64))
+    yield from ((k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a)
+
+
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """Counts (_PAIR) of each pair of words in rows (text, toxic 0/1, drawn 0/1), all of them counted; u and w: the words' hashes."""
+    schema = T.StructType([T.StructField("pair", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("t", T.IntegerType())])
+    half = WORD_BITS - 32
+
+    def seen(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def distinct() -> pa.RecordBatch:
-            found = np.unique(np.concatenate(held))
+            pair, rest = np.concatenate(held, axis=1)
             held.clear()
-            pair, t, drawn = found >> CELLS_LOG, found & _MASK, found >> 3 * CELLS_LOG & 1
-            # The class's bit stands above those of the three words.
-            pair = pair & _PAIR_MASK | (found < 0).astype(np.int64) << 2 * CELLS_LOG
-            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(t.astype(np.int32)), pa.array(drawn.astype(np.int32))], names=schema.names)
+            order = np.lexsort((rest, pair))
+            pair, rest = pair[order], rest[order]
+            new = np.append(True, (pair[1:] != pair[:-1]) | (rest[1:] != rest[:-1]))
+            pair, rest = pair[new], rest[new]
+            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array((rest >> 32).astype(np.int32)), pa.array(rest.astype(np.int32))], names=schema.names)
 
         for batch in batches:
             toxic, drawn = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("toxic", "drawn"))
             for i, j, data, at in blocks(batch.column("text")):
-                cells, first = word_cells(data, at)
-                three = (contexts(cells, first) << CELLS_LOG | cells) << CELLS_LOG | contexts(cells, first, 2)
-                held.append(three | np.repeat(toxic[i:j] << 63 | drawn[i:j] << 3 * CELLS_LOG, np.diff(first)))
-                if sum(map(len, held)) > HELD_WORDS:
-                    yield distinct()
+                words, first = word_hashes(data, at)
+                if len(words):
+                    # 48 bits of each word of the pair; 30 of the word before it, the class and whether the row is drawn.
+                    before = contexts(words, first, 2) & ((1 << BEFORE_BITS) - 1)
+                    rest = words << 32 | before << 2 | np.repeat(toxic[i:j] << 1 | drawn[i:j], np.diff(first))
+                    first_word = contexts(words, first)
+                    mine = (first_word + words) % ROUNDS == part
+                    held.append(np.stack([first_word << half | words >> 32, rest])[:, mine])
+                    if sum(h.shape[1] for h in held) > HELD_WORDS:
+                        yield distinct()
         if held:
             yield distinct()
 
     # Dealt by pair once; removing repeats and counting both find their rows together then.
     rows = docs.select("text", F.col("toxic").cast("int").alias("toxic"), F.col("drawn").cast("int").alias("drawn"))
-    once = rows.mapInArrow(seen, schema).repartition("pair").groupBy("pair", "t").agg(F.min("drawn").alias("drawn"))
-    pairs = once.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("drawn") == 0).alias("rest"))
-    parts = {"c": F.shiftright("pair", 2 * CELLS_LOG).cast("int"), "u": F.shiftright("pair", CELLS_LOG).bitwiseAND(_MASK), "w": F.col("pair").bitwiseAND(_MASK)}
-    return materialize(pairs.select(*(v.alias(k) for k, v in parts.items()), "n", "rest"), "toxic-pairs")
+    of = [F.col("t").bitwiseAND(1) == c for c in (0, 1)]
+    counts = [*(F.count_if(x).alias(f"n{c}") for c, x in enumerate(of)), *(F.count_if(x & (F.col("drawn") == 1)).alias(f"own_n{c}") for c, x in enumerate(of))]
+    parts = []
+    for part in range(ROUNDS):
+        dealt = rows.mapInArrow(lambda batches, part=part: seen(batches, part), schema).repartition("pair", "low")
+        once = dealt.groupBy("pair", "low", F.shiftright("t", 1).alias("t")).agg(F.min(F.col("t").bitwiseAND(1)).alias("drawn"))
+        parts.append(materialize(once.groupBy("pair", "low").agg(*counts), "toxic-pairs", drop_shuffles=True))
+    w = F.shiftleft(F.col("pair").bitwiseAND((1 << half) - 1), 32).bitwiseOR(F.col("low").cast("long").bitwiseAND((1 << 32) - 1))
+    return reduce(DataFrame.unionAll, parts).select(F.shiftrightunsigned("pair", half).alias("u"), w.alias("w"), *_PAIR)
+
+
+def count_words(pairs: DataFrame) -> DataFrame:
+    """Counts (_WORD) of each word of count_pairs, as the first and as the second of its pairs."""
+    there = {f"{own}is{c}": (F.col(f"n{c}") > 0) if not own else (F.col(f"n{c}") > 0) & (F.col(f"own_n{c}") == F.col(f"n{c}")) for own in ("", "own_") for c in (0, 1)}
+    parts = []
+    for role in ("u", "w"):
+        cols = []
+        for name in _WORD:
+            own, c = "own_" if name.startswith("own_") else "", name[-1]
+            as_first, count = "types" not in name, F.col(name) if name in _PAIR else there[f"{own}is{c}"].cast("long")
+            cols.append((count if as_first == (role == "u") else F.lit(0).cast("long")).alias(name))
+        parts.append(pairs.select(F.col(role).alias("word"), *cols))
+    return materialize(parts[0].unionAll(parts[1]).groupBy("word").agg(*(F.sum(c).alias(c) for c in _WORD)), "toxic-words", drop_shuffles=True)
+
+
+def _cut(once: int, twice: int) -> float:
+    """Absolute discount from the numbers of things seen once and twice."""
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
 
+@dataclass(frozen=True)
+class Totals:
+    """What the models need besides counts of single pairs and words; by class but for the last two: discounts of
+    pairs and of words, pairs, different words; words by classes they occur in, different words of both."""
+
+    pair_cut: tuple[float, float]
+    word_cut: tuple[float, float]
+    types: tuple[float, float]
+    words: tuple[float, float]
+    shared: float
+    vocabulary: float
+
+    def ratios(self, n: list[np.ndarray], context: list[np.ndarray], word: list[np.ndarray]) -> np.ndarray:
+        """log P(word | context, toxic) - log P(word | context, ordinary): of counts by class of pairs (n0, n1), of their first
+        words (n0, n1, after0, after1) and of their second words (types0, types1)."""
+        base = ((word[0] > 0) + (word[1] > 0).astype(float) + 0.5) / (self.shared + 0.5 * (self.vocabulary + UNSEEN))
+        p = []
+        for c in (0, 1):
+            own = np.maximum(word[c] - self.word_cut[c], 0) / self.types[c] + self.word_cut[c] * self.words[c] / self.types[c] * base
+            known = context[c] > 0
+            back = np.where(known, np.maximum(self.pair_cut[c] * context[2 + c], 1e-6) / np.maximum(context[c], 1), 1.0)
+            p.append(np.maximum(n[c] - self.pair_cut[c], 0) / np.maximum(context[c], 1) + back * own)
+        return np.log(p[1]) - np.log(p[0])
 
-def train(pairs: DataFrame, n: str = "n") -> ClassModels | None:
-    """Models from count_pairs, by its column n or rest. None unless both classes have words.
 
-    A pair weighs the sum of its shares of both classes' counts, so neither class sets the cut: a pair seen once in the smaller
-    class stands with those seen as many times in the larger one as that is larger.
-    """
-    pairs = pairs.select("c", "u", "w", F.col(n).alias("n")).filter("n > 0")
-
-    def by_cell(df: DataFrame, names: list[str]) -> list[np.ndarray]:
-        """Dense arrays of a table keyed by (c, cell): at most 2 * 2**CELLS_LOG rows."""
-        got, out = df.toArrow(), []
-        for name in names:
-            dense = np.zeros((2, 1 << CELLS_LOG), np.float32)
-            dense[got["c"].to_numpy(), got["cell"].to_numpy()] = got[name].to_numpy()
-            out.append(dense)
-        return out
-
-    (words,) = by_cell(pairs.groupBy("c", F.col("w").alias("cell")).agg(F.count(F.lit(1)).alias("types")), ["types"])
-    if not words[0].any() or not words[1].any():
+def totals(pairs: DataFrame, words: DataFrame, rest: bool) -> Totals | None:
+    """Totals over all rows, or over those that are not drawn. None unless both classes have words."""
+
+    def count(name: str):
+        return F.col(name) - F.col(f"own_{name}") if rest else F.col(name)
+
+    p = pairs.agg(*(F.count_if(count(f"n{c}") == k).alias(f"p{c}{k}") for c in (0, 1) for k in (1, 2))).first()
+    types = [count(f"types{c}") for c in (0, 1)]
+    w = words.agg(
+        *(F.count_if(types[c] == k).alias(f"w{c}{k}") for c in (0, 1) for k in (1, 2)),
+        *(F.coalesce(F.sum(types[c]), F.lit(0)).alias(f"sum{c}") for c in (0, 1)),
+        *(F.count_if(types[c] > 0).alias(f"some{c}") for c in (0, 1)),
+        F.count_if((types[0] > 0) | (types[1] > 0)).alias("either"),
+    ).first()
+    if not w.some0 or not w.some1:
         return None
-    shared = (words[0] > 0).astype(float) + (words[1] > 0)
-    (n,) = by_cell(pairs.groupBy("c", F.col("u").alias("cell")).agg(F.sum("n").alias("n")), ["n"])
-    once = pairs.groupBy("c").agg(F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b")).collect()
-    cut = {r.c: min(0.95, max(0.1, r.a / (r.a + 2 * r.b))) if r.a else 0.5 for r in once}
-    kept = pairs.withColumn("d", F.col("n") - F.when(F.col("c") == 0, cut[0]).otherwise(cut[1]))
-    both = [F.sum(F.when(F.col("c") == c, F.col("d")).otherwise(0.0)).alias(f"d{c}") for c in (0, 1)]
-    top = kept.groupBy(F.shiftleft("u", CELLS_LOG).bitwiseOR(F.col("w")).alias("pair")).agg(*both)
-    whole = [max(1.0, float(x.sum(dtype=np.float64))) for x in n]
-    weight = sum((F.col(f"d{c}") * (sum(whole) / 2 / whole[c]) for c in (0, 1)), F.lit(0.0))
-    top = materialize(top.withColumn("size", F.floor(8 * F.log2(1 + weight)).cast("int")), "toxic-top")
-    # Whole size classes while they fit, then part of one, by a hash; no sort of all pairs, and few rows to the driver.
-    left, least = PAIRS, 0
-    for r in sorted(top.groupBy("size").count().collect(), key=lambda r: -r["size"]):
-        if r["count"] > left:
-            least = r["size"] + 1
-            break
-        left -= r["count"]
-    some = top.filter(F.col("size") == least - 1).orderBy(F.xxhash64("pair"), "pair").limit(left)
-    got = top.filter(F.col("size") >= least).unionByName(some).select("pair", F.col("d0").cast("float"), F.col("d1").cast("float")).toArrow().sort_by("pair")
-    key = got["pair"].to_numpy()
-    pair = np.stack([got[f"d{c}"].to_numpy() for c in (0, 1)])
-
-    base = (shared + 0.5) / (shared.sum() + 0.5 * len(shared))
-    word, inverse = [], []
-    for c in (0, 1):
-        d = _discount(words[c])
-        total = words[c].sum()
-        word.append(np.maximum(words[c] - d, 0) / total + d * np.count_nonzero(words[c]) / total * base)
-        inverse.append(np.divide(1.0, n[c], out=np.zeros_like(n[c]), where=n[c] > 0))
-    repeated = [np.bincount(key >> CELLS_LOG, pair[c], 1 << CELLS_LOG) for c in (0, 1)]
-    back = [np.where(n[c] > 0, 1 - repeated[c] * inverse[c], 1.0) for c in (0, 1)]
-    word, back, inverse, pair = (np.stack(x).astype(np.float32) for x in (word, np.maximum(back, 1e-6), inverse, pair))
-    return ClassModels(word, back, inverse, key, pair)
-
-
-def _features(docs: DataFrame, models, text: str) -> DataFrame:
-    """docs without the text, with ratio (mean over words), top and telling (the largest, and the mean of the largest three), n_words."""
-    rest = [c for c in docs.columns if c != text]
-    rows = docs.select(*rest, F.col(text).cast("string").alias("__text"))
-    names = ["ratio", "top", "telling"]
-    schema = T.StructType([*rows.schema[:-1], *(T.StructField(c, T.DoubleType()) for c in names), T.StructField("n_words", T.LongType())])
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = models.value
+    return Totals((_cut(p.p01, p.p02), _cut(p.p11, p.p12)), (_cut(w.w01, w.w02), _cut(w.w11, w.w12)), (w.sum0, w.sum1), (w.some0, w.some1), w.some0 + w.some1, w.either)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """Rows in order, cut after limit bytes of their last column, whatever the batches."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        i, base = 0, 0
+        while i < len(ends):
+            j = min(len(ends), int(np.searchsorted(ends, base + limit - size)) + 1)
+            held.append(batch.slice(i, j - i))
+            size, base, i = size + int(ends[j - 1]) - base, int(ends[j - 1]), j
+            if size >= limit:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _read(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a chunk's texts and each text's first word."""
+    words, firsts, n = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0
+    for part in texts.chunks:
+        for _, _, data, at in blocks(part):
+            got, first = word_hashes(data, at)
+            words.append(got)
+            firsts.append(first[1:] + n)
+            n += len(got)
+    return np.concatenate(words), np.concatenate(firsts)
+
+
+def _name(texts: pa.ChunkedArray) -> int:
+    """A chunk's name: a hash of its texts and where they end."""
+    h = blake2b(digest_size=8)
+    for part in texts.chunks:
+        for _, _, data, at in blocks(part):
+            h.update(np.diff(at).tobytes())
+            h.update(data)
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
+_MAIL = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("body", T.BinaryType())])
+
+
+def _mail(chunk: int | None, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    bucket, kind, body = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(body, pa.binary())], names=_MAIL.names)
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as differences, which are short."""
+    return np.diff(keys, prepend=U64(0))
+
+
+def answers(rows: DataFrame, pairs: DataFrame, words: DataFrame, bits: int, chunk: int) -> DataFrame:
+    """For every chunk of rows, bucket and kind (0 pairs, 1 words): the counts of the chunk's keys, in ascending order of these; zeros where none are known."""
+
+    def model(kind: int):
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cols = [batch.column(k).to_numpy() for k in range(batch.num_columns)]
+                keys, counts = (word_keys(cols[0]), cols[1:]) if kind else (pair_keys(cols[0], cols[1]), cols[2:])
+                order = np.argsort(keys)
+                keys = keys[order]
+                yield _mail(None, [(b, kind, pack([_steps(keys[at]), *(c[order[at]] for c in counts)])) for b, at in _by_bucket(keys, bits)])
+
+        return packed
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches, chunk):
+            found, first = _read(table.column(table.num_columns - 1))
+            before = contexts(found, first)
+            keys = np.unique(pair_keys(before, found)), np.unique(word_keys(np.append(found, 0)))
+            del found, before
+            yield _mail(_name(table.column(table.num_columns - 1)), [(b, kind, pack([_steps(k[at])])) for kind, k in enumerate(keys) for b, at in _by_bucket(k, bits)])
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, own = None, [], None
+        for batch in batches:
+            for name, bucket, kind, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if (bucket, kind) != now:
+                    now, parts, own = (bucket, kind), [], None
+                if name is None:
+                    steps, *counts = unpack(body)
+                    parts.append((np.cumsum(steps, dtype=U64), [c.astype(np.uint32) if c.max(initial=0) < 1 << 32 else c for c in counts]))
+                    continue
+                if own is None and parts:
+                    keys = np.concatenate([k for k, _ in parts])
+                    order = np.argsort(keys)
+                    own, parts = (keys[order], [np.concatenate(c)[order] for c in zip(*(c for _, c in parts), strict=True)]), []
+                wanted = np.cumsum(unpack(body)[0], dtype=U64)
+                if own is None:
+                    counts = [np.zeros(len(wanted), U64)] * len(_WORD if kind else _PAIR)
+                else:
+                    at = np.minimum(np.searchsorted(own[0], wanted), len(own[0]) - 1)
+                    known = own[0][at] == wanted
+                    counts = [np.where(known, c[at], 0) for c in own[1]]
+                yield _mail(name, [(bucket, kind, pack(counts))])
+
+    parts = [rows.mapInArrow(asked, _MAIL), pairs.select("u", "w", *_PAIR).mapInArrow(model(0), _MAIL), words.select("word", *_WORD).mapInArrow(model(1), _MAIL)]
+    mail = parts[0].unionAll(parts[1]).unionAll(parts[2]).repartition("bucket").sortWithinPartitions("bucket", "kind", F.col("chunk").asc_nulls_first())
+    return materialize(mail.mapInArrow(answered, _MAIL), "toxic-answers", drop_shuffles=True)
+
+
+_NAMES = ["ratio", "top", "telling"]
+
+
+def _judged(llr: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Of each text: mean over words, the largest, and the mean of the largest three."""
+    n = np.diff(first)
+    total = np.append(0, np.cumsum(llr))
+    mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
+    top, telling = np.zeros(len(n)), np.zeros(len(n))
+    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        if b > a:
+            most = llr[a:b] if b - a <= _TELLING else np.partition(llr[a:b], b - a - _TELLING)[-_TELLING:]
+            top[k], telling[k] = most.max(), most.mean()
+    return [mean, top, telling]
+
+
+def features(rows: DataFrame, pairs: DataFrame, words: DataFrame, full: Totals, rest: Totals | None, chunk: int = CHUNK) -> DataFrame:
+    """rows (their last column: the text) without the text, with _NAMES by the counts of all labelled rows, the same as
+    rest_ by those that are not drawn (by all, without rest), and n_words.
+
+    Rows are read twice and must come in the same order both times; that they don't is an error.
+    """
+    bits = max(BUCKET_BITS, ((pairs.count() + words.count()) // BUCKET_KEYS).bit_length())
+    got = answers(rows, pairs, words, bits, chunk)
+    kept = T.StructType(rows.schema[:-1])
+    schema = T.StructType([*kept, *(T.StructField(x + c, T.DoubleType()) for x in ("", "rest_") for c in _NAMES), T.StructField("n_words", T.LongType())])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches, chunk):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            yield _mail(_name(table.column(table.num_columns - 1)), [(-1, 2, sink.getvalue().to_pybytes())])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mail = None, {}
         for batch in batches:
-            for i, j, data, at in blocks(batch.column(len(rest))):
-                cells, first = word_cells(data, at)
-                llr = own.ratios(contexts(cells, first), cells).astype(np.float64)
-                n = np.diff(first)
-                total = np.append(0, np.cumsum(llr))
-                mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
-                top, telling = np.zeros(j - i), np.zeros(j - i)
-                for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                    if b > a:
-                        most = llr[a:b] if b - a <= _TELLING else np.partition(llr[a:b], b - a - _TELLING)[-_TELLING:]
-                        top[k], telling[k] = most.max(), most.mean()
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(rest))), pa.array(mean), pa.array(top), pa.array(telling), pa.array(n, pa.int64())], names=schema.names)
-
-    return rows.mapInArrow(judged, schema)
+            for name, bucket, kind, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if name != now:
+                    now, mail = name, {}
+                if kind < 2:
+                    mail[kind, bucket] = body
+                    continue
+                table = pa.ipc.open_stream(body).read_all()
+                found, first = _read(table.column(table.num_columns - 1))
+                before = contexts(found, first)
+                keys, pair = np.unique(pair_keys(before, found), return_inverse=True)
+                # Each different pair is looked at once.
+                some = np.zeros(len(keys), np.int64)
+                some[pair] = np.arange(len(pair))
+                before, found = before[some], found[some]
+                known = np.unique(word_keys(np.append(found, 0)))
+                counts = []
+                for k, names in enumerate((_PAIR, _WORD)):
+                    parts = [unpack(mail[at]) for at in sorted(mail) if at[0] == k]
+                    counts.append({c: np.concatenate([p[i] for p in parts] or [np.zeros(0, U64)]).astype(np.float64 if k else np.uint32) for i, c in enumerate(names)})
+                    del parts
+                if len(counts[0]["n0"]) != len(keys) or len(counts[1]["n0"]) != len(known):
+                    raise RuntimeError("rows came in another order when they were read again: write them to a table first")
+                own = [{c: x[c] for c in x if not c.startswith("own_")} for x in counts]
+                less = [{c: x[c] - x[f"own_{c}"] for c in y} for x, y in zip(counts, own, strict=True)]
+                llr = np.zeros((2, len(keys)))
+                for a in range(0, len(keys), SLICE):
+                    at = slice(a, a + SLICE)
+                    u, w = (np.searchsorted(known, word_keys(x[at])) for x in (before, found))
+                    for k, (by, (n, word)) in enumerate(((full, own), (rest, less)) if rest else ((full, own), (full, own))):
+                        llr[k, at] = by.ratios([n[f"n{c}"][at].astype(np.float64) for c in (0, 1)], [word[f"{x}{c}"][u] for x in ("n", "after") for c in (0, 1)], [word[f"types{c}"][w] for c in (0, 1)])
+                out = [x for k in (0, 1) for x in _judged(llr[k][pair], first)]
+                columns = [*(table.column(c).combine_chunks() for c in kept.names), *map(pa.array, out), pa.array(np.diff(first), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    both = got.unionAll(rows.mapInArrow(sent, _MAIL)).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
+    return materialize(both.mapInArrow(scored, schema), "toxic-features", drop_shuffles=True)
 
 
 _INPUTS = ("1", "ratio", "ratio * sqrt(n_words)", "top", "telling", "ln(n_words + 1)", "telling * ln(n_words + 1)")
@@ -234,22 +433,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     few = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     known = rows.join(F.broadcast(marks) if few else marks, key)
     share = min(CURVE_SHARE, CURVE_ROWS / max(known.count(), 1))
-    known = known.withColumn("drawn", F.pmod(F.xxhash64(F.col(key).cast("string"), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), "text"), F.lit(1 << 30)) < int(share * (1 << 30))
+    rows, known = rows.withColumn("drawn", drawn), known.withColumn("drawn", drawn)
     pairs = count_pairs(known)
-    models = train(pairs)
-    if models is None:
+    words = count_words(pairs)
+    full = totals(pairs, words, rest=False)
+    if full is None:
         base = marks.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
         scored = rows.withColumn("score", F.lit(float(base)))
     else:
-        others = docs.sparkSession.sparkContext.broadcast(train(pairs, "rest") or models)
-        got = _features(known.filter("drawn").select(key, "text", "toxic").limit(2 * CURVE_ROWS), others, "text").select("toxic", *(F.expr(e).cast("double").alias(f"x{k}") for k, e in enumerate(_INPUTS))).toPandas()
-        others.destroy(blocking=True)  # executors hold models on disk: never two at once
+        rest, part = totals(pairs, words, rest=True), F.pmod(F.xxhash64(F.lit("part"), F.col(key).cast("string"), "text"), F.lit(ROUNDS))
+        judged = reduce(DataFrame.unionAll, [features(rows.filter(part == k).select(key, "fold", "drawn", "text"), pairs, words, full, rest) for k in range(ROUNDS)])
+        inputs = [F.expr(e.replace("ratio", "rest_ratio").replace("top", "rest_top").replace("telling", "rest_telling")).cast("double").alias(f"x{k}") for k, e in enumerate(_INPUTS)]
+        taught = judged.filter("drawn").join(F.broadcast(marks) if few else marks, key)
+        got = taught.limit(2 * CURVE_ROWS).select("toxic", *inputs).toPandas()
         x, y = got[[f"x{k}" for k in range(len(_INPUTS))]].to_numpy(), got["toxic"].to_numpy(float)
         mean, std = (x.mean(0), x.std(0)) if len(x) else (np.zeros(len(_INPUTS)), np.ones(len(_INPUTS)))
         mean[0], std = 0.0, np.where(std > 0, std, 1.0)
         w = fit_curve((x - mean) / std, y) / std
         w[0] -= float(mean @ w)
         z = sum((F.lit(float(a)) * F.expr(e) for a, e in zip(w, _INPUTS, strict=True)), F.lit(0.0))
-        shared = docs.sparkSession.sparkContext.broadcast(models)
-        scored = _features(rows, shared, "text").withColumn("score", 1 / (1 + F.exp(-z)))
+        scored = judged.withColumn("score", 1 / (1 + F.exp(-z)))
     return scored.select(key, (F.col("fold") == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -34,10 +34,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexlake/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once to shared storage and read back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
+    """Write once to shared storage and read back: cuts lineage and survives lost executors.
+
+    drop_shuffles: what was shuffled for it goes from the executors' disks as soon as it is written.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(clean, "false")
+    if drop_shuffles:
+        conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(clean, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,11 @@
 """The ten operators against brute force, exact round trips and held-out accuracy, and their handling of odd tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -456,6 +458,84 @@ def test_op6_counts_all_folds(spark):
     assert np.mean([got[i] for i, _, toxic in labels if i in got and not toxic]) < 0.05
 
 
+def plain_kneser_ney(taught, texts):
+    """Of each text: mean log ratio of its words, the largest, the mean of the largest three; by dictionaries of all words and pairs."""
+
+    def cut(counts):
+        once, twice = sum(n == 1 for n in counts), sum(n == 2 for n in counts)
+        return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+    def words(text):
+        return re.findall("[0-9a-z\u0080-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text))
+
+    seen = {(c, t, u, w) for text, c in taught for a in [["", "", *words(text)]] for t, u, w in zip(a, a[1:], a[2:], strict=False)}
+    pairs = [Counter((u, w) for k, _, u, w in seen if k == c) for c in (0, 1)]
+    n = [Counter() for _ in pairs]
+    for c in (0, 1):
+        for (u, _), x in pairs[c].items():
+            n[c][u] += x
+    after, types = [Counter(u for u, _ in p) for p in pairs], [Counter(w for _, w in p) for p in pairs]
+    pair_cut, word_cut = [cut(p.values()) for p in pairs], [cut(t.values()) for t in types]
+    both = Counter(w for t in types for w in t)
+
+    def p(c, u, w):
+        total = sum(types[c].values())
+        base = (both[w] + 0.5) / (sum(both.values()) + 0.5 * (len(both) + toxicity.UNSEEN))
+        own = max(types[c][w] - word_cut[c], 0) / total + word_cut[c] * len(types[c]) / total * base
+        return max(pairs[c][u, w] - pair_cut[c], 0) / n[c][u] + pair_cut[c] * after[c][u] / n[c][u] * own if n[c][u] else own
+
+    out = []
+    for text in texts:
+        a = ["", *words(text)]
+        llr = sorted((math.log(p(1, u, w)) - math.log(p(0, u, w)) for u, w in zip(a, a[1:], strict=False)), reverse=True)
+        out.append((sum(llr) / max(len(llr), 1), llr[0] if llr else 0, sum(llr[:3]) / max(len(llr[:3]), 1)))
+    return out
+
+
+def test_op6_is_plain_kneser_ney(spark):
+    """Every pair and word counts as in dictionaries of them all, with the drawn rows and without, for chunks of any size; texts repeat."""
+    r = random.Random(5)
+    texts = [*HARD, "", None, *(prose(i, r.randint(1, 90)) for i in range(60)), prose(3, 50) + " grukk vilpo", prose(3, 50)]
+    rows = [(i, i % 5 == 1, t) for i, t in enumerate(texts)] + [(900, True, texts[30])] * 2
+    marks = {i: int(i % 3 == 0) for i, _, _ in rows if i % 4}
+    docs = spark.createDataFrame(rows, "doc_id long, drawn boolean, text string").repartition(3, "doc_id").localCheckpoint()
+    known = docs.join(spark.createDataFrame(list(marks.items()), "doc_id long, toxic int"), "doc_id")
+    pairs = toxicity.count_pairs(known)
+    words = toxicity.count_words(pairs)
+    full, rest = (toxicity.totals(pairs, words, x) for x in (False, True))
+    taught = [(t or "", marks[i], d) for i, d, t in rows if i in marks]
+    keys = sorted({i: t or "" for i, _, t in rows}.items())
+    own, other = plain_kneser_ney([x[:2] for x in taught], [t for _, t in keys]), plain_kneser_ney([x[:2] for x in taught if not x[2]], [t for _, t in keys])
+    for chunk in (toxicity.CHUNK, 1, 3000):
+        got = toxicity.features(docs, pairs, words, full, rest, chunk).collect()
+        assert Counter(x.doc_id for x in got) == Counter(i for i, _, _ in rows)
+        found = {x.doc_id: x for x in got}
+        for (i, t), a, b in zip(keys, own, other, strict=True):
+            x = found[i]
+            assert (x.ratio, x.top, x.telling, x.rest_ratio, x.rest_top, x.rest_telling) == pytest.approx([*a, *b], abs=1e-9), t
+
+
+def test_op6_words_of_one_cell(spark):
+    """Two words whose hashes share their upper 20 bits are two words: one is said by toxic texts, the other one by ordinary texts."""
+    seen, i = {}, 0
+    while True:
+        word = f"q{i}z"
+        h = int(toxicity.span_hashes(np.frombuffer(word.encode(), np.uint8), np.array([0]), np.array([len(word)]))[0]) >> 44
+        if h in seen:
+            break
+        seen[h], i = word, i + 1
+    r, texts, labels = random.Random(9), [], []
+    for i in range(800):
+        toxic = i % 4 == 0
+        words = prose(i, r.randint(20, 60)).split()
+        for _ in range(3):
+            words.insert(r.randrange(len(words)), word if toxic else seen[h])
+        texts.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    got = {x.doc_id: x.predicted for x in toxicity.toxicity(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).filter("held_out").collect()}
+    assert np.mean([got[i] == toxic for i, _, toxic in labels if i in got]) > 0.97
+
+
 def test_op8_counts(spark, odd):
     texts = [*HARD, "a b c a b c\na b c a b c\n\n \na b c a b c", "a b c x a b c", "x\ny\nx\n x", "#*$%&|<>é", prose(6, 300)]
     got = quality.quality_counts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).orderBy("i").collect()
