@@ -7,6 +7,7 @@ rare in both classes say little for either. A text is judged by its log-likeliho
 most telling words.
 
 The models are tables with a row for every pair and every word of the labelled rows; nothing is cut, and no task holds them whole.
+They are packed by bucket once, and each table goes from the disk as soon as what is made of it is written.
 Texts ask them: a chunk of texts sends the keys of its distinct pairs and words to the buckets of these keys, the
 buckets answer in the same order, and chunk and answers meet again. Words are known by 48 bits of their hash, pairs by 56, the word before a pair by 30.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexlake.llm.scan import LOWER, U64, blocks, mix, span_hashes, spans
-from lexlake.storage import BROADCAST_ROWS, materialize
+from lexlake.storage import BROADCAST_ROWS, discard, materialize
 
 WORD_BITS, KEY_BITS, BEFORE_BITS = 48, 56, 30
 #: Words never seen, of which the shared distribution thinks each as half a word, as it adds half a word to those seen.
@@ -41,6 +42,8 @@ ROUNDS = 2
 SLICE = 1 << 18
 #: Keys of a bucket at most, about; there are 2**BUCKET_BITS buckets at least.
 BUCKET_KEYS, BUCKET_BITS = 1_000_000, 5
+#: Rows of the tables of pairs and words that a task packs together: the more, the shorter the steps between their keys.
+PACKED_ROWS = 1 << 19
 #: Rows that the final logistic curve is fitted to: about so many, chosen by a hash of key and text (twice as many at most, where rows repeat), and this share of them at most.
 CURVE_ROWS, CURVE_SHARE = 20_000, 0.25
 #: Score from which a text is called toxic.
@@ -113,17 +116,17 @@ def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     yield from ((k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a)
 
 
-def count_pairs(docs: DataFrame) -> DataFrame:
-    """Counts (_PAIR) of each pair of words in rows (text, toxic 0/1, drawn 0/1), all of them counted; u and w: the words' hashes."""
+def count_pairs(docs: DataFrame, held: list[str] | None = None) -> DataFrame:
+    """Counts (_PAIR) of each pair of words in rows (text, toxic 0/1, drawn 0/1), all of them counted; u and w: the words' hashes. held: as in materialize."""
     schema = T.StructType([T.StructField("pair", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("t", T.IntegerType())])
     half = WORD_BITS - 32
 
     def seen(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        got: list[np.ndarray] = []
 
         def distinct() -> pa.RecordBatch:
-            pair, rest = np.concatenate(held, axis=1)
-            held.clear()
+            pair, rest = np.concatenate(got, axis=1)
+            got.clear()
             order = np.lexsort((rest, pair))
             pair, rest = pair[order], rest[order]
             new = np.append(True, (pair[1:] != pair[:-1]) | (rest[1:] != rest[:-1]))
@@ -140,10 +143,10 @@ def count_pairs(docs: DataFrame) -> DataFrame:
                     rest = words << 32 | before << 2 | np.repeat(toxic[i:j] << 1 | drawn[i:j], np.diff(first))
                     first_word = contexts(words, first)
                     mine = (first_word + words) % ROUNDS == part
-                    held.append(np.stack([first_word << half | words >> 32, rest])[:, mine])
-                    if sum(h.shape[1] for h in held) > HELD_WORDS:
+                    got.append(np.stack([first_word << half | words >> 32, rest])[:, mine])
+                    if sum(h.shape[1] for h in got) > HELD_WORDS:
                         yield distinct()
-        if held:
+        if got:
             yield distinct()
 
     # Dealt by pair once; removing repeats and counting both find their rows together then.
@@ -154,13 +157,13 @@ def count_pairs(docs: DataFrame) -> DataFrame:
     for part in range(ROUNDS):
         dealt = rows.mapInArrow(lambda batches, part=part: seen(batches, part), schema).repartition("pair", "low")
         once = dealt.groupBy("pair", "low", F.shiftright("t", 1).alias("t")).agg(F.min(F.col("t").bitwiseAND(1)).alias("drawn"))
-        parts.append(materialize(once.groupBy("pair", "low").agg(*counts), "toxic-pairs", drop_shuffles=True))
+        parts.append(materialize(once.groupBy("pair", "low").agg(*counts), "toxic-pairs", drop_shuffles=True, held=held))
     w = F.shiftleft(F.col("pair").bitwiseAND((1 << half) - 1), 32).bitwiseOR(F.col("low").cast("long").bitwiseAND((1 << 32) - 1))
     return reduce(DataFrame.unionAll, parts).select(F.shiftrightunsigned("pair", half).alias("u"), w.alias("w"), *_PAIR)
 
 
-def count_words(pairs: DataFrame) -> DataFrame:
-    """Counts (_WORD) of each word of count_pairs, as the first and as the second of its pairs."""
+def count_words(pairs: DataFrame, held: list[str] | None = None) -> DataFrame:
+    """Counts (_WORD) of each word of count_pairs, as the first and as the second of its pairs. held: as in materialize."""
     there = {f"{own}is{c}": (F.col(f"n{c}") > 0) if not own else (F.col(f"n{c}") > 0) & (F.col(f"own_n{c}") == F.col(f"n{c}")) for own in ("", "own_") for c in (0, 1)}
     parts = []
     for role in ("u", "w"):
@@ -170,7 +173,7 @@ def count_words(pairs: DataFrame) -> DataFrame:
             as_first, count = "types" not in name, F.col(name) if name in _PAIR else there[f"{own}is{c}"].cast("long")
             cols.append((count if as_first == (role == "u") else F.lit(0).cast("long")).alias(name))
         parts.append(pairs.select(F.col(role).alias("word"), *cols))
-    return materialize(parts[0].unionAll(parts[1]).groupBy("word").agg(*(F.sum(c).alias(c) for c in _WORD)), "toxic-words", drop_shuffles=True)
+    return materialize(parts[0].unionAll(parts[1]).groupBy("word").agg(*(F.sum(c).alias(c) for c in _WORD)), "toxic-words", drop_shuffles=True, held=held)
 
 
 def _cut(once: int, twice: int) -> float:
@@ -274,19 +277,36 @@ def _steps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=U64(0))
 
 
-def answers(rows: DataFrame, pairs: DataFrame, words: DataFrame, bits: int, chunk: int) -> DataFrame:
-    """For every chunk of rows, bucket and kind (0 pairs, 1 words): the counts of the chunk's keys, in ascending order of these; zeros where none are known."""
+def by_bucket(pairs: DataFrame, words: DataFrame, held: list[str] | None = None, limit: int = PACKED_ROWS) -> tuple[DataFrame, int]:
+    """The counts of pairs (kind 0) and words (kind 1) as mail to the buckets of their keys, and the bits of these buckets. held: as in materialize."""
+    bits = max(BUCKET_BITS, ((pairs.count() + words.count()) // BUCKET_KEYS).bit_length())
+
+    def packed(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
+        got, n = [], 0
+
+        def mail() -> pa.RecordBatch:
+            cols = [np.concatenate([batch.column(k).to_numpy() for batch in got]) for k in range(got[0].num_columns)]
+            got.clear()
+            keys, counts = (word_keys(cols[0]), cols[1:]) if kind else (pair_keys(cols[0], cols[1]), cols[2:])
+            order = np.argsort(keys)
+            keys = keys[order]
+            return _mail(None, [(b, kind, pack([_steps(keys[at]), *(c[order[at]] for c in counts)])) for b, at in _by_bucket(keys, bits)])
+
+        for batch in batches:
+            got.append(batch)
+            n += batch.num_rows
+            if n >= limit:
+                yield mail()
+                n = 0
+        if n:
+            yield mail()
 
-    def model(kind: int):
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                cols = [batch.column(k).to_numpy() for k in range(batch.num_columns)]
-                keys, counts = (word_keys(cols[0]), cols[1:]) if kind else (pair_keys(cols[0], cols[1]), cols[2:])
-                order = np.argsort(keys)
-                keys = keys[order]
-                yield _mail(None, [(b, kind, pack([_steps(keys[at]), *(c[order[at]] for c in counts)])) for b, at in _by_bucket(keys, bits)])
+    parts = [table.mapInArrow(lambda batches, kind=kind: packed(batches, kind), _MAIL) for kind, table in enumerate((pairs.select("u", "w", *_PAIR), words.select("word", *_WORD)))]
+    return materialize(parts[0].unionAll(parts[1]), "toxic-model", held=held), bits
 
-        return packed
+
+def answers(rows: DataFrame, model: DataFrame, bits: int, chunk: int, held: list[str]) -> DataFrame:
+    """For every chunk of rows, bucket and kind: the counts of the chunk's keys by the model of by_bucket, in ascending order of these; zeros where none are known. held: as in materialize."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _chunks(batches, chunk):
@@ -319,9 +339,8 @@ def answers(rows: DataFrame, pairs: DataFrame, words: DataFrame, bits: int, chun
                     counts = [np.where(known, c[at], 0) for c in own[1]]
                 yield _mail(name, [(bucket, kind, pack(counts))])
 
-    parts = [rows.mapInArrow(asked, _MAIL), pairs.select("u", "w", *_PAIR).mapInArrow(model(0), _MAIL), words.select("word", *_WORD).mapInArrow(model(1), _MAIL)]
-    mail = parts[0].unionAll(parts[1]).unionAll(parts[2]).repartition("bucket").sortWithinPartitions("bucket", "kind", F.col("chunk").asc_nulls_first())
-    return materialize(mail.mapInArrow(answered, _MAIL), "toxic-answers", drop_shuffles=True)
+    mail = rows.mapInArrow(asked, _MAIL).unionAll(model).repartition("bucket").sortWithinPartitions("bucket", "kind", F.col("chunk").asc_nulls_first())
+    return materialize(mail.mapInArrow(answered, _MAIL), "toxic-answers", drop_shuffles=True, held=held)
 
 
 _NAMES = ["ratio", "top", "telling"]
@@ -341,13 +360,21 @@ def _judged(llr: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 
 
 def features(rows: DataFrame, pairs: DataFrame, words: DataFrame, full: Totals, rest: Totals | None, chunk: int = CHUNK) -> DataFrame:
+    """judge() by the tables of count_pairs and count_words, which stay."""
+    held: list[str] = []
+    out = judge(rows, *by_bucket(pairs, words, held), full, rest, chunk)
+    discard(rows.sparkSession, held)
+    return out
+
+
+def judge(rows: DataFrame, model: DataFrame, bits: int, full: Totals, rest: Totals | None, chunk: int = CHUNK) -> DataFrame:
     """rows (their last column: the text) without the text, with _NAMES by the counts of all labelled rows, the same as
-    rest_ by those that are not drawn (by all, without rest), and n_words.
+    rest_ by those that are not drawn (by all, without rest), and n_words. model, bits: of by_bucket.
 
     Rows are read twice and must come in the same order both times; that they don't is an error.
     """
-    bits = max(BUCKET_BITS, ((pairs.count() + words.count()) // BUCKET_KEYS).bit_length())
-    got = answers(rows, pairs, words, bits, chunk)
+    held: list[str] = []
+    got = answers(rows, model, bits, chunk, held)
     kept = T.StructType(rows.schema[:-1])
     schema = T.StructType([*kept, *(T.StructField(x + c, T.DoubleType()) for x in ("", "rest_") for c in _NAMES), T.StructField("n_words", T.LongType())])
 
@@ -396,7 +423,9 @@ def features(rows: DataFrame, pairs: DataFrame, words: DataFrame, full: Totals,
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     both = got.unionAll(rows.mapInArrow(sent, _MAIL)).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
-    return materialize(both.mapInArrow(scored, schema), "toxic-features", drop_shuffles=True)
+    out = materialize(both.mapInArrow(scored, schema), "toxic-features", drop_shuffles=True)
+    discard(rows.sparkSession, held)
+    return out
 
 
 _INPUTS = ("1", "ratio", "ratio * sqrt(n_words)", "top", "telling", "ln(n_words + 1)", "telling * ln(n_words + 1)")
@@ -435,15 +464,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     share = min(CURVE_SHARE, CURVE_ROWS / max(known.count(), 1))
     drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), "text"), F.lit(1 << 30)) < int(share * (1 << 30))
     rows, known = rows.withColumn("drawn", drawn), known.withColumn("drawn", drawn)
-    pairs = count_pairs(known)
-    words = count_words(pairs)
+    counted: list[str] = []
+    pairs = count_pairs(known, counted)
+    words = count_words(pairs, counted)
     full = totals(pairs, words, rest=False)
     if full is None:
+        discard(docs.sparkSession, counted)
         base = marks.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
         scored = rows.withColumn("score", F.lit(float(base)))
     else:
         rest, part = totals(pairs, words, rest=True), F.pmod(F.xxhash64(F.lit("part"), F.col(key).cast("string"), "text"), F.lit(ROUNDS))
-        judged = reduce(DataFrame.unionAll, [features(rows.filter(part == k).select(key, "fold", "drawn", "text"), pairs, words, full, rest) for k in range(ROUNDS)])
+        packed: list[str] = []
+        model, bits = by_bucket(pairs, words, packed)
+        discard(docs.sparkSession, counted)
+        judged = reduce(DataFrame.unionAll, [judge(rows.filter(part == k).select(key, "fold", "drawn", "text"), model, bits, full, rest) for k in range(ROUNDS)])
+        discard(docs.sparkSession, packed)
         inputs = [F.expr(e.replace("ratio", "rest_ratio").replace("top", "rest_top").replace("telling", "rest_telling")).cast("double").alias(f"x{k}") for k, e in enumerate(_INPUTS)]
         taught = judged.filter("drawn").join(F.broadcast(marks) if few else marks, key)
         got = taught.limit(2 * CURVE_ROWS).select("toxic", *inputs).toPandas()

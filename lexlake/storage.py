@@ -34,12 +34,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexlake/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, drop_shuffles: bool = False, held: list[str] | None = None) -> DataFrame:
     """Write once to shared storage and read back: cuts lineage and survives lost executors.
 
-    drop_shuffles: what was shuffled for it goes from the executors' disks as soon as it is written.
+    drop_shuffles: what was shuffled for it goes from the executors' disks as soon as it is written. held: gets the
+    table's path, for discard().
     """
     path = scratch_path(df.sparkSession, name)
+    if held is not None:
+        held.append(path)
     conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(clean, "false")
     if drop_shuffles:
@@ -51,6 +54,14 @@ def materialize(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, held: list[str]) -> None:
+    """Delete tables that materialize has written and that no later job reads."""
+    for path in held:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    held.clear()
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan dealt to all cores if it has fewer splits than these: texts cost far more to work on than to move. Larger inputs stay as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism

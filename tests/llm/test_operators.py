@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tests_support import brute_components, brute_counts, prose, sets_of  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+from lexlake import storage  # noqa: E402
 from lexlake.llm import bpe, fingerprints, jaccard, language, packing, pretokens, quality, token_files, toxicity, url_filter, warc  # noqa: E402
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -536,6 +538,38 @@ def test_op6_words_of_one_cell(spark):
     assert np.mean([got[i] == toxic for i, _, toxic in labels if i in got]) > 0.97
 
 
+def test_op6_tables_go_when_used(spark, monkeypatch):
+    """Counts are off the disk when texts ask for them, answers when their texts are judged, the packed model in the end; packing in parts of any size gives the same."""
+    texts = [(i, prose(i, 40) + " grukk" * (i % 4 == 0)) for i in range(80)]
+    docs, marks = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    top = Path(storage.shared_dir(spark).removeprefix("file://"), "lexlake")
+    there = lambda: {p.name for p in top.glob("toxic-*")}
+    old, seen = there(), []
+
+    def watched(df, name, **more):
+        out = storage.materialize(df, name, **more)
+        seen.append((name, Counter(x.rsplit("-", 1)[0] for x in there() - old)))
+        return out
+
+    monkeypatch.setattr(toxicity, "materialize", watched)
+    assert toxicity.toxicity(docs, marks).count() == 80
+    asked = [x for name, x in seen if name == "toxic-answers"]
+    assert len(asked) == toxicity.ROUNDS and all(x["toxic-answers"] == 1 and not x["toxic-pairs"] and not x["toxic-words"] for x in asked)
+    assert {x.rsplit("-", 1)[0] for x in there() - old} == {"toxic-features"}
+    known = docs.join(marks, "doc_id").withColumn("drawn", F.lit(False))
+    pairs = toxicity.count_pairs(known)
+    words = toxicity.count_words(pairs)
+    full = toxicity.totals(pairs, words, False)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "100")
+    try:
+        got = [sorted(toxicity.judge(docs, *toxicity.by_bucket(pairs, words, limit=n), full, None).collect()) for n in (toxicity.PACKED_ROWS, 250, 1)]
+    finally:
+        spark.conf.set(rows, before)
+    assert got[0] == got[1] == got[2] and len(got[0]) == 80
+
+
 def test_op8_counts(spark, odd):
     texts = [*HARD, "a b c a b c\na b c a b c\n\n \na b c a b c", "a b c x a b c", "x\ny\nx\n x", "#*$%&|<>é", prose(6, 300)]
     got = quality.quality_counts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).orderBy("i").collect()
