@@ -131,11 +131,15 @@ def ordering_score() -> Column:
     return F.coalesce("hybrid_score", "rerank_score", "fused_score")
 
 
-def merge_parents(candidates: DataFrame, score: str = "ordering_score") -> DataFrame:
-    """Chunks grouped to units (parent_id, else the chunk): unit_id, unit_score (the best), members best first, position."""
+def merge_parents(candidates: DataFrame, score: str = "ordering_score", first: str = "chunk_id") -> DataFrame:
+    """Chunks grouped to units (parent_id, else the chunk): unit_id, unit_score (the best), members best first, best, position.
+
+    first: the column that says which of several chunks of the best score is best: the one with the least.
+    """
     member = F.struct((-F.col(score)).alias("minus"), "chunk_id", F.col(score).alias("score"))
-    units = candidates.groupBy("query_id", F.coalesce("parent_id", "chunk_id").alias("unit_id")).agg(F.max(score).alias("unit_score"), F.array_sort(F.collect_list(member)).alias("m"))
-    units = units.withColumn("members", F.transform("m", lambda x: x["chunk_id"])).withColumn("best", F.col("m")[0]["chunk_id"]).drop("m")
+    best = F.min_by("chunk_id", F.struct(-F.col(score), first)).alias("best")
+    units = candidates.groupBy("query_id", F.coalesce("parent_id", "chunk_id").alias("unit_id")).agg(F.max(score).alias("unit_score"), F.array_sort(F.collect_list(member)).alias("m"), best)
+    units = units.withColumn("members", F.transform("m", lambda x: x["chunk_id"])).drop("m")
     return units.withColumn("position", F.row_number().over(_over("query_id").orderBy(F.col("unit_score").desc(), "unit_id")))
 
 

@@ -144,7 +144,8 @@ def parent_child_merge(spark, sf_dir):
 
 
 def _best(spark, sf_dir):
-    units = fusion.merge_parents(_hybrid(spark, sf_dir))
+    """Units with what their best chunk has. The SQL's arg_max keeps the first of equal rows: that of the least order, by number and not by text."""
+    units = fusion.merge_parents(_hybrid(spark, sf_dir).withColumn("place", F.expr("CAST(substr(chunk_id, 2) AS BIGINT)")), first="place")
     best = _hybrid(spark, sf_dir).select("query_id", F.col("chunk_id").alias("best"), "vector_score", "rerank_score", "bm25_score", "fused_score", "content_length")
     return units.join(best, ["query_id", "best"])
 
