@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -135,25 +135,23 @@ def judge_span_cases(outcomes: DataFrame, evidence: DataFrame, chunks: DataFrame
     every = outcomes.select("case_id", "mode").join(evidence.select("case_id", "evidence_no"), "case_id")
     met = every.join(ranked.join(runs, ["case_id", "chunk_id"]), ["case_id", "mode", "evidence_no"], "left").select("case_id", "mode", "evidence_no", "rank", "start", "length", "span")
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["rank"]).sort_values("rank")
-        held, hit = [], None
-        for rank, start, length, span in zip(pdf["rank"], pdf["start"], pdf["length"], pdf["span"], strict=True):
-            held.append((int(start), int(length)))
-            if hit is None and span and min(1.0, ev.covered(held) / span) >= least:
-                hit = int(rank)
-        return pd.DataFrame({"hit_rank": pd.array([hit], "Int64")})
-
-    kinds = {c: outcomes.schema[c].dataType.simpleString() for c in ("case_id", "mode")} | {"evidence_no": evidence.schema["evidence_no"].dataType.simpleString()}
-
-    def keyed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = judge(pdf)
-        for name, value in zip(kinds, key, strict=True):
-            out[name] = [value]
-        return out
-
-    # A group is one span and at most top_n short rows.
-    spans = met.groupBy(*kinds).applyInPandas(keyed, "hit_rank bigint, " + ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    @F.pandas_udf("bigint")
+    def first_hit(spans: pd.Series) -> pd.Series:
+        """The first rank at which the runs so far cover least of the span; runs ordered by rank."""
+
+        def judge(found: Iterable[dict]) -> int | None:
+            held = []
+            for x in found:
+                held.append((x["start"], x["length"]))
+                if x["span"] and min(1.0, ev.covered(held) / x["span"]) >= least:
+                    return x["rank"]
+            return None
+
+        return pd.Series([judge(x) for x in spans], dtype="Int64")
+
+    # A span's runs are at most top_n short rows.
+    own = F.sort_array(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "start", "length", "span"))))
+    spans = met.groupBy("case_id", "mode", "evidence_no").agg(own.alias("found")).select("case_id", "mode", first_hit("found").alias("hit_rank"))
     cases = spans.groupBy("case_id", "mode").agg(F.min("hit_rank").isNotNull().alias("hit"), F.min("hit_rank").alias("hit_rank"), F.count("hit_rank").alias("evidence_hits"), F.count(F.lit(1)).alias("evidence_total"))
     seen = ranked.join(runs.groupBy("case_id", "chunk_id").agg((F.max("length") > 0).alias("relevant")), ["case_id", "chunk_id"], "left").groupBy("case_id", "mode").agg(_flags(top_n))
     return cases.join(seen, ["case_id", "mode"], "left").withColumn("relevance", F.coalesce("relevance", F.array_repeat(F.lit(False), top_n))).withColumn("ideal_relevant", F.col("evidence_total"))
